@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_files
+from . import bpe, exact_dedup, media, packing, quality, secrets, simhash, token_files, toxicity, warc
 from .shared import read_table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode_digests(read_table(spark, sf_dir, "documents"))
 
@@ -19,13 +24,50 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, files)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read_table(spark, sf_dir, "documents"))
+
+
+def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(read_table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), end_id=1)
 
 
+def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.roundtrip(read_table(spark, sf_dir, "documents"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as the first batch of a new index."""
+    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}")
+    return index.ingest(read_table(spark, sf_dir, "documents"))
+
+
+def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+#: Exact deduplication in SQL; the other operators' answers are not expressible there.
+OP9_SQL = r"""
+WITH rows AS (
+    SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
+    FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       doc_id = first_value(doc_id) OVER w AS kept, text_sha256
+FROM rows WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
+""".replace("\\\\", "\\")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_exact_dedup": OP9_SQL}

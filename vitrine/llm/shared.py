@@ -12,6 +12,7 @@ import uuid
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -95,3 +96,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hash_sample(rows: DataFrame, size: int, *keys: str, salt: str = "") -> DataFrame:
+    """About ``size`` of the rows, all if there are no more: those whose keys' hash lies below a bound.
+
+    The choice doesn't depend on partitions, and nothing is sorted or gathered. Rows that repeat a key
+    are chosen together; a limit of four times the size keeps a very frequent one from filling memory.
+    """
+    n = rows.count()
+    if n <= size:
+        return rows
+    bound = -(1 << 63) + int((1 << 64) * size / n)
+    return rows.where(F.xxhash64(*keys, F.lit(salt)) < F.lit(bound)).limit(4 * size)
