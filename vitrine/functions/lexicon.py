@@ -37,6 +37,11 @@ class Lexicon:
     stops: tuple[str, ...] = STOP_WORDS
     _memory: dict = field(default_factory=dict, compare=False, repr=False)
 
+    @cached_property
+    def number(self) -> int:
+        """Tells lexicons of different content apart."""
+        return hash((self.brands, self.types, self.stops))
+
     @cached_property
     def brand_of(self) -> dict[str, str]:
         return dict(self.brands)

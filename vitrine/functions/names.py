@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -243,21 +242,29 @@ def regex_score(site: str | None, target: str | None, lexicon: Lexicon) -> float
 # -- features once for each name; scores as columns ------------------------------------------------
 
 
-def _remembered(parse):
-    """``parse`` with its last results kept for each lexicon in this worker."""
-    kept = lru_cache(maxsize=1 << 15)(lambda name, at: parse(name, _LEXICONS[at]))
+_KEPT: dict[tuple, object] = {}
 
-    def of(name: str | None, lexicon: Lexicon):
-        at = hash((lexicon.brands, lexicon.types, lexicon.stops)) if id(lexicon) not in _PLACES else _PLACES[id(lexicon)]
-        _PLACES[id(lexicon)], _LEXICONS[at] = at, lexicon
-        return kept(name, at)
 
-    return of
+def _remembered(kind: str, parse, name: str | None, lexicon: Lexicon):
+    """``parse(name)``, kept with the other results of this worker while they are few."""
+    key = (kind, name, lexicon.number)
+    if key not in _KEPT:
+        if len(_KEPT) > 1 << 16:
+            _KEPT.clear()
+        _KEPT[key] = parse(name, lexicon)
+    return _KEPT[key]
 
 
-_LEXICONS: dict[int, Lexicon] = {}
-_PLACES: dict[int, int] = {}
-slots_of, trie_of, regex_of = _remembered(parse_slots), _remembered(parse_trie), _remembered(parse_regex)
+def slots_of(name: str | None, lexicon: Lexicon) -> Slots:
+    return _remembered("slots", parse_slots, name, lexicon)
+
+
+def trie_of(name: str | None, lexicon: Lexicon) -> TrieFeatures:
+    return _remembered("trie", parse_trie, name, lexicon)
+
+
+def regex_of(name: str | None, lexicon: Lexicon) -> RegexFeatures:
+    return _remembered("regex", parse_regex, name, lexicon)
 
 
 def scores(site: Column, target: Column, lexicon: Lexicon) -> Column:

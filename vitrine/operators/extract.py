@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,18 +130,15 @@ class _Blocks(HTMLParser):
             self.open = None
 
 
-@F.pandas_udf("array<string>")
-def raw_blocks_exact(pages: pd.Series) -> pd.Series:
-    def walk(page):
-        parser = _Blocks()
-        parser.feed(page or "")
-        parser.close()
-        parser.end()
-        return parser.found
-
-    return pages.map(walk)
+def raw_blocks(page: str | None) -> list[str]:
+    parser = _Blocks()
+    parser.feed(page or "")
+    parser.close()
+    parser.end()
+    return parser.found
 
 
 def blocks_exact(html: Column) -> Column:
     """Like ``blocks``, for pages with nested or unclosed tags."""
-    return F.filter(F.transform(raw_blocks_exact(html), t.clean_block), lambda x: x != "")
+    walk = F.pandas_udf(lambda pages: pages.map(raw_blocks), "array<string>", F.PandasUDFType.SCALAR)
+    return F.filter(F.transform(walk(html), t.clean_block), lambda x: x != "")

@@ -1,4 +1,549 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-SQL: dict = {}
+SQL is written over tokens and without look-around, apart from the Spark expressions it checks.
+"""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fuzzy, lexicon, names
+from ..functions import text as t
+from ..operators import extract, matching, relax, state
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- scans, filters, state -------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang, length(text) AS size FROM documents WHERE lower(trim(coalesce(text, ''))) NOT IN ('', 'nan')")
+def nonblank_scan(spark, sf):
+    return table(spark, sf, "documents").where(~t.is_blank(F.col("text"))).select("doc_id", "lang", F.length("text").alias("size"))
+
+
+@query("""
+SELECT d.doc_id, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic, CAST(NULL AS VARCHAR) AS note, false AS done,
+       coalesce(quality IS NOT NULL AND toxic IS NOT NULL, false) AS labelled
+FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def header_fill(spark, sf):
+    joined = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic")), "doc_id", "left")
+    filled = state.fill_header(joined, ["quality", "toxic", "note"])
+    return filled.withColumn("done", state.processed(F.col("quality"), F.col("toxic"), F.col("note"))).withColumn("labelled", state.processed(F.col("quality"), F.col("toxic")))
+
+
+def _rows(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", state.row_id(F.col("p_name"), F.col("p_partkey").cast("string")).alias("row_id"))
+
+
+@query("SELECT p_partkey, p_name || '::' || p_partkey AS row_id FROM part WHERE p_partkey % 3 <> 0")
+def row_state_anti(spark, sf):
+    rows = _rows(spark, sf)
+    return state.remaining(rows, rows.where("p_partkey % 3 = 0"), "row_id").select("p_partkey", "row_id")
+
+
+@query("SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 4 = 1)")
+def url_semi(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return state.seen(pages, pages.where("page_id % 4 = 1"), "url").select("page_id", "url")
+
+
+@query("SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 4 = 1)")
+def url_anti(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return state.remaining(pages, pages.where("page_id % 4 = 1"), "url").select("page_id", "url")
+
+
+def _entries(spark, sf):
+    flag = F.when(F.col("event_type") == "purchase", True).when(F.col("event_type") == "view", F.lit(None)).otherwise(False)
+    return table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "error", "").otherwise(F.concat(F.lit("/u/"), F.col("user_id").cast("string"))).alias("product_url"), flag.cast("boolean").alias("is_scraped"), F.lit(None).cast("string").alias("scrap_directory"))
+
+
+@query("SELECT count(*) AS pending FROM events WHERE event_type NOT IN ('purchase', 'error')")
+def pending_count(spark, sf):
+    return state.pending(_entries(spark, sf)).agg(F.count("*").alias("pending"))
+
+
+@query("""
+WITH e AS (SELECT event_id, CASE WHEN event_type = 'error' THEN '' ELSE '/u/' || user_id END AS product_url,
+                  CASE event_type WHEN 'purchase' THEN true WHEN 'view' THEN NULL ELSE false END AS was FROM events),
+     r AS (SELECT *, row_number() OVER (PARTITION BY product_url ORDER BY event_id) AS k FROM e),
+     u AS (SELECT '/u/' || user_id AS url, min('d' || lpad(CAST(user_id AS VARCHAR), 4, '0')) AS dir FROM events WHERE user_id % 5 = 0 GROUP BY user_id)
+SELECT event_id, product_url, CASE WHEN k = 1 AND dir IS NOT NULL THEN true ELSE was END AS is_scraped, CASE WHEN k = 1 THEN dir END AS scrap_directory
+FROM r LEFT JOIN u ON product_url = url""")
+def first_match_update(spark, sf):
+    updates = table(spark, sf, "events").where("user_id % 5 = 0").select(F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("product_url"), F.concat(F.lit("d"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("scrap_directory"))
+    return state.first_match_update(_entries(spark, sf), updates, "product_url", ["event_id"]).select("event_id", "product_url", "is_scraped", "scrap_directory")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS p_name, p_brand FROM part")
+def sheet_write_back(spark, sf):
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
+    return state.write_back(parts, parts.where("p_partkey % 2 = 0").withColumn("p_name", F.upper("p_name")), "p_partkey", ["p_name"])
+
+
+def _records(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 7 == 0, "timeout").when(F.col("page_id") % 7 == 1, "  ").alias("error"), F.when(F.col("page_id") % 11 == 0, " ").otherwise(F.col("url")).alias("name_fa"))
+    return pages.withColumn("is_failed", state.is_failed(F.col("error"), F.col("name_fa")))
+
+
+@query("SELECT page_id, page_id % 7 = 0 OR page_id % 11 = 0 AS is_failed, CASE WHEN page_id % 7 = 0 OR page_id % 11 = 0 THEN 'failed-product' ELSE sha256(CAST(page_id AS VARCHAR)) END AS folder FROM pages")
+def failed_split(spark, sf):
+    return _records(spark, sf).select("page_id", "is_failed", F.when(F.col("is_failed"), "failed-product").otherwise(state.stable_id(F.col("page_id").cast("string"))).alias("folder"))
+
+
+@query("SELECT count(*) AS attempted, count(*) FILTER (page_id % 7 <> 0 AND page_id % 11 <> 0) AS succeeded, count(*) FILTER (page_id % 7 = 0 OR page_id % 11 = 0) AS failed FROM pages")
+def run_counts(spark, sf):
+    return state.run_counts(_records(spark, sf))
+
+
+@query("SELECT event_id, event_type || ' 429 Quota' AS message, event_type = 'error' AS retryable FROM events WHERE event_id % 10 = 0")
+def retryable_errors(spark, sf):
+    events = table(spark, sf, "events").where("event_id % 10 = 0")
+    message = F.concat("event_type", F.lit(" 429 Quota"))
+    return events.select("event_id", message.alias("message"), t.retryable(F.when(F.col("event_type") == "error", message).otherwise(F.col("event_type")), ("429", "403", "quota", "exhausted", "rate limit", "too many requests")).alias("retryable"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{\"k\":' || CAST(json_extract(props, '$.k') AS BIGINT) || '}' AS again FROM events")
+def json_props(spark, sf):
+    parsed = F.from_json("props", "k long")
+    return table(spark, sf, "events").select("event_id", parsed["k"].alias("k"), F.to_json(F.struct(parsed["k"].alias("k"))).alias("again"))
+
+
+@query("SELECT event_id, list_filter(list_transform(string_split(event_type || ' , ,' || user_id, ','), lambda x: trim(x)), lambda x: x <> '') AS parts FROM events WHERE event_id % 50 = 0")
+def list_split(spark, sf):
+    raw = F.concat("event_type", F.lit(" , ,"), F.col("user_id").cast("string"))
+    return table(spark, sf, "events").where("event_id % 50 = 0").select("event_id", F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "").alias("parts"))
+
+
+# -- scalar functions ------------------------------------------------------------------------------
+
+
+@query("""
+SELECT doc_id, md5(translate(replace(lower(text), '‌', ' '), 'يك۰۱۲۳۴۵۶۷۸۹', 'یک0123456789')) AS base,
+       md5(upper(translate(translate(text, 'أإآٱـ', 'اااا'), 'يك۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', 'یک01234567890123456789'))) AS slot
+FROM documents WHERE NOT regexp_matches(text, '[ßİ]')""")
+def char_fold(spark, sf):
+    docs = table(spark, sf, "documents").where(~F.col("text").rlike("[ßİ]"))
+    return docs.select("doc_id", F.md5(t.base_clean(F.col("text"))).alias("base"), F.md5(t.slot_clean(F.col("text"))).alias("slot"))
+
+
+@query(r"""
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[·•]\s*', '', 'g'), '[\n\r\t]+', ' ', 'g'), ' {2,}', ' ', 'g'))) AS block FROM documents""")
+def clean_block(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(t.clean_block(F.col("text"))).alias("block"))
+
+
+def _sized(spark, sf):
+    unit = F.element_at(F.array(*map(F.lit, (" ml", "ML", " gram", "g", " oz"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), unit).alias("name"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 < 2 THEN p_name || ' ' || p_size || 'ml' WHEN p_partkey % 5 < 4 THEN p_name || ' ' || p_size || 'g' ELSE p_name || ' ' || p_size || ' oz' END AS name FROM part")
+def unit_standardise(spark, sf):
+    return _sized(spark, sf).select("p_partkey", F.trim(F.regexp_replace(t.standard_units(F.col("name")), " +", " ")).alias("name"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'VOL:' || p_size || 'ML' WHEN 1 THEN 'VOL:' || p_size || 'ML' WHEN 3 THEN 'VOL:' || p_size || 'G' WHEN 4 THEN 'VOL:' || p_size || 'OZ' END AS volume FROM part")
+def unit_extract(spark, sf):
+    return _sized(spark, sf).select("p_partkey", t.volume_tag(t.slot_clean(F.col("name"))).alias("volume"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size < 10 THEN ['nc' || p_size] ELSE ['nc' || p_size, CAST(p_size AS VARCHAR)] END AS codes, [p_size || 'ml'] AS measures,
+       list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 3) AS latin
+FROM part""")
+def code_tokens(spark, sf):
+    name = F.concat_ws(" ", F.lower("p_name"), F.concat(F.lit("nc"), "p_size"), F.when(F.col("p_size") >= 10, F.col("p_size").cast("string")), F.concat("p_size", F.lit("ml")))
+    words = table(spark, sf, "part").select("p_partkey", t.tokens(name).alias("w"))
+    return words.select("p_partkey", t.code_tokens(F.col("w")).alias("codes"), t.measure_tokens(F.col("w")).alias("measures"), t.word_tokens(F.col("w")).alias("latin"))
+
+
+@query("SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda w: regexp_full_match(w, '[a-z]{3,}')))) AS latin FROM documents WHERE NOT regexp_matches(text, '[\\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]')")
+def word_classes(spark, sf):
+    docs = table(spark, sf, "documents").where(~F.col("text").rlike("[\\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"))
+    return docs.select("doc_id", F.size(t.word_tokens(t.tokens(F.lower("text")))).alias("latin"))
+
+
+@query("SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS price, CAST(NULL AS BIGINT) AS missing FROM part")
+def parse_price(spark, sf):
+    cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
+    shown = F.concat(F.translate(F.format_number(cents, 0), "0123456789,", "۰۱۲۳۴۵۶۷۸۹٬"), F.lit(" تومان"))
+    return table(spark, sf, "part").select("p_partkey", t.parse_price(shown).alias("price"), t.parse_price(F.lit("تماس بگیرید")).alias("missing"))
+
+
+@query("SELECT p_partkey, p_size / 10.0 AS rate, p_size AS reviews FROM part")
+def rating_parse(spark, sf):
+    rate, reviews = F.concat(F.lit("rated "), F.format_number(F.col("p_size") / 10, 1), F.lit(" of 5")), F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(",123 reviews)"))
+    return table(spark, sf, "part").select("p_partkey", t.first_decimal(F.translate(rate, "0123456789", t.PERSIAN_DIGITS)).alias("rate"), t.first_integer(reviews).alias("reviews"))
+
+
+@query("SELECT page_id, url || '.jpg?w=800' AS first, url || '.jpg?h=2&w=150' AS second FROM pages WHERE url NOT LIKE '%?w=%'")
+def upscale_url(spark, sf):
+    pages = table(spark, sf, "pages").where(~F.contains("url", F.lit("?w=")))
+    return pages.select("page_id", t.upscale_image(F.concat("url", F.lit(".jpg?w=150"))).alias("first"), t.upscale_image(F.concat("url", F.lit(".jpg?h=2&w=150"))).alias("second"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'https://shop.example/p/' || page_id END AS url FROM pages")
+def absolute_url(spark, sf):
+    href = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("//p/"), F.col("page_id").cast("string")))
+    return table(spark, sf, "pages").select("page_id", t.absolute_url(href, "https://shop.example/").alias("url"))
+
+
+@query(r"""
+SELECT page_id, coalesce(url_decode(list_filter(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '/'), lambda x: x <> '')[-1]), 'unknown-product') AS slug FROM pages""")
+def url_slug(spark, sf):
+    return table(spark, sf, "pages").select("page_id", t.url_slug(F.col("url")).alias("slug"))
+
+
+@query(r"""SELECT page_id, left(trim(regexp_replace(regexp_replace(url || ' ..', '[<>:"/\\|?*\x00-\x1f]', '-', 'g'), '-{2,}', '-', 'g'), ' .'), 120) AS folder FROM pages""")
+def sanitize_name(spark, sf):
+    return table(spark, sf, "pages").select("page_id", t.folder_name(F.concat("url", F.lit(" .."))).alias("folder"))
+
+
+# -- ratios over pairs of names --------------------------------------------------------------------
+
+
+def name_pairs(spark, sf) -> DataFrame:
+    """Pairs a < b of distinct names that share a word."""
+    words = table(spark, sf, "part").select("p_name").distinct().select(F.col("p_name"), F.explode(F.split("p_name", " ")).alias("word"))
+    a, b = words.select(F.col("p_name").alias("a"), "word"), words.select(F.col("p_name").alias("b"), "word")
+    return a.join(b, "word").where("a < b").select("a", "b").distinct()
+
+
+_PAIRS = "(SELECT x.n AS a, y.n AS b FROM (SELECT DISTINCT p_name AS n FROM part) x JOIN (SELECT DISTINCT p_name AS n FROM part) y ON x.n < y.n AND list_has_any(string_split(x.n, ' '), string_split(y.n, ' ')))"
+
+
+def _lcs_sql(a: str, b: str) -> str:
+    return (
+        f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE list_reduce(list_transform(string_split({a}, ''), lambda c: [ascii(c)]), lambda prev, c: list_reduce(list_transform(range(1, length({b}) + 1), lambda j: [j]), "
+        f"lambda acc, j: list_append(acc, greatest(prev[j[1] + 1], acc[len(acc)], prev[j[1]] + CASE WHEN ascii(substr({b}, j[1], 1)) = c[1] THEN 1 ELSE 0 END)), [0::BIGINT]), list_transform(range(0, length({b}) + 1), lambda j: 0::BIGINT))[-1] END"
+    )
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    return f"CAST(round_even(200.0 * ({_lcs_sql(a, b)}) / (length({a}) + length({b})), 0) AS INT)"
+
+
+@query(f"SELECT a, b, levenshtein(a, b) AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS similarity FROM {_PAIRS}")
+def levenshtein_pairs(spark, sf):
+    return name_pairs(spark, sf).select("a", "b", F.levenshtein("a", "b").alias("distance"), F.round(fuzzy.edit_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query(f"""
+SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(x || y)), 6) AS jaccard, list_sort(list_intersect(x, y)) AS common, list_sort(list_filter(x, lambda w: NOT list_contains(y, w))) AS only_a
+FROM (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM {_PAIRS})""")
+def jaccard_tokens(spark, sf):
+    x, y = F.split("a", " "), F.split("b", " ")
+    return name_pairs(spark, sf).select("a", "b", F.round(fuzzy.jaccard(x, y), 6).alias("jaccard"), F.array_sort(F.array_intersect(x, y)).alias("common"), F.array_sort(F.array_except(x, y)).alias("only_a"))
+
+
+@query(f"SELECT a, b, {_ratio_sql('a', 'b')} AS ratio FROM {_PAIRS}")
+def indel_ratio(spark, sf):
+    return name_pairs(spark, sf).select("a", "b", fuzzy.ratio_column(F.col("a"), F.col("b")).alias("ratio"))
+
+
+@query(f"SELECT a, b, {_ratio_sql('x', 'y')} AS ratio FROM (SELECT a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') AS x, array_to_string(list_sort(string_split(b, ' ')), ' ') AS y FROM {_PAIRS})")
+def token_sort_ratio(spark, sf):
+    return name_pairs(spark, sf).select("a", "b", fuzzy.token_sort_column(F.col("a"), F.col("b")).alias("ratio"))
+
+
+# Each pair shares one of two words, so the other words are the rests.
+@query(f"""
+WITH p AS (SELECT a, b, list_intersect(string_split(a, ' '), string_split(b, ' '))[1] AS i, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM {_PAIRS}),
+     r AS (SELECT a, b, i, list_filter(x, lambda w: w <> i)[1] AS u, list_filter(y, lambda w: w <> i)[1] AS v FROM p),
+     s AS (SELECT *, length(i) AS n, length(i) + 1 + length(u) AS m, length(i) + 1 + length(v) AS o, length(u) + length(v) - 2 * ({_lcs_sql('u', 'v')}) AS apart FROM r)
+SELECT a, b, CAST(round_even(greatest(100 * (1 - apart / (m + o)), 100 * (1 - (m - n) / (m + n)), 100 * (1 - (o - n) / (o + n))), 0) AS INT) AS ratio FROM s""")
+def token_set_ratio(spark, sf):
+    return name_pairs(spark, sf).select("a", "b", fuzzy.token_set_column(F.col("a"), F.col("b")).alias("ratio"))
+
+
+@query(f"SELECT a, b, len(list_intersect(string_split(a || ' ' || a, ' '), string_split(b, ' '))) AS hits FROM {_PAIRS}")
+def multiset_match(spark, sf):
+    a = F.split(F.concat_ws(" ", "a", "a"), " ")
+    return name_pairs(spark, sf).select("a", "b", fuzzy.multiset_matches(a, F.split("b", " ")).cast("long").alias("hits"))
+
+
+# Two words a side: the first takes its best, the second what is left.
+@query(f"""
+WITH w AS (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM {_PAIRS}),
+     s AS (SELECT a, b, x, y, 1 - levenshtein(x[1], y[1]) / greatest(length(x[1]), length(y[1])) AS s11, 1 - levenshtein(x[1], y[2]) / greatest(length(x[1]), length(y[2])) AS s12,
+                  1 - levenshtein(x[2], y[1]) / greatest(length(x[2]), length(y[1])) AS s21, 1 - levenshtein(x[2], y[2]) / greatest(length(x[2]), length(y[2])) AS s22 FROM w)
+SELECT a, b, CASE WHEN greatest(s11, s12) >= 0.5 THEN 1 + CASE WHEN CASE WHEN s11 >= s12 THEN s22 ELSE s21 END >= 0.5 THEN 1 ELSE 0 END
+             ELSE CASE WHEN greatest(s21, s22) >= 0.5 THEN 1 ELSE 0 END END AS hits FROM s""")
+def greedy_fuzzy_pairing(spark, sf):
+    return name_pairs(spark, sf).select("a", "b", fuzzy.greedy_pairs(F.split("a", " "), F.split("b", " "), 0.5).alias("hits"))
+
+
+# -- dictionaries ----------------------------------------------------------------------------------
+
+_ALIASES = (("red plate", "BRAND_RP", 0), ("red", "BRAND_RED", 1), ("small", "BRAND_OLD", 2), ("small", "BRAND_SMALL", 3), ("gizmo", "BRAND_GIZMO", 4), ("hot gear", "BRAND_HG", 5), ("Gear Hot", "BRAND_GH", 6))
+_VALUES = ", ".join(f"('{a.lower()}', '{b}', {k})" for a, b, k in _ALIASES)
+
+
+def _dictionary(spark):
+    return spark.createDataFrame(list(_ALIASES), "alias string, brand_id string, ord long")
+
+
+@query(f"SELECT alias, max_by(brand_id, ord) AS brand_id FROM (VALUES {', '.join(str(x) for x in _ALIASES)}) v(alias, brand_id, ord) GROUP BY alias")
+def dict_last_wins(spark, sf):
+    return lexicon.last_wins(_dictionary(spark))
+
+
+# Names of two words: the whole name, or word by word.
+@query(f"""
+WITH d AS (SELECT alias, max_by(brand_id, ord) AS id FROM (VALUES {_VALUES}) v(alias, brand_id, ord) GROUP BY alias),
+     p AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS w FROM part)
+SELECT p_partkey, CASE WHEN b.id IS NOT NULL THEN [b.id] ELSE [coalesce(x.id, w[1]), coalesce(y.id, w[2])] END AS resolved
+FROM p LEFT JOIN d b ON b.alias = p_name LEFT JOIN d x ON x.alias = w[1] LEFT JOIN d y ON y.alias = w[2]""")
+def dict_longest_match(spark, sf):
+    parts = table(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    return lexicon.longest_matches(parts, _dictionary(spark), "p_partkey", "w").select("p_partkey", "resolved")
+
+
+@query("SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda w: w NOT IN ('red', 'old', 'bolt')) AS words FROM part")
+def stopwords(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.filter(F.split("p_name", " "), lambda w: ~w.isin("red", "old", "bolt")).alias("words"))
+
+
+_LEXICON = lexicon.Lexicon(tuple((a.upper(), b) for a, b, _ in _ALIASES), ("WIDGET", "PLATE", "BOLT"), ("OLD", "old"))
+
+
+def _shaded(spark, sf):
+    """Pairs of names that share a word, with shade codes and volumes that agree in part."""
+    code = lambda c: F.pmod(F.xxhash64(c), F.lit(3)).cast("string")
+    return name_pairs(spark, sf).select(F.concat_ws(" ", "a", F.concat(F.lit("NC"), code("a")), F.lit("50 ml")).alias("site"), F.concat_ws(" ", "b", F.concat(F.lit("NC "), code("b")), F.lit("50ml")).alias("target"))
+
+
+@query()
+def slot_trie_regex_scores(spark, sf):
+    return _shaded(spark, sf).withColumn("s", names.scores(F.col("site"), F.col("target"), _LEXICON)).select("site", "target", "s.*")
+
+
+@query()
+def parse_slots(spark, sf):
+    return _shaded(spark, sf).select("site", names.parsed(F.col("site"), _LEXICON).alias("s")).select("site", "s.*")
+
+
+# -- matching --------------------------------------------------------------------------------------
+
+_SCORES = ("s_edit", "s_jaccard", "s_prefix")
+
+
+def _cards(spark, sf) -> DataFrame:
+    """Targets are the first part of each brand; its listing is the brand's other parts, on pages of 10."""
+    parts = table(spark, sf, "part").select("p_brand", "p_partkey", "p_name")
+    first = parts.groupBy(F.col("p_brand").alias("row_id")).agg(F.min_by("p_name", "p_partkey").alias("title"), F.min("p_partkey").alias("own"))
+    targets = first.select("row_id", "title", F.array(F.reverse(F.split("title", " "))).alias("r"), "own").select("row_id", "title", F.transform("r", lambda x: F.array_join(x, " ")).alias("names"), "own")
+    listed = parts.join(first.select(F.col("row_id").alias("p_brand"), "own"), "p_brand").where("p_partkey <> own")
+    listings = listed.select(F.col("p_brand").alias("row_id"), F.floor(F.col("p_partkey") / 250).cast("int").alias("page_num"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 9 != 0, F.concat(F.lit("/p/"), F.floor(F.col("p_partkey") / 2).cast("string"))).alias("href"))
+    return matching.candidates(targets, listings)
+
+
+def _scored(spark, sf) -> DataFrame:
+    a, b = F.col("name"), F.col("target_name")
+    prefix = lambda x, y: F.aggregate(F.sequence(F.lit(1), F.least(F.length(x), F.length(y))), F.lit(0), lambda n, k: n + (F.substring(x, F.lit(1), k) == F.substring(y, F.lit(1), k)).cast("int"))
+    return _cards(spark, sf).withColumns({"s_edit": fuzzy.edit_similarity(a, b), "s_jaccard": fuzzy.jaccard(F.split(a, " "), F.split(b, " ")), "s_prefix": prefix(a, b) / F.greatest(F.length(a), F.length(b))})
+
+
+_CARD = ["row_id", "page_num", "pos", "name", "href"]
+_SCORED_SQL = """
+f AS (SELECT p_brand AS row_id, min_by(p_name, p_partkey) AS title, min(p_partkey) AS own FROM part GROUP BY p_brand),
+n AS (SELECT row_id, own, 0 AS name_pos, title AS target_name FROM f UNION ALL SELECT row_id, own, 1, array_to_string(list_reverse(string_split(title, ' ')), ' ') FROM f),
+c AS (SELECT n.row_id, name_pos, target_name, p_partkey // 250 AS page_num, p_partkey AS pos, p_name AS name, '/p/' || (p_partkey // 2) AS href
+      FROM part JOIN n ON p_brand = row_id WHERE p_partkey <> own AND p_partkey % 9 <> 0 AND p_partkey // 250 <= 30),
+s AS (SELECT *, 1 - levenshtein(name, target_name) / greatest(length(name), length(target_name)) AS s1,
+             len(list_intersect(string_split(name, ' '), string_split(target_name, ' '))) / len(list_distinct(string_split(name, ' ') || string_split(target_name, ' '))) AS s2,
+             len(list_filter(range(1, least(length(name), length(target_name)) + 1), lambda k: left(name, k) = left(target_name, k))) / greatest(length(name), length(target_name)) AS s3 FROM c),
+e AS (SELECT row_id, page_num, pos, name, href, coalesce(max((s1 + s2 + s3) / 3) FILTER (greatest(s1, s2, s3) > 0.6), 0) AS avg_score, coalesce(max(greatest(s1, s2, s3)) FILTER (greatest(s1, s2, s3) > 0.6), 0) AS max_score
+      FROM s GROUP BY ALL)"""
+
+
+def _shown(cards: DataFrame, *more: str) -> DataFrame:
+    return cards.select("row_id", "pos", "href", F.round("avg_score", 6).alias("avg_score"), F.round("max_score", 6).alias("max_score"), *more)
+
+
+_SHOWN = "row_id, pos, href, round(avg_score, 6) AS avg_score, round(max_score, 6) AS max_score"
+
+
+@query(f"WITH {_SCORED_SQL} SELECT row_id, pos, name_pos, round(s1, 6) AS s1, round(s2, 6) AS s2, round(s3, 6) AS s3 FROM s WHERE greatest(s1, s2, s3) > 0.6")
+def gate_any(spark, sf):
+    rows = _scored(spark, sf)
+    return rows.where(matching.passes_gate(*(F.col(x) for x in _SCORES))).select("row_id", "pos", "name_pos", *(F.round(x, 6).alias(f"s{k}") for k, x in enumerate(_SCORES, 1)))
+
+
+def _ensemble(spark, sf):
+    return matching.ensemble(_scored(spark, sf), _CARD, _SCORES)
+
+
+@query(f"WITH {_SCORED_SQL} SELECT {_SHOWN} FROM e")
+def ensemble_card(spark, sf):
+    return _shown(_ensemble(spark, sf))
+
+
+@query(f"WITH {_SCORED_SQL} SELECT {_SHOWN} FROM e WHERE avg_score > 0.7 OR max_score > 0.7")
+def candidate_filter(spark, sf):
+    return _shown(matching.qualified(_ensemble(spark, sf)))
+
+
+def _best_sql(by: str) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY {by} DESC, page_num, pos) AS k FROM q) WHERE k = 1"
+
+
+_QUALIFIED = f"{_SCORED_SQL}, q AS (SELECT * FROM e WHERE avg_score > 0.7 OR max_score > 0.7)"
+
+
+@query(f"WITH {_QUALIFIED} SELECT {_SHOWN} FROM ({_best_sql('avg_score')})")
+def best_by_avg(spark, sf):
+    return _shown(matching.best(matching.qualified(_ensemble(spark, sf)), "avg_score", "row_id", ["page_num", "pos"]))
+
+
+@query(f"WITH {_QUALIFIED} SELECT {_SHOWN} FROM ({_best_sql('max_score')})")
+def best_by_max(spark, sf):
+    return _shown(matching.top_by_window(matching.qualified(_ensemble(spark, sf)), "max_score", "row_id", ["page_num", "pos"]))
+
+
+def _emit_sql(shadow: str) -> str:
+    return f"""WITH {_QUALIFIED}, x AS ({_best_sql('avg_score')}), y AS ({_best_sql('max_score')})
+SELECT {_SHOWN}, 'avg' AS reason FROM x WHERE avg_score >= 0.7
+UNION ALL SELECT y.row_id, y.pos, y.href, round(y.avg_score, 6), round(y.max_score, 6), 'max' FROM y JOIN x USING (row_id) WHERE y.max_score >= 0.7 AND NOT ({shadow})"""
+
+
+@query(_emit_sql("y.href = x.href"))
+def emit_parity(spark, sf):
+    return _shown(matching.emitted(matching.qualified(_ensemble(spark, sf)), "row_id", ["page_num", "pos"], "href", parity=True), "reason")
+
+
+@query(_emit_sql("y.href = x.href AND x.avg_score >= 0.7"))
+def emit_fixed(spark, sf):
+    return _shown(matching.emitted(matching.qualified(_ensemble(spark, sf)), "row_id", ["page_num", "pos"], "href"), "reason")
+
+
+@query("""
+WITH f AS (SELECT p_brand, min_by(p_name, p_partkey) AS title, min(p_partkey) AS own FROM part GROUP BY p_brand),
+     s AS (SELECT p_brand, title, p_partkey, p_name, 1 - levenshtein(p_name, title) / greatest(length(p_name), length(title)) AS sim FROM part JOIN f USING (p_brand) WHERE p_partkey <> own),
+     r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY sim DESC, p_partkey) AS k FROM s WHERE sim > 0.6)
+SELECT p_brand, title, p_partkey, p_name, round(sim, 6) AS similarity FROM r WHERE k = 1""")
+def brand_blocked_match(spark, sf):
+    """The most similar other part of each brand's first part."""
+    parts = table(spark, sf, "part").select("p_brand", "p_partkey", "p_name")
+    first = parts.groupBy("p_brand").agg(F.min_by("p_name", "p_partkey").alias("title"), F.min("p_partkey").alias("own"))
+    scored = parts.join(first, "p_brand").where("p_partkey <> own").withColumn("sim", fuzzy.edit_similarity(F.col("p_name"), F.col("title"))).where(F.col("sim") > matching.GATE)
+    return matching.best(scored, "sim", "p_brand", ["p_partkey"]).select("p_brand", "title", "p_partkey", "p_name", F.round("sim", 6).alias("similarity"))
+
+
+# -- pages -----------------------------------------------------------------------------------------
+
+
+def _plain_sql(x: str) -> str:
+    out = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for entity, char in extract.ENTITIES:
+        out = f"replace({out}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"trim({out})"
+
+
+_H1 = _plain_sql("regexp_extract(html, '(?s)<h1\\b[^>]*>(.*?)</h1>', 1)")
+
+
+_TITLE = _plain_sql("regexp_extract(html, '(?s)<title\\b[^>]*>(.*?)</title>', 1)")
+
+
+@query(f"SELECT page_id, nullif({_TITLE}, '') AS title, nullif({_H1}, '') AS heading FROM pages")
+def html_title(spark, sf):
+    return table(spark, sf, "pages").select("page_id", extract.element(F.col("html"), "title").alias("title"), extract.element(F.col("html"), "h1").alias("heading"))
+
+
+@query("SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*?href=\"([^\"]*)\"', 1) AS links, coalesce(list_filter(regexp_extract_all(regexp_extract(html, '(?s)<nav\\b[^>]*>(.*?)</nav>', 1), '(?s)<a\\b[^>]*>(.*?)</a>', 1), lambda x: trim(x) <> '')[1], '') AS brand FROM pages")
+def html_links(spark, sf):
+    return table(spark, sf, "pages").select("page_id", extract.links(F.col("html")).alias("links"), F.coalesce(extract.breadcrumb(F.col("html"))[0], F.lit("")).alias("brand"))
+
+
+@query(f"""SELECT page_id, len(list_filter(list_transform(regexp_extract_all(html, '(?s)<p\\b[^>]*>(.*?)</p>', 1), lambda x: {_plain_sql('x')}), lambda x: x <> '')) AS blocks FROM pages""")
+def html_blocks(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.size(extract.blocks(F.col("html"))).cast("long").alias("blocks"))
+
+
+@query()
+def html_blocks_exact(spark, sf):
+    return table(spark, sf, "pages").select("page_id", extract.blocks_exact(F.col("html")).alias("blocks"))
+
+
+@query(f"SELECT page_id, {_H1} AS name_fa, CAST(NULL AS BIGINT) AS real_price, false AS has_discount, true AS in_stock, CAST(NULL AS VARCHAR) AS error FROM pages")
+def html_record(spark, sf):
+    record = extract.product(F.col("html"), F.col("url"), F.lit("q"))
+    return table(spark, sf, "pages").select("page_id", record.alias("r")).select("page_id", "r.name_fa", "r.real_price", "r.has_discount", "r.in_stock", "r.error")
+
+
+@query("SELECT page_id, contains(lower(html), 'cloudflare') OR contains(lower(html), 'just a moment') AS bot, contains(lower(html), 'track(1') OR contains(lower(html), 'ution') AS other FROM pages")
+def bot_flag(spark, sf):
+    return table(spark, sf, "pages").select("page_id", extract.challenged(F.col("html")).alias("bot"), extract.challenged(F.col("html"), ("track(1", "ution")).alias("other"))
+
+
+@query("""
+WITH l AS (SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*?href="([^"]*)"', 1) AS x FROM pages),
+     u AS (SELECT page_id, unnest(x || x) AS v, generate_subscripts(x || x, 1) AS k FROM l),
+     g AS (SELECT page_id, v, min(k) AS k FROM u WHERE v <> '' GROUP BY page_id, v)
+SELECT l.page_id, coalesce(list(v ORDER BY k) FILTER (v IS NOT NULL), []) AS images FROM l LEFT JOIN g ON l.page_id = g.page_id GROUP BY l.page_id""")
+def image_distinct(spark, sf):
+    found = extract.links(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", state.ordered_distinct(F.concat(found, found)).alias("images"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice) AS BIGINT) AS real_price, CASE WHEN l_discount > 0 THEN CAST(round(l_extendedprice * (1 - l_discount)) AS BIGINT) END AS discounted_price, l_discount > 0 AS has_discount, CASE WHEN l_discount > 0 THEN CAST(round(l_discount * 100) AS INT) END AS discount_percentage FROM lineitem")
+def availability_price(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    whole = F.round("l_extendedprice").cast("bigint").cast("string")
+    cut = F.col("l_discount") > 0
+    final = F.when(cut, F.round(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("bigint").cast("string")).otherwise(whole)
+    price = extract.prices(F.when(cut, whole).otherwise(F.lit("")), final, F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%")))
+    return lines.select("l_orderkey", "l_linenumber", price.alias("p")).select("l_orderkey", "l_linenumber", "p.*")
+
+
+# -- relaxation and streaming ----------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, true AS query_ok, p_partkey % 4 <> 0 OR p_size = 7 AS names_ok FROM part")
+def relax_validate(spark, sf):
+    titled = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.concat(F.lit("NC"), "p_size"), F.lit("50 ml")).alias("title"))
+    rows = relax.by_rules(titled)
+    spoilt = F.when(F.col("p_partkey") % 4 == 0, F.concat("normalized_product_name5", F.lit(" 7x"))).otherwise(F.col("normalized_product_name5"))
+    return rows.withColumn("normalized_product_name5", spoilt).select("p_partkey", relax.query_ok(F.col(relax.CELLS[0])).alias("query_ok"), relax.names_ok(F.col("title"), *(F.col(c) for c in relax.CELLS[1:])).alias("names_ok"))
+
+
+@query(SQL["brand_blocked_match"])
+def incremental_match(spark, sf):
+    """Parts as a stream of listing files, matched with the first part of their brand as they come."""
+    from ..streaming.incremental import match_stream, read_matches
+
+    parts = table(spark, sf, "part")
+    folder = (spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp()) + f"/incremental-{spark.sparkContext.startTime}-{id(parts)}"
+    parts.select("p_brand", "p_partkey", "p_name").repartition(1).write.mode("overwrite").parquet(f"{folder}/in")
+    first = parts.groupBy("p_brand").agg(F.min_by("p_name", "p_partkey").alias("title"), F.min("p_partkey").alias("own"))
+
+    def match(batch: DataFrame) -> DataFrame:
+        scored = batch.join(first, "p_brand").where("p_partkey <> own").withColumn("sim", fuzzy.edit_similarity(F.col("p_name"), F.col("title"))).where(F.col("sim") > matching.GATE)
+        return matching.best(scored, "sim", "p_brand", ["p_partkey"])
+
+    stream = spark.readStream.schema("p_brand string, p_partkey long, p_name string").parquet(f"{folder}/in")
+    match_stream(stream, match, f"{folder}/out", f"{folder}/state").awaitTermination()
+    best = matching.best(read_matches(spark, f"{folder}/out").drop("batch"), "sim", "p_brand", ["p_partkey"])
+    return best.select("p_brand", "title", "p_partkey", "p_name", F.round("sim", 6).alias("similarity"))
