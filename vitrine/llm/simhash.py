@@ -140,14 +140,24 @@ def keyed(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def _runs(batches: Iterable[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Sorted batches regrouped so that no run of equal first columns (all but the last) is cut,
-    unless it is longer than BLOCK; then the pieces come as they are."""
-    rest = None
+def _runs(batches: Iterable[pa.RecordBatch], columns: int, block: int) -> Iterator[tuple[bool, tuple[np.ndarray, ...]]]:
+    """Sorted batches regrouped into (False, arrays), in which no run of equal first ``columns`` is cut, and
+    (True, arrays): a part of a run that is longer than ``block``, passed on without gathering it."""
+    rest, crowded = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
         arrays = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if crowded is not None:
+            same = np.ones(len(arrays[0]), bool)
+            for c, key in zip(arrays, crowded, strict=False):
+                same &= c == key
+            n = int(same.sum())
+            if n:
+                yield True, tuple(c[:n] for c in arrays)
+            if n == len(same):
+                continue
+            arrays, crowded = [c[n:] for c in arrays], None
         if rest is not None:
             arrays = [np.concatenate(x) for x in zip(rest, arrays, strict=True)]
         differs = np.zeros(len(arrays[0]), bool)
@@ -155,10 +165,13 @@ def _runs(batches: Iterable[pa.RecordBatch], columns: int) -> Iterator[tuple[np.
             differs |= c != c[-1]
         cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
         if cut:
-            yield tuple(c[:cut] for c in arrays)
+            yield False, tuple(c[:cut] for c in arrays)
         rest = [c[cut:] for c in arrays]
+        if len(rest[0]) > block:
+            yield True, tuple(rest)
+            rest, crowded = None, tuple(c[-1] for c in arrays[:columns])
     if rest is not None and len(rest[0]):
-        yield tuple(rest)
+        yield False, tuple(rest)
 
 
 def _start(key: int) -> int:
@@ -170,14 +183,17 @@ PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64(
 SHORT = 16
 
 
-def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within the runs of a key: (a, b, null). Members of runs above BLOCK come back as (fp, null, key)."""
-    for key, fp in _runs(batches, 1):
+def _compare(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Links within the runs of a key: (a, b, null). Members of runs above ``block`` come back as (fp, null, key)."""
+    for crowded, (key, fp) in _runs(batches, 1, block):
+        if crowded:
+            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(key)], schema=PAIR_SCHEMA)
+            continue
         bits = fp.astype(np.uint64)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         length = np.diff(np.append(first, len(key)))
         of = np.repeat(np.arange(len(first)), length)
-        short = length[of] <= SHORT
+        short = length[of] <= min(SHORT, block)
         start = (key >> 3 * WIDTH) // len(FOLLOWERS)
         out_a, out_b = [], []
         for step in range(1, min(SHORT, int(length.max()))):
@@ -186,7 +202,7 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out_a.append(fp[at])
             out_b.append(fp[at + step])
         pairs = []
-        for k in np.flatnonzero((length > SHORT) & (length <= BLOCK)):
+        for k in np.flatnonzero((length > min(SHORT, block)) & (length <= block)):
             part = bits[first[k] : first[k] + length[k]]
             pairs += forest(part, None, _start(key[first[k]]))
         if pairs:
@@ -196,14 +212,15 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if out_a and sum(map(len, out_a)):
             a, b = np.concatenate(out_a), np.concatenate(out_b)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], schema=PAIR_SCHEMA)
-        long = length[of] > BLOCK
+        long = length[of] > block
         if long.any():
             yield pa.RecordBatch.from_arrays([pa.array(fp[long]), pa.nulls(int(long.sum()), pa.int64()), pa.array(key[long])], schema=PAIR_SCHEMA)
 
 
 def _compare_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within and between two blocks of one key; rows (key, low, high, block, fp) sorted by the first three."""
-    for key, low, high, block, fp in _runs(batches, 3):
+    # Blocks hold about half of BLOCK each, by hash; what two of them hold is gathered.
+    for _, (key, low, high, block, fp) in _runs(batches, 3, 1 << 62):
         bits = fp.astype(np.uint64)
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
         for i, j in zip(first, [*first[1:], len(key)], strict=True):
@@ -217,14 +234,18 @@ def _compare_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.nulls(len(x), pa.int64())], schema=PAIR_SCHEMA)
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints that connect all that differ in at most DISTANCE bits."""
+def links(nodes: DataFrame, block: int | None = None) -> DataFrame:
+    """(a, b): pairs of distinct fingerprints that connect all that differ in at most DISTANCE bits.
+
+    Keys of up to ``block`` fingerprints are compared whole, larger ones block by block; the links are the same.
+    """
+    block = block or BLOCK
     dealt = keyed(nodes).repartition("key").sortWithinPartitions("key")
-    compared, compared_uri = materialise(dealt.mapInArrow(_compare, "a long, b long, key long"), "compared")
+    compared, compared_uri = materialise(dealt.mapInArrow(lambda batches: _compare(batches, block), "a long, b long, key long"), "compared")
     found = compared.where("key is null").select("a", "b")
     crowded = compared.where("key is not null").select("key", F.col("a").alias("fp"))
     if crowded.limit(1).count():
-        sizes = crowded.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK / 2)).cast("int").alias("blocks"))
+        sizes = crowded.groupBy("key").agg(F.ceil(F.count("*") / F.lit(max(1, block // 2))).cast("int").alias("blocks"))
         rows = crowded.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         # A block meets each other block of its key and itself: n blocks give n rows for each row.
         rows = rows.select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
