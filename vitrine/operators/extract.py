@@ -82,7 +82,7 @@ def out_of_stock_flag(html: Column) -> tuple[Column, Column]:
 def images(labels: Column, urls: Column) -> Column:
     """Map from colour label, or color_i, to its images in full size; of equal labels the last counts."""
     named = F.transform(labels, lambda x, i: F.when(F.coalesce(F.trim(x), F.lit("")) == "", F.concat(F.lit("color_"), i.cast("string"))).otherwise(x))
-    entries = F.zip_with(named, urls, lambda k, v: F.struct(k.alias("key"), F.transform(v, t.upscale_image).alias("value")))
+    entries = F.zip_with(named, urls, lambda k, v: F.struct(k.alias("key"), F.transform(v, lambda u: t.upscale_image(u)).alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
     return F.map_from_entries(last)
 
@@ -92,7 +92,7 @@ def product(html: Column, url: Column, query: Column) -> Column:
     brand, category = breadcrumb(html)
     flagged, in_stock = out_of_stock_flag(html)
     text = lambda tag, mark: element(html, tag, rf'[^>]*class="[^"]*{mark}[^"]*"')
-    price = prices(text("del", ""), text("span", "price"), text("span", "discount"))
+    price = prices(element(html, "del"), text("span", "price"), text("span", "discount"))
     name = F.coalesce(element(html, "h1"), F.lit(""))
     error = F.when(challenged(html), F.lit("challenge page"))
     return F.struct(
