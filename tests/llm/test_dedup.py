@@ -128,21 +128,24 @@ def test_every_pair_within_distance_shares_a_chain():
         for bit in draw.choice(64, draw.integers(0, 7), replace=False):
             b[k] ^= np.uint64(1 << int(bit))
     close = np.bitwise_count(a ^ b) <= 4
-    found = np.zeros(len(a), bool)
     segment = lambda x, k: (x >> np.uint64(8 * (k % 8))) & np.uint64(255)
-    for start in range(8):
-        for p, q in simhash.FOLLOWERS:
-            keyed = (segment(a, start) == segment(b, start)) & (segment(a, start + p) == segment(b, start + p)) & (segment(a, start + q) == segment(b, start + q))
-            found |= keyed & simhash.near(a, b, start)
-    assert (found == close).all()
-
-
-def test_blocks_of_one_key(spark):
+    assert simhash.followers(2) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4)] and len(simhash.followers(3)) == 14
+    for n in (2, 3):
+        found = np.zeros(len(a), bool)
+        for start in range(8):
+            for choice in simhash.followers(n):
+                keyed = np.all([segment(a, start + k) == segment(b, start + k) for k in (0, *choice)], axis=0)
+                found |= keyed & simhash.near(a, b, start)
+        assert (found == close).all()
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_blocks_of_one_key(spark, n):
     """Many distinct fingerprints under one key are compared block by block, over a long chain too."""
     base = 0x0123456789ABCDEF
     prints = [base ^ (k << 40) for k in range(300)] + [(1 << 62) + 7 * k**3 for k in range(50)]
     nodes = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp long")
-    roots = simhash.components(simhash.links(nodes, block=16)).collect()
+    roots = simhash.components(simhash.links(nodes, block=16, n=n)).collect()
     group = {}
     for r in roots:
         group.setdefault(r.root, set()).add(r.node)

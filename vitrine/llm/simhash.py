@@ -3,9 +3,10 @@
 A fingerprint has 64 bits in 8 segments that form a ring. If two fingerprints differ in at most 4
 bits, there is a segment from which every chain of l consecutive segments differs in at most
 l * 4 / 8 bits. So, counted from that segment: it is equal itself, of the next two segments one at
-least is equal, and of the next four two at least are. Two fingerprints are compared only if they
-agree in a start segment and two of the following four that fit this; then the budgets of all chains
-from that start are checked, and at last the full distance.
+least is equal, of the next four two at least are, and of the next six three. Two fingerprints are
+compared only if they agree in a start segment and two (for very many fingerprints three) of the
+following that fit this; then the budgets of all chains from that start are checked, and at last the
+full distance. Every pair within the distance is found with either number.
 
 Exact copies fall together before any of this, as the work is on distinct fingerprints. Fingerprints
 that share a key are linked by a forest, not by all their pairs: a fingerprint already reached is not
@@ -15,6 +16,7 @@ compared again.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,15 @@ from .shared import discard, materialise
 
 SHINGLE, SEED, BITS, DISTANCE = 4, 42, 64, 4
 SEGMENTS, WIDTH = 8, 8
-#: Places, counted from the start of a chain, of the two further segments that must be equal.
-FOLLOWERS = ((1, 2), (1, 3), (1, 4), (2, 3), (2, 4))
+
+
+def followers(n: int) -> list[tuple[int, ...]]:
+    """Choices of n equal segments behind a start, as places from it: j or more of them among the first 2j."""
+    return [c for c in combinations(range(1, 2 * n + 1), n) if all(c[j] <= 2 * (j + 1) for j in range(n))]
+
+
+#: Distinct fingerprints up to which keys hold two followers (24 bits); beyond it three (32 bits).
+FEW = 1 << 23
 #: Fingerprints of one key that are compared in one piece; more are compared block by block.
 BLOCK = 2048
 #: Shingles that are hashed and counted at a time.
@@ -126,17 +135,19 @@ def forest(left: np.ndarray, right: np.ndarray | None, start: int) -> list[tuple
     return found
 
 
-def keyed(nodes: DataFrame) -> DataFrame:
-    """(key, start, fp): a row for each start segment and each choice of two followers.
+def keyed(nodes: DataFrame, n: int) -> DataFrame:
+    """(key, fp): a row for each start segment and each choice of n followers.
 
-    The key holds the choice's number and the three segments' bits.
+    The key holds the choice's number and the chosen segments' bits.
     """
     segment = lambda k: F.shiftrightunsigned(F.col("fp"), WIDTH * (k % SEGMENTS)).bitwiseAND(F.lit((1 << WIDTH) - 1))
-    keys = []
+    keys, choices = [], followers(n)
     for start in range(SEGMENTS):
-        for n, (a, b) in enumerate(FOLLOWERS):
-            number = start * len(FOLLOWERS) + n
-            keys.append(F.lit(number << 3 * WIDTH).cast("long") + segment(start) * (1 << 2 * WIDTH) + segment(start + a) * (1 << WIDTH) + segment(start + b))
+        for number, choice in enumerate(choices, start * len(choices)):
+            key = F.lit(number << (n + 1) * WIDTH).cast("long")
+            for place, k in enumerate((0, *choice)):
+                key = key + segment(start + k) * F.lit(1 << (n - place) * WIDTH).cast("long")
+            keys.append(key)
     return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
@@ -174,8 +185,9 @@ def _runs(batches: Iterable[pa.RecordBatch], columns: int, block: int) -> Iterat
         yield False, tuple(rest)
 
 
-def _start(key: int) -> int:
-    return (int(key) >> 3 * WIDTH) // len(FOLLOWERS)
+def starts(keys: np.ndarray, n: int) -> np.ndarray:
+    """The start segments of keys with n followers."""
+    return (keys >> (n + 1) * WIDTH) // len(followers(n))
 
 
 PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
@@ -183,7 +195,7 @@ PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64(
 SHORT = 16
 
 
-def _compare(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterable[pa.RecordBatch], block: int, n: int) -> Iterator[pa.RecordBatch]:
     """Links within the runs of a key: (a, b, null). Members of runs above ``block`` come back as (fp, null, key)."""
     for crowded, (key, fp) in _runs(batches, 1, block):
         if crowded:
@@ -194,7 +206,7 @@ def _compare(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[pa.Recor
         length = np.diff(np.append(first, len(key)))
         of = np.repeat(np.arange(len(first)), length)
         short = length[of] <= min(SHORT, block)
-        start = (key >> 3 * WIDTH) // len(FOLLOWERS)
+        start = starts(key, n)
         out_a, out_b = [], []
         for step in range(1, min(SHORT, int(length.max()))):
             at = np.flatnonzero(short[:-step] & (of[step:] == of[:-step]))
@@ -204,7 +216,7 @@ def _compare(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[pa.Recor
         pairs = []
         for k in np.flatnonzero((length > min(SHORT, block)) & (length <= block)):
             part = bits[first[k] : first[k] + length[k]]
-            pairs += forest(part, None, _start(key[first[k]]))
+            pairs += forest(part, None, int(start[first[k]]))
         if pairs:
             x = np.array(pairs, np.uint64).astype(np.int64)
             out_a.append(x[:, 0])
@@ -217,31 +229,32 @@ def _compare(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(fp[long]), pa.nulls(int(long.sum()), pa.int64()), pa.array(key[long])], schema=PAIR_SCHEMA)
 
 
-def _compare_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_blocks(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Links within and between two blocks of one key; rows (key, low, high, block, fp) sorted by the first three."""
     # Blocks hold about half of BLOCK each, by hash; what two of them hold is gathered.
     for _, (key, low, high, block, fp) in _runs(batches, 3, 1 << 62):
         bits = fp.astype(np.uint64)
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        start = starts(key, n)
         for i, j in zip(first, [*first[1:], len(key)], strict=True):
             if low[i] == high[i]:
-                pairs = forest(bits[i:j], None, _start(key[i]))
+                pairs = forest(bits[i:j], None, int(start[i]))
             else:
                 lower = block[i:j] == low[i]
-                pairs = forest(bits[i:j][lower], bits[i:j][~lower], _start(key[i]))
+                pairs = forest(bits[i:j][lower], bits[i:j][~lower], int(start[i]))
             if pairs:
                 x = np.array(pairs, np.uint64).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.nulls(len(x), pa.int64())], schema=PAIR_SCHEMA)
 
 
-def links(nodes: DataFrame, block: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, block: int | None = None, n: int | None = None) -> DataFrame:
     """(a, b): pairs of distinct fingerprints that connect all that differ in at most DISTANCE bits.
 
     Keys of up to ``block`` fingerprints are compared whole, larger ones block by block; the links are the same.
     """
-    block = block or BLOCK
-    dealt = keyed(nodes).repartition("key").sortWithinPartitions("key")
-    compared, compared_uri = materialise(dealt.mapInArrow(lambda batches: _compare(batches, block), "a long, b long, key long"), "compared")
+    block, n = block or BLOCK, n or (2 if nodes.count() <= FEW else 3)
+    dealt = keyed(nodes, n).repartition("key").sortWithinPartitions("key")
+    compared, compared_uri = materialise(dealt.mapInArrow(lambda batches: _compare(batches, block, n), "a long, b long, key long"), "compared")
     found = compared.where("key is null").select("a", "b")
     crowded = compared.where("key is not null").select("key", F.col("a").alias("fp"))
     if crowded.limit(1).count():
@@ -251,7 +264,7 @@ def links(nodes: DataFrame, block: int | None = None) -> DataFrame:
         rows = rows.select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp")
         dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-        found = found.unionByName(dealt.mapInArrow(_compare_blocks, "a long, b long, key long").select("a", "b"))
+        found = found.unionByName(dealt.mapInArrow(lambda batches: _compare_blocks(batches, n), "a long, b long, key long").select("a", "b"))
     edges, _ = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     discard(nodes.sparkSession, compared_uri)
     return edges
