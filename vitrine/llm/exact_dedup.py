@@ -103,7 +103,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     decided = index.ingest(docs.select("doc_id", "text"))
     staying, _ = materialise(decided.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "staying")
     rows = docs.withColumn(key, F.sha2(normalised(F.col("text")), 256))
-    kept = rows.join(staying, rows[key].eqNullSafe(F.col("_sha")) & rows["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    kept = rows.join(staying, rows[key].eqNullSafe(staying["_sha"]) & rows["doc_id"].cast("long").eqNullSafe(staying["_id"]), "left_semi")
     if decided.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates([key, "doc_id"])
     return kept.select(*(f"`{c}`" for c in columns))

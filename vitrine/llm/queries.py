@@ -54,6 +54,18 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+#: WARC roles and digests in SQL; a base32 digit is five bits of up to three hexadecimal ones.
+OP5_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) || '00' AS h FROM pages),
+     m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM p)
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (((
+           (strpos('0123456789abcdef', substr(h, CAST(5 * i // 4 + 1 AS BIGINT), 1)) - 1) * 256 + (strpos('0123456789abcdef', substr(h, CAST(5 * i // 4 + 2 AS BIGINT), 1)) - 1) * 16
+           + strpos('0123456789abcdef', substr(h, CAST(5 * i // 4 + 3 AS BIGINT), 1)) - 1) >> (7 - 5 * i % 4)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM m
+"""
+
 #: Exact deduplication in SQL; the other operators' answers are not expressible there.
 OP9_SQL = r"""
 WITH rows AS (
@@ -62,7 +74,7 @@ WITH rows AS (
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
        doc_id = first_value(doc_id) OVER w AS kept, text_sha256
 FROM rows WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
-""".replace("\\\\", "\\")
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -70,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op5_warc_salvage": OP5_SQL, "op9_exact_dedup": OP9_SQL}

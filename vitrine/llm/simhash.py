@@ -328,7 +328,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     found, _ = materialise(near_duplicates(docs.select("doc_id", "text")), "components")
     staying, _ = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("component_id", "fingerprint").alias("k")).select(F.col("doc_id").alias("_id"), "n"), "staying")
-    kept = docs.join(staying, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    kept = docs.join(staying, docs["doc_id"].cast("long").eqNullSafe(staying["_id"]), "left_semi")
     if staying.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.select(*(f"`{c}`" for c in columns))
