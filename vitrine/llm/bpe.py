@@ -14,7 +14,9 @@ any length are read in segments, so memory is bounded by the longest run without
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 CONTROL_SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = re.compile(f"[{SPACES}]+")
+BEYOND = re.compile("[^\x00-\u017f]")
 
 #: Characters of a text that are split at once; chunks and words that a cache holds.
 SEGMENT_CHARS = 1 << 20
@@ -207,7 +210,13 @@ class MergeTable:
 
 
 class WordEncoder(ChunkEncoder):
-    """Chunks are normalised and cut into words as the vocabulary's file says; subclasses encode words."""
+    """Chunks are normalised and cut into words as the vocabulary's file says; subclasses encode words.
+
+    All chunks of a call are cut by one pass of the file's pattern over their lines. A line's end stands
+    in the ids as a number that no token has, and there they are parted again.
+    """
+
+    LINE, LINE_ID = "\n", 0xFFFFFFFF
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS, cache_words: int = CACHE_WORDS):
         super().__init__(path, cache_chunks)
@@ -219,45 +228,50 @@ class WordEncoder(ChunkEncoder):
         with open(path, encoding="utf-8") as file:
             self.spec = json.load(file)
         self.normalise = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
-        self.words_of = regex.compile(self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.words_of = regex.compile(f"(?:{self.spec['pre_tokenizer']['pretokenizers'][0]['pattern']['Regex']})|{self.LINE}").findall
         self.marks = [t["content"] for t in self.spec.get("added_tokens", ())]
+        self.hint = os.path.commonprefix(self.marks)
         self.letters = {b: c for b, c in enumerate(byte_alphabet()) if chr(b) != c}
         self.cache_words = cache_words
         self.words: dict[str, bytes] = {}
 
-    def cut(self, chunk: str) -> list[str] | None:
-        """The chunk's words in the byte alphabet, None if it holds a special token."""
-        if chunk.isascii():
-            low = chunk.lower()
-            if low.isalpha():
-                return [low]
-            if low[-1] in ".,|?!" and low[:-1].isalpha():
-                return [low[:-1], low[-1]]
-            if any(m in chunk for m in self.marks):
-                return None
-            return [w.translate(self.letters) for w in self.words_of(low)]
-        # Below U+0180 all characters are composed already and lower-case alike in every library.
-        if max(chunk) < "\u0180" and "<|" not in chunk:
-            low = chunk.lower()
-        elif any(m in chunk for m in self.marks):
-            return None
-        else:
-            low = self.normalise(chunk)
-        return [w.encode("utf-8").decode("latin-1").translate(self.letters) for w in self.words_of(low)]
-
-    def encode_chunks(self, chunks: list[str]) -> Iterable[bytes]:
-        plan = [self.cut(chunk) for chunk in chunks]
-        needed = {w for ws in plan if ws for w in ws}
-        if len(self.words) + len(needed) > self.cache_words:
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        text = self.LINE.join(chunks)
+        if (not self.marks or self.hint not in text) and not BEYOND.search(text):
+            # Below U+0180 all characters are composed already and lower-case alike in every library.
+            return self.encode_lines(text.lower())
+        plain, other, found = [], [], {}
+        for chunk in chunks:
+            if self.marks and self.hint in chunk and any(m in chunk for m in self.marks):
+                found[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            else:
+                (other if BEYOND.search(chunk) else plain).append(chunk)
+        if plain:
+            found.update(zip(plain, self.encode_lines(self.LINE.join(plain).lower()), strict=True))
+        if other:
+            found.update(zip(other, self.encode_lines(self.LINE.join(map(self.normalise, other))), strict=True))
+        return [found[x] for x in chunks]
+
+    def encode_lines(self, text: str) -> list[bytes]:
+        """Ids of each line of a normalised text."""
+        words = self.words_of(text)
+        distinct = set(words)
+        if len(self.words) + len(distinct) > self.cache_words:
             self.words.clear()
         known = self.words
-        known.update(self.encode_words([w for w in needed if w not in known]))
-        return [(known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws))) if ws is not None else self.alone(chunk) for chunk, ws in zip(chunks, plan, strict=True)]
-
-    def alone(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        known[self.LINE] = self.LINE_ID.to_bytes(4, "little")
+        distinct.difference_update(known)
+        if distinct:
+            new = list(distinct)
+            spelt = [w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(self.letters) for w in new]
+            codes = self.encode_words(spelt)
+            known.update(zip(new, map(codes.__getitem__, spelt), strict=True))
+        raw = b"".join(map(known.__getitem__, words))
+        ends = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.LINE_ID)).tolist()
+        return [raw[i:j] for i, j in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)]
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words in the byte alphabet."""
         raise NotImplementedError
 
 
@@ -281,6 +295,16 @@ class TrieEncoder(WordEncoder):
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct byte-alphabet words; a shared prefix is encoded once."""
+        # The trie's many small dictionaries hold no cycles: collecting garbage meanwhile finds nothing.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._walk(words)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _walk(self, words: list[str]) -> dict[str, bytes]:
         root: dict = {}
         for word in words:
             node = root
