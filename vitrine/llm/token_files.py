@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, library_encoder, library_tokenizer, text_batches
-from .shared import attempt_name, discard, materialise, open_input, open_output, scratch, shuffle_partitions
+from .shared import attempt_name, discard, hash_sample, materialise, open_input, open_output, scratch, shuffle_partitions
 
 MAGIC = b"VTOK0001"
 HEADER = struct.Struct("<8sB3x32sQ")  # magic, bytes of an id, dictionary hash, number of documents (index only)
@@ -60,16 +60,16 @@ class IdFormat:
 
 
 def train_format(docs: DataFrame, vocabulary: str, end_id: int) -> IdFormat:
-    """A dictionary from the ids of at most SAMPLE_DOCS documents of at most SAMPLE_CHARS characters,
-    those of smallest key hash. Too few samples to train on give a format without dictionary."""
+    """A dictionary from the ids of about SAMPLE_DOCS documents, drawn by key hash, of those that have at
+    most SAMPLE_CHARS characters. Too few samples to train on give a format without dictionary."""
     import zstandard
 
     size = max(library_tokenizer(vocabulary).get_vocab_size(), end_id + 1)
     width = 2 if size <= 1 << 16 else 4
-    chosen = docs.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text").collect()
+    chosen = hash_sample(docs, SAMPLE_DOCS, "doc_id", salt="dictionary").where(F.length("text").between(1, SAMPLE_CHARS)).select("text").collect()
     encoder = library_encoder(vocabulary)
     pieces = []
-    for raw in encoder.encode_batch(row.text for row in chosen):
+    for raw in encoder.encode_batch(sorted(row.text for row in chosen)):
         raw = np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes()
         pieces += [raw[k : k + PIECE_BYTES] for k in range(0, len(raw), PIECE_BYTES)]
     try:
