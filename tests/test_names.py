@@ -96,5 +96,6 @@ def test_lexicon_tables(spark):
 
 def test_scores_for_sql(spark):
     names.register(spark, LEXICON)
-    row = spark.sql("SELECT similarity_slot('کرم پودر مک NC41', 'کرم پودر مک NC40') AS s, token_sort_ratio('b a', 'a b') AS t, similarity_trie(NULL, 'x') AS n").first()
+    row = spark.sql("SELECT similarity_slot('کرم پودر مک NC41', 'کرم پودر مک NC40') AS s, token_sort_ratio('b a', 'a b') AS t, similarity_trie(NULL, 'x') AS n, parse_product('مک NC41 50ml') AS p").first()
     assert (row.s, row.t, row.n) == (0.25, 100, 0.0)
+    assert (row.p.brand, row.p.code, row.p.volume) == ("BRAND_MAC", "CODE:NC41", "VOL:50ML")

@@ -280,21 +280,27 @@ def scores(site: Column, target: Column, lexicon: Lexicon) -> Column:
     return rate(site, target)
 
 
-def parsed(name: Column, lexicon: Lexicon) -> Column:
-    """struct(brand, type, model, code, volume) of a name."""
+SLOTS = "brand string, type array<string>, model array<string>, code string, volume string"
 
-    @F.pandas_udf("brand string, type array<string>, model array<string>, code string, volume string")
+
+def _parser(lexicon: Lexicon):
     def parse(names: pd.Series) -> pd.DataFrame:
         found = [slots_of(x if isinstance(x, str) else None, lexicon) for x in names]
         return pd.DataFrame({"brand": [f.brand for f in found], "type": [sorted(f.types) for f in found], "model": [list(f.model) for f in found], "code": [f.code for f in found], "volume": [f.volume for f in found]})
 
-    return parse(name)
+    return parse
+
+
+def parsed(name: Column, lexicon: Lexicon) -> Column:
+    """struct(brand, type, model, code, volume) of a name."""
+    return F.pandas_udf(_parser(lexicon), SLOTS)(name)
 
 
 def register(spark, lexicon: Lexicon) -> None:
     """similarity_trie, similarity_regex, similarity_slot, token_set_ratio, token_sort_ratio and parse_product for SQL."""
     for name, score in (("trie", trie_score), ("regex", regex_score), ("slot", slot_score)):
         spark.udf.register(f"similarity_{name}", F.pandas_udf(_scorer(score, lexicon), "double"))
+    spark.udf.register("parse_product", F.pandas_udf(_parser(lexicon), SLOTS))
     for name, rate in (("token_set_ratio", token_set_ratio), ("token_sort_ratio", token_sort_ratio)):
         spark.udf.register(name, F.pandas_udf(_rater(rate), "int"))
 
