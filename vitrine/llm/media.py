@@ -6,8 +6,9 @@ distinct chunk is stored once; a medium is the ordered list of its chunks' diges
 
 Storing takes three steps: tasks cut their media and write the chunks they have not written yet to
 packs of their own (unchanged copies within a task cost nothing); one place is chosen for each digest
-by an aggregate over all packs; and packs are rewritten with the chosen chunks alone, joined by place.
-Chunk bytes are never shuffled, only digests and places are.
+by an aggregate over all packs; and packs are rewritten with the chosen chunks alone. They are
+rewritten in waves, and a wave's old packs are deleted when its new ones are committed, so the store
+is never there twice. Chunk bytes are never shuffled, only digests and places are.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .shared import attempt_name, discard, materialise, open_input, open_output,
 WINDOW, MASK_BITS, LEAST, MOST = 32, 12, 1024, 32768
 UNIT, PAD = 192, b"\x20"
 RATE = 8000
+#: Parts in which packs are rewritten.
+WAVES = 4
 #: Digests of written chunks that a task remembers; beyond it, copies are left to the later steps.
 REMEMBERED = 500_000
 
@@ -184,6 +187,9 @@ def _rewrite_packs(folder: str):
     return run
 
 
+INDEX_SCHEMA = "digest binary, pack string, at long, packed int"
+
+
 def store(media: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Store (doc_id, text) rows; the recipe rows (medium, place, digest, ...) and the index (digest, pack, at, packed).
 
@@ -195,9 +201,17 @@ def store(media: DataFrame) -> tuple[DataFrame, DataFrame]:
     recipe, _ = materialise(source.mapInArrow(_cut_media(f"{folder}/first"), CHUNK_SCHEMA), "recipe")
     # Deduplication over all packs: the first place of each digest, by partial and then whole aggregates.
     first = recipe.where("pack is not null").groupBy("digest").agg(F.min(F.struct("pack", "at", "packed")).alias("x")).select("digest", "x.pack", "x.at", "x.packed")
-    chosen = first.repartitionByRange("pack", "at").sortWithinPartitions("pack", "at")
-    index, _ = materialise(chosen.mapInArrow(_rewrite_packs(f"{folder}/packs"), "digest binary, pack string, at long, packed int"), "chunk-index")
+    chosen, chosen_uri = materialise(first, "chosen")
+    index_uri = scratch(spark, "chunk-index")
+    for wave in range(WAVES):
+        part = chosen.where(F.pmod(F.xxhash64("pack"), F.lit(WAVES)) == wave)
+        moved = part.repartitionByRange("pack", "at").sortWithinPartitions("pack", "at").mapInArrow(_rewrite_packs(f"{folder}/packs"), INDEX_SCHEMA)
+        moved.write.mode("append").parquet(index_uri)
+        for row in part.select("pack").distinct().collect():  # one for each task of the first step at most
+            discard(spark, row.pack)
     discard(spark, f"{folder}/first")
+    discard(spark, chosen_uri)
+    index = spark.read.schema(INDEX_SCHEMA).parquet(index_uri)
     return recipe.drop("pack", "at", "packed"), index
 
 
