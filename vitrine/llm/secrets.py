@@ -31,7 +31,7 @@ CLEAR = 0.5
 #: Characters that the models tell apart: ASCII codes; the start of a word has code 0.
 CODES = 128
 #: Bounds of the default samples: random strings, documents that identifiers are taken from, characters of one.
-RANDOM_STRINGS, IDENTIFIER_DOCS, IDENTIFIER_CHARS = 20_000, 2_000, 65_536
+RANDOM_STRINGS, IDENTIFIER_DOCS, IDENTIFIER_CHARS = 8_000, 500, 65_536
 MASK = "[SECRET]"
 
 
@@ -113,20 +113,37 @@ def running_sums(values: Column) -> Column:
 SPAN = "struct<start:int,rank:int,end:int,kind:string,keep:boolean,value:string>"
 
 
-def spans_of(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
-    """Array of the matches' spans, in order; ``keep`` tells whether the counted group is long enough.
+def _spans(found: Column, ends: Column, counted: Column, kind: str, rank: int, least: int) -> Column:
+    span = lambda m, k: F.struct((F.get(ends, k) - F.length(m)).alias("start"), F.lit(rank).alias("rank"), F.get(ends, k).alias("end"), F.lit(kind).alias("kind"), (F.get(counted, k) >= least).alias("keep"), m.alias("value"))
+    return F.filter(F.transform(found, span), lambda s: s["keep"])
 
-    ``value`` is the matched text. Texts without a match get an empty array after one regular-expression pass.
+
+def with_spans(rows: DataFrame, text: str, patterns: dict[str, tuple[str, int, int]], name) -> DataFrame:
+    """``rows`` with a column ``name(kind)`` for each kind: array of its matches' spans, in order.
+
+    A pattern comes with the group whose length counts and the least length; shorter matches are left
+    out. Columns are made step by step, since an expression that stands in several places, or in a
+    function of array items, is evaluated each time. Texts without a match cost one pass of the pattern.
     """
-    regex = F.lit(pattern)
-    whole = F.regexp_extract_all(text, regex, F.lit(0))
-    counted = whole if group == 0 else F.regexp_extract_all(text, regex, F.lit(group))
-    between = F.split(text, pattern)
-    lengths = F.transform(whole, lambda m: F.length(m))
-    # The end of match k: all pieces and matches up to it.
-    ends = running_sums(F.zip_with(F.slice(between, F.lit(1), F.size(whole)), lengths, lambda gap, n: F.length(gap) + n))
-    rows = F.zip_with(F.zip_with(ends, lengths, lambda e, n: F.struct(e.alias("e"), n.alias("n"))), F.zip_with(whole, counted, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"))), lambda p, q: F.struct((p["e"] - p["n"]).alias("start"), F.lit(rank).alias("rank"), p["e"].alias("end"), F.lit(kind).alias("kind"), (q["g"] >= least).alias("keep"), q["m"].alias("value")))
-    return F.filter(rows, lambda s: s["keep"])
+    part = lambda kind, what: f"{name(kind)}_{what}"
+    none = F.array().cast("array<int>")
+    rows = rows.withColumns({part(k, "found"): F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for k, (p, _, _) in patterns.items()})
+    steps = {}
+    for kind, (pattern, group, _) in patterns.items():
+        found = F.col(part(kind, "found"))
+        lengths = F.transform(found, lambda m: F.length(m))
+        # From the end of a match to the end of the next: the piece between them and the match.
+        paired = F.zip_with(F.slice(F.split(F.col(text), pattern), F.lit(1), F.size(found)), found, lambda gap, m: F.length(gap) + F.length(m))
+        counted = lengths if group == 0 else F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group)), lambda g: F.length(g))
+        steps[part(kind, "steps")] = F.when(F.size(found) > 0, paired).otherwise(none)
+        steps[part(kind, "counted")] = F.when(F.size(found) > 0, counted).otherwise(none)
+    rows = rows.withColumns(steps)
+    rows = rows.withColumns({part(k, "ends"): running_sums(F.col(part(k, "steps"))) for k in patterns})
+    made = {}
+    for rank, (kind, (_, _, least)) in enumerate(patterns.items()):
+        found, ends, counted = (F.col(part(kind, x)) for x in ("found", "ends", "counted"))
+        made[name(kind)] = _spans(found, ends, counted, kind, rank, least)
+    return rows.withColumns(made).drop(*(part(k, x) for k in patterns for x in ("found", "steps", "counted", "ends")))
 
 
 def joined(spans: Column) -> Column:
@@ -141,34 +158,26 @@ def scan(docs: DataFrame, model: MarkovPair, clear: float = CLEAR) -> DataFrame:
     spans. A column named secrets in ``docs`` is replaced; all others pass unchanged.
     """
     columns = [c for c in docs.columns if c != "secrets"]
-    text, base, words = (fresh(columns, x) for x in ("_text", "_base", "_words"))
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    text, base, words = (prefix + x for x in ("text", "base", "words"))
     rows = docs.select(*(f"`{c}`" for c in columns), text_of().alias(text))
     patterns = dict(KINDS)
     # Asked for at once, the least length spares all short matches: a run of digits is matched whole
     # either way, and a run too short for its first AKIA is so for each later one.
     patterns["hex"] = (r"[0-9a-f]{16,}", 0, 16)
     patterns["access"] = (r"AKIA[A-Z0-9]{14,}", 0, 18)
-
-    def spans(kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
-        found = spans_of(F.col(text), kind, rank, pattern, group, least)
-        return F.when(F.col(text).rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-    rows = rows.withColumn(base, F.concat(*(spans(kind, rank, *patterns[kind]) for rank, kind in enumerate(KINDS))))
+    patterns["markov"] = (WORD, 0, WORD_LEAST)
+    rows = with_spans(rows, text, patterns, lambda kind: f"{base}_{kind}")
+    rows = rows.withColumn(base, F.concat(*(F.col(f"{base}_{kind}") for kind in KINDS)))
     touches = lambda w: F.exists(F.col(base), lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    rows = rows.withColumn(words, F.filter(spans("markov", len(KINDS), WORD, 0, WORD_LEAST), lambda w: ~touches(w)))
+    rows = rows.withColumn(words, F.filter(F.col(f"{base}_markov"), lambda w: ~touches(w)))
     table = model.column()
     added = F.filter(F.col(words), lambda w: ratio(w["value"], table) >= clear)
     return rows.select(*(f"`{c}`" for c in columns), F.array_sort(F.concat(F.col(base), added)).alias("secrets"))
 
 
-def fresh(columns: list[str], name: str) -> str:
-    """A name like ``name`` that no column has, whatever the case."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def default_model(docs: DataFrame) -> MarkovPair:
     """A model from generated random strings and identifiers of a bounded sample of ``docs``."""
     return train(random_strings(docs.sparkSession).unionByName(ordinary_identifiers(docs)))
