@@ -50,8 +50,8 @@ def test_row_id_and_update(spark):
 def test_stores(spark, tmp_path):
     assert stores.read_entries(spark, str(tmp_path / "none.json")).count() == 0
     entry = {"product_url": "u", "avg_similarity_score": 0.9}
-    (tmp_path / "producer.json").write_text(json.dumps([entry, entry]))
-    assert [r.product_url for r in stores.read_entries(spark, str(tmp_path / "producer.json")).collect()] == ["u", "u"]
+    (tmp_path / "entries.json").write_text(json.dumps([entry, entry]))
+    assert [r.product_url for r in stores.read_entries(spark, str(tmp_path / "entries.json")).collect()] == ["u", "u"]
     (tmp_path / "broken.json").write_text("[{")
     assert stores.read_entries(spark, str(tmp_path / "broken.json")).count() == 0
     for k, body in enumerate(('{"url": "a"}', '{"url": ""}', "{", '{"url": "a"}')):
