@@ -38,3 +38,10 @@ def test_query(spark, duck, name):
     keys = sorted(columns)
     want = sorted(tuple(shown(r[columns.index(k)]) for k in keys) for r in result.fetchall())
     assert sorted(tuple(shown(r[k]) for k in keys) for r in rows) == want
+
+
+def test_cards_read_the_whole_table(spark, tmp_path):
+    names = [(1, "B", "red green blue"), (2, "B", "red green grey"), (19_999, "B", "red green blue"), (20_000, "B", "plum")]
+    spark.createDataFrame(names, "p_partkey long, p_brand string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    assert {r.pos for r in registry.QUERIES["ensemble_card"](spark, str(tmp_path)).collect()} == {2, 19_999, 20_000}
+    assert [r.pos for r in registry.QUERIES["best_by_avg"](spark, str(tmp_path)).collect()] == [19_999]

@@ -350,13 +350,13 @@ _SCORES = ("s_edit", "s_jaccard", "s_prefix")
 
 
 def _cards(spark, sf) -> DataFrame:
-    """Targets are the first part of each brand; its listing is the brand's other parts, on pages of 10."""
+    """Targets are the first part of each brand; its listing is the brand's other parts, on pages of 250 keys, all of them read."""
     parts = table(spark, sf, "part").select("p_brand", "p_partkey", "p_name")
     first = parts.groupBy(F.col("p_brand").alias("row_id")).agg(F.min_by("p_name", "p_partkey").alias("title"), F.min("p_partkey").alias("own"))
     targets = first.select("row_id", "title", F.array(F.reverse(F.split("title", " "))).alias("r"), "own").select("row_id", "title", F.transform("r", lambda x: F.array_join(x, " ")).alias("names"), "own")
     listed = parts.join(first.select(F.col("row_id").alias("p_brand"), "own"), "p_brand").where("p_partkey <> own")
     listings = listed.select(F.col("p_brand").alias("row_id"), F.floor(F.col("p_partkey") / 250).cast("int").alias("page_num"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 9 != 0, F.concat(F.lit("/p/"), F.floor(F.col("p_partkey") / 2).cast("string"))).alias("href"))
-    return matching.candidates(targets, listings)
+    return matching.candidates(targets, listings, pages=(1 << 31) - 1)
 
 
 def _scored(spark, sf) -> DataFrame:
