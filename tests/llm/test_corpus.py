@@ -142,6 +142,27 @@ def test_markov_spans_and_redaction(spark):
     assert not re.search("Python|Pandas|Arrow", names)
 
 
+def test_default_model_learns_from_all_documents(spark):
+    draw = random.Random(6)
+    texts = [prose(draw, 40) + (" Zxq" if k % 7 == 0 else "") for k in range(1200)] + [None, "", "Ab " + "long word " * 9000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    values = []
+    for text in texts:
+        words = re.findall(r"\b[A-Za-z]{3,15}\b", text or "")
+        for k, (a, b) in enumerate(zip(words, words[1:] + words[-1:], strict=True)):
+            forms = (a, f"{a}_{b}".lower(), a.lower() + b.capitalize(), f"{a}-{b}", f"{a}/{b}".lower(), f"{a}_{b}".upper())
+            values.append((forms[k % 6], 0))
+    steps = collections.Counter((0 if i == 0 else ord(v[i - 1]), ord(v[i])) for v, _ in values for i in range(len(v)))
+    parts = [(r.value, r.inner, r.n) for r in secrets.identifier_parts(docs).collect()]
+    found = collections.Counter()
+    for value, inner, n in parts:
+        for a, b in zip(value if inner else "\0" + value, value[1:] if inner else value):
+            found[ord(a), ord(b)] += n
+    assert found == steps
+    want = secrets.train(secrets.random_strings(spark, 20_000).unionByName(spark.createDataFrame(values, "value string, label int")))
+    assert secrets.default_model(docs) == want
+
+
 def archive(payloads):
     return [warc.response_record(k, f"http://x/{k}", p, warc.payload_digest(p)) for k, p in enumerate(payloads)]
 

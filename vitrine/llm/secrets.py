@@ -17,8 +17,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import hash_sample
-
 #: Kinds in their order, patterns, the group whose length counts, least lengths.
 KINDS = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -30,8 +28,8 @@ WORD, WORD_LEAST = r"[A-Za-z0-9+/_-]{16,}", 16
 CLEAR = 0.5
 #: Characters that the models tell apart: ASCII codes; the start of a word has code 0.
 CODES = 128
-#: Bounds of the default samples: random strings, documents that identifiers are taken from, characters of one.
-RANDOM_STRINGS, IDENTIFIER_DOCS, IDENTIFIER_CHARS = 8_000, 500, 65_536
+#: How many random strings are generated; identifiers are taken from all documents.
+RANDOM_STRINGS = 20_000
 MASK = "[SECRET]"
 
 
@@ -50,18 +48,37 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
     return spark.range(n).select(F.element_at(forms, (F.col("id") % 4 + 1).cast("int")).alias("value"), F.lit(1).alias("label"))
 
 
-def ordinary_identifiers(docs: DataFrame, n: int = IDENTIFIER_DOCS) -> DataFrame:
-    """(value, label 0): words, and names joined from neighbouring words, of about ``n`` documents drawn by
-    id hash, of those that have at most IDENTIFIER_CHARS characters."""
-    chosen = hash_sample(docs.select("doc_id", "text"), n, "doc_id", salt="identifiers").where(F.length("text").between(1, IDENTIFIER_CHARS))
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"\b[A-Za-z]{3,15}\b"), F.lit(0))
-    words = chosen.select(words.alias("w")).where(F.size("w") > 0)
+def neighbours(docs: DataFrame) -> DataFrame:
+    """(k, a, b): each word of all documents with its place and the next word, the last one with itself."""
+    words = docs.select(F.regexp_extract_all(text_of(), F.lit(r"\b[A-Za-z]{3,15}\b"), F.lit(0)).alias("w"))
     pairs = F.zip_with(F.col("w"), F.slice(F.col("w"), F.lit(2), F.size("w")), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, a).alias("b")))
-    rows = words.select(F.posexplode(pairs).alias("k", "p")).select("k", "p.a", "p.b")
+    return words.select(F.posexplode(pairs).alias("k", "p")).select("k", "p.a", "p.b")
+
+
+def ordinary_identifiers(docs: DataFrame) -> DataFrame:
+    """(value, label 0): words, and names joined from neighbouring words, of all documents."""
+    rows = neighbours(docs)
     joined = F.array(F.col("a"), F.concat_ws("_", F.lower("a"), F.lower("b")), F.concat(F.lower("a"), F.initcap("b")), F.concat_ws("-", "a", "b"), F.concat_ws("/", F.lower("a"), F.lower("b")), F.upper(F.concat_ws("_", "a", "b")))
     return rows.select(F.element_at(joined, (F.col("k") % 6 + 1).cast("int")).alias("value"), F.lit(0).alias("label"))
 
 
+def identifier_parts(docs: DataFrame) -> DataFrame:
+    """(value, inner, n, label 0): the values of ``ordinary_identifiers`` cut between their words and counted.
+
+    The first character of an ``inner`` part is the one before it. So rows are distinct words in few
+    forms, not pairs of words, and their transitions are those of the whole values.
+    """
+    form, a, b = F.col("k") % 6, F.col("a"), F.col("b")
+    small = F.lower(a)
+    first = F.when(form == 0, a).when(form == 1, F.concat(small, F.lit("_"))).when(form == 2, small).when(form == 3, F.concat(a, F.lit("-")))
+    first = first.when(form == 4, F.concat(small, F.lit("/"))).otherwise(F.concat(F.upper(a), F.lit("_")))
+    then = F.when(form == 1, F.concat(F.lit("_"), F.lower(b))).when(form == 2, F.concat(F.lower(F.right(a, F.lit(1))), F.initcap(b)))
+    then = then.when(form == 3, F.concat(F.lit("-"), b)).when(form == 4, F.concat(F.lit("/"), F.lower(b))).when(form == 5, F.concat(F.lit("_"), F.upper(b)))
+    parts = F.array(F.struct(first.alias("value"), F.lit(False).alias("inner")), F.struct(then.alias("value"), F.lit(True).alias("inner")))
+    rows = neighbours(docs).select(F.inline(parts)).where(F.col("value").isNotNull())
+    return rows.groupBy("value", "inner").agg(F.count("*").alias("n")).withColumn("label", F.lit(0))
+
+
 @dataclass(frozen=True)
 class MarkovPair:
     """Log-likelihood ratios (random over ordinary) of a character after another, by CODES * first + second."""
@@ -76,15 +93,19 @@ class MarkovPair:
 def train(samples: DataFrame, prior: float = 0.5) -> MarkovPair:
     """First-order models of both classes from rows (value, label): 1 random, 0 ordinary.
 
+    A column ``n`` tells how often a value counts, ``inner`` whether it is a part as in ``identifier_parts``.
     Transitions are counted by Spark; the driver gets at most 2 * CODES * CODES counts. Add-``prior``
     smoothing over the characters either class uses covers what was not seen; a class without
     samples is uniform. Characters beyond ASCII end the value's part that counts.
     """
     value = F.coalesce(F.col("value").cast("string"), F.lit(""))
-    codes = F.concat(F.array(F.lit(0)), F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.ascii(c)))
+    times = F.col("n") if "n" in samples.columns else F.lit(1)
+    inner = F.col("inner") if "inner" in samples.columns else F.lit(False)
+    begin = F.when(inner, F.array().cast("array<int>")).otherwise(F.array(F.lit(0)))
+    codes = F.concat(begin, F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.ascii(c)))
     steps = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    counted = samples.where(value != "").select("label", F.explode(steps).alias("s")).where(F.col("s.a").between(0, CODES - 1) & F.col("s.b").between(1, CODES - 1) & F.col("label").isin(0, 1))
-    counts = {(r["label"], r["a"], r["b"]): r["n"] for r in counted.groupBy("label", "s.a", "s.b").agg(F.count("*").alias("n")).collect()}
+    counted = samples.where(value != "").select("label", times.cast("long").alias("n"), F.explode(steps).alias("s")).where(F.col("s.a").between(0, CODES - 1) & F.col("s.b").between(1, CODES - 1) & F.col("label").isin(0, 1))
+    counts = {(r["label"], r["a"], r["b"]): r["n"] for r in counted.groupBy("label", "s.a", "s.b").agg(F.sum("n").alias("n")).collect()}
     letters = max(1, len({b for _, _, b in counts}))
     totals: dict[tuple[int, int], int] = {}
     for (label, a, _), n in counts.items():
@@ -179,8 +200,9 @@ def scan(docs: DataFrame, model: MarkovPair, clear: float = CLEAR) -> DataFrame:
 
 
 def default_model(docs: DataFrame) -> MarkovPair:
-    """A model from generated random strings and identifiers of a bounded sample of ``docs``."""
-    return train(random_strings(docs.sparkSession).unionByName(ordinary_identifiers(docs)))
+    """A model from generated random strings and the identifiers of all ``docs``."""
+    generated = random_strings(docs.sparkSession).withColumns({"inner": F.lit(False), "n": F.lit(1).cast("long")})
+    return train(generated.unionByName(identifier_parts(docs)))
 
 
 def report(docs: DataFrame, model: MarkovPair | None = None) -> DataFrame:
