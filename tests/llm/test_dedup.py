@@ -163,3 +163,15 @@ def test_empty_and_null(spark):
     found = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(rows).collect())
     assert found == [(-1, -1), (-1, 5), (5, 5), (5, 5)]
     assert sorted((r.doc_id or -1) for r in simhash.deduplicate(rows).collect()) == [-1, 5]
+
+
+def test_repeated_ids_of_different_texts(spark):
+    draw = random.Random(8)
+    a, b, c, d = (" ".join(draw.choice(WORDS) for _ in range(80)) for _ in range(4))
+    rows = [(None, a, "a"), (None, b, "b"), (None, b, "b"), (7, c, "c"), (7, d, "d"), (9, c, "c"), (None, d, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.note, r.doc_id) for r in kept.collect()) == [("a", None), ("b", None), ("c", 7), ("d", 7)]
+    alone = simhash.deduplicate(docs.where("note = 'a' or note = 'd'"))
+    assert sorted((r.note, r.doc_id) for r in alone.collect()) == [("a", None), ("d", 7)]

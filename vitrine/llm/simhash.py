@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import text_batches
 from .shared import discard, materialise
@@ -299,13 +300,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row.
-
-    Texts without words, null ones included, have fingerprint zero, which is linked like any other.
-    Rows that repeat a doc_id give a row each. Null doc_ids are never a component's id unless it holds
-    nothing else. Other columns are ignored.
-    """
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row; ``root`` tells components apart whose ids are equal or null."""
     prints, _ = materialise(fingerprints(docs), "prints")
     nodes, _ = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     roots = components(links(nodes))
@@ -313,22 +309,55 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     rooted, rooted_uri = materialise(rooted, "rooted")
     smallest, smallest_uri = materialise(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
-    named, _ = materialise(rooted.join(smallest.hint("merge"), "root").select("fp", "component_id"), "named")
+    named, _ = materialise(rooted.join(smallest.hint("merge"), "root").select("fp", "root", "component_id"), "named")
     discard(docs.sparkSession, rooted_uri)
     discard(docs.sparkSession, smallest_uri)
     # Both sides are read from tables and shuffled for this join, so a fingerprint that many rows share is split.
-    return prints.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row.
+
+    Texts without words, null ones included, have fingerprint zero, which is linked like any other.
+    Rows that repeat a doc_id give a row each. Null doc_ids are never a component's id unless it holds
+    nothing else. Other columns are ignored.
+    """
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def with_fingerprints(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with one more column ``name``, the fingerprint of each text."""
+    source = docs.withColumn(name, F.col("text").cast("string"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches):
+        for batch in text_batches(batches):
+            values = np.array([fingerprint(t) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values.astype(np.int64))], names=schema.names)
+
+    return source.mapInArrow(run, schema)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component, that of smallest doc_id, with all columns.
 
-    Rows that repeat this doc_id count once. Rows with a null doc_id stay only where their component has no other.
+    Rows that repeat this doc_id in the component count once, that of smallest fingerprint stays. A row with
+    a null doc_id stays only where its component has no other. Where an id, null included, is on several rows,
+    its rows are told apart by fingerprint; only their texts are read again.
     """
     columns = docs.columns
-    found, _ = materialise(near_duplicates(docs.select("doc_id", "text")), "components")
-    staying, _ = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("component_id", "fingerprint").alias("k")).select(F.col("doc_id").alias("_id"), "n"), "staying")
-    kept = docs.join(staying, docs["doc_id"].cast("long").eqNullSafe(staying["_id"]), "left_semi")
-    if staying.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*(f"`{c}`" for c in columns))
+    key = "_print_" + "_".join(columns)  # clashes with no column
+    found, _ = materialise(grouped(docs.select("doc_id", "text")), "components")
+    winners = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", F.col("doc_id").alias("_id")).agg(F.min("fp").alias("_fp"))
+    staying, _ = materialise(winners.select("_id", "_fp"), "staying")
+    repeated, _ = materialise(found.groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"), "repeated")
+    same = lambda rows, ids: rows["doc_id"].cast("long").eqNullSafe(ids["_id"])
+    if not repeated.limit(1).count():
+        return docs.join(staying, same(docs, staying), "left_semi").select(*(f"`{c}`" for c in columns))
+    clash = staying["_id"].eqNullSafe(repeated["_again"])
+    single, several = staying.join(repeated, clash, "left_anti"), staying.join(repeated, clash, "left_semi")
+    kept = docs.join(single, same(docs, single), "left_semi").select(*(f"`{c}`" for c in columns))
+    rows = with_fingerprints(docs.join(several, same(docs, several), "left_semi"), key)
+    rows = rows.join(several, same(rows, several) & rows[key].eqNullSafe(several["_fp"]), "left_semi").dropDuplicates(["doc_id", key])
+    return kept.unionByName(rows.select(*(f"`{c}`" for c in columns)))
