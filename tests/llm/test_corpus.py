@@ -142,6 +142,18 @@ def test_markov_spans_and_redaction(spark):
     assert not re.search("Python|Pandas|Arrow", names)
 
 
+def test_words_are_cut_at_base_spans(spark):
+    draw = random.Random(5)
+    make = lambda n: "".join(draw.choice("ABCDEFGHJKLMNPQRSTUVWXYZghijkmnopqrstuvwxyz") for _ in range(n))
+    access, left, right = "AKIA" + "Q7" * 8, make(16), make(40)
+    texts = [f"x {access}/{right} y", f"{left}_{access}_{right}", f"{right}", f"short/{access}/{right[:10]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secrets.MarkovPair(tuple([1.0] * secrets.CODES**2))
+    spans = {r.doc_id: r.spans for r in secrets.report(docs, model).collect()}
+    assert spans == {0: "access:2:22,markov:22:63", 1: "markov:0:17,access:17:37,markov:37:78", 2: "markov:0:40", 3: "access:6:26"}
+    assert {r.doc_id: r.text for r in secrets.redact(docs, model).collect()}[0] == f"x {secrets.MASK}{secrets.MASK} y"
+
+
 def test_default_model_learns_from_all_documents(spark):
     draw = random.Random(6)
     texts = [prose(draw, 40) + (" Zxq" if k % 7 == 0 else "") for k in range(1200)] + [None, "", "Ab " + "long word " * 9000]

@@ -167,6 +167,16 @@ def with_spans(rows: DataFrame, text: str, patterns: dict[str, tuple[str, int, i
     return rows.withColumns(made).drop(*(part(k, x) for k in patterns for x in ("found", "steps", "counted", "ends")))
 
 
+def outside(word: Column, base: Column) -> Column:
+    """The parts of a word's span, of WORD_LEAST or more characters, that no span of ``base`` covers; ``base`` is in order."""
+    touching = F.filter(base, lambda s: (s["start"] < word["end"]) & (word["start"] < s["end"]))
+    part = lambda a, b: F.struct(a.alias("start"), word["rank"].alias("rank"), b.alias("end"), word["kind"].alias("kind"), word["keep"].alias("keep"), F.substring(word["value"], a - word["start"] + 1, b - a).alias("value"))
+    grown = lambda acc, b: F.when(b - acc["at"] >= WORD_LEAST, F.concat(acc["parts"], F.array(part(acc["at"], b)))).otherwise(acc["parts"])
+    begin = F.struct(word["start"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("parts"))
+    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), grown(acc, s["start"]).alias("parts"))
+    return F.aggregate(touching, begin, step, lambda acc: grown(acc, word["end"]))
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -175,7 +185,7 @@ def scan(docs: DataFrame, model: MarkovPair, clear: float = CLEAR) -> DataFrame:
     """``docs`` with column ``secrets``: array of spans (start, rank, end, kind, keep, value), by start and kind.
 
     Places are code points, ends exclusive. Base kinds come as the patterns say; kind ``markov`` holds
-    words whose mean ratio is at least ``clear`` and that touch no base span. Null and empty texts have no
+    words, or what base spans leave of them, of WORD_LEAST or more characters whose mean ratio is at least ``clear``. Null and empty texts have no
     spans. A column named secrets in ``docs`` is replaced; all others pass unchanged.
     """
     columns = [c for c in docs.columns if c != "secrets"]
@@ -191,9 +201,9 @@ def scan(docs: DataFrame, model: MarkovPair, clear: float = CLEAR) -> DataFrame:
     patterns["access"] = (r"AKIA[A-Z0-9]{14,}", 0, 18)
     patterns["markov"] = (WORD, 0, WORD_LEAST)
     rows = with_spans(rows, text, patterns, lambda kind: f"{base}_{kind}")
-    rows = rows.withColumn(base, F.concat(*(F.col(f"{base}_{kind}") for kind in KINDS)))
-    touches = lambda w: F.exists(F.col(base), lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    rows = rows.withColumn(words, F.filter(F.col(f"{base}_markov"), lambda w: ~touches(w)))
+    rows = rows.withColumn(base, F.array_sort(F.concat(*(F.col(f"{base}_{kind}") for kind in KINDS))))
+    found = F.col(f"{base}_markov")
+    rows = rows.withColumn(words, F.when(F.size(base) == 0, found).otherwise(F.flatten(F.transform(found, lambda w: outside(w, F.col(base))))))
     table = model.column()
     added = F.filter(F.col(words), lambda w: ratio(w["value"], table) >= clear)
     return rows.select(*(f"`{c}`" for c in columns), F.array_sort(F.concat(F.col(base), added)).alias("secrets"))
