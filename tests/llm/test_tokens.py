@@ -118,6 +118,10 @@ def test_plan_is_as_good_as_best_fit():
         assert sum(s.times for s in packing.plan_steps(histogram)) <= best_fit_decreasing(histogram, 4096)
 
 
+def test_residual_gap_equal_to_a_taken_length():
+    assert packing.plan_steps({4: 1, 3: 1, 2: 1}, 10) == [packing.Step((4, 3, 2), 1)]
+
+
 def test_exact_complements():
     index = packing.ComplementIndex(np.bincount([3, 3, 5, 9], minlength=21))
     assert index.single(9) == (9,) and index.single(4) is None

@@ -111,11 +111,7 @@ def plan_steps(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Step
     while len(left := np.flatnonzero(counts)):
         lengths, gap, taken = [int(left[-1])], capacity - int(left[-1]), {int(left[-1]): 1}
         while gap > 0:
-            exact = None
-            if len(lengths) > 1:
-                exact = index.single(gap)
-            fits = left[left <= gap] if exact is None else np.array(exact)
-            fits = next((int(x) for x in fits[::-1] if counts[x] > taken.get(int(x), 0)), None)
+            fits = next((int(x) for x in left[left <= gap][::-1] if counts[x] > taken.get(int(x), 0)), None)
             if fits is None:
                 break
             lengths.append(fits)
