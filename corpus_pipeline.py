@@ -20,8 +20,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each normalised text, taken against a new digest index."""
-    return exact_dedup.deduplicate(docs, exact_dedup.DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex[:12]}"))
+    """One document of each normalised text, taken against a new digest index that is dropped afterwards."""
+    index = exact_dedup.DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex[:12]}")
+    try:
+        return exact_dedup.deduplicate(docs, index)
+    finally:
+        index.drop()
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

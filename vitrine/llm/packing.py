@@ -10,6 +10,7 @@ length, which is found by a range-partitioned sort and one count for each partit
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,45 +81,83 @@ class Step:
     times: int
 
 
-def plan_steps(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Step]:
-    """Combinations that use up all pieces of the histogram.
+def best_fit_steps(counts: np.ndarray, capacity: int) -> list[Step]:
+    """Best fit decreasing over a histogram: each piece goes to the smallest gap that holds it.
 
-    Longest pieces come first. Their gap is closed exactly by one, two or three available lengths
-    where such a combination exists; what has no exact complement is packed best fit at the end.
+    Sequences of the same content are one entry. A length fills the entries of a gap as often as it
+    fits before the next larger gap is touched, so each length adds at most three entries.
     """
+    waiting: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(capacity + 1)]
+    gaps: list[int] = []
+
+    def put(gap: int, lengths: tuple[int, ...], times: int) -> None:
+        if times:
+            if gap and not waiting[gap]:
+                insort(gaps, gap)
+            waiting[gap].append((lengths, times))
+
+    for x in np.flatnonzero(counts)[::-1].tolist():
+        n = int(counts[x])
+        while n:
+            k = bisect_left(gaps, x)
+            gap = gaps[k] if k < len(gaps) else capacity
+            fits = gap // x
+            if k < len(gaps):
+                lengths, times = waiting[gap].pop()
+                if not waiting[gap]:
+                    gaps.pop(k)
+            else:
+                lengths, times = (), -(-n // fits)
+            whole, rest = divmod(min(n, times * fits), fits)
+            n -= whole * fits + rest
+            put(gap - fits * x, lengths + (x,) * fits, whole)
+            if rest:
+                put(gap - rest * x, lengths + (x,) * rest, 1)
+            put(gap, lengths, times - whole - bool(rest))
+    return [Step(lengths, times) for entries in waiting for lengths, times in entries]
+
+
+def complement_steps(histogram: dict[int, int], capacity: int, largest: int) -> list[Step]:
+    """Longest pieces first, their gap closed exactly by up to ``largest`` (3 at most) pieces where the
+    availability counts have such a combination; the rest is packed best fit."""
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         counts[length] = n
     steps: list[Step] = []
     index = ComplementIndex(counts)
-
-    def use(lengths: tuple[int, ...]) -> None:
-        times = min(int(counts[x]) // lengths.count(x) for x in set(lengths))
-        for x in lengths:
-            counts[x] -= times
-        steps.append(Step(lengths, times))
-
+    searches = (index.single, index.pair, index.triple)[:largest]
     for first in range(capacity, 0, -1):
         gap = capacity - first
         while counts[first] > 0:
             counts[first] -= 1  # not available to its own complement
-            found = () if not gap else index.single(gap) or index.pair(gap) or index.triple(gap)
+            found = () if not gap else next((x for search in searches if (x := search(gap))), None)
             counts[first] += 1
             if found is None:
                 break
-            use((first, *found))
-    # Residuals: the longest piece opens a sequence, and the gap takes the longest that fits, again and again.
-    while len(left := np.flatnonzero(counts)):
-        lengths, gap, taken = [int(left[-1])], capacity - int(left[-1]), {int(left[-1]): 1}
-        while gap > 0:
-            fits = next((int(x) for x in left[left <= gap][::-1] if counts[x] > taken.get(int(x), 0)), None)
-            if fits is None:
-                break
-            lengths.append(fits)
-            taken[fits] = taken.get(fits, 0) + 1
-            gap -= fits
-        use(tuple(lengths))
-    return steps
+            lengths = (first, *found)
+            times = min(int(counts[x]) // lengths.count(x) for x in set(lengths))
+            for x in lengths:
+                counts[x] -= times
+            steps.append(Step(lengths, times))
+    return steps + best_fit_steps(counts, capacity)
+
+
+def plan_steps(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Step]:
+    """Combinations that use up all pieces of the histogram, in as few sequences as four plans give.
+
+    The plans close gaps by triples, pairs and singles, by pairs and singles, by singles, and by none:
+    on flat distributions exact triples use up the small pieces that other gaps need. The last plan is
+    best fit decreasing, so the result never needs more sequences than that.
+    """
+    least = -(-sum(length * n for length, n in histogram.items()) // capacity)
+    best: list[Step] | None = None
+    for largest in (3, 2, 1, 0):
+        steps = complement_steps(histogram, capacity, largest)
+        if best is None or sum(s.times for s in steps) < sum(s.times for s in best):
+            best = steps
+        if sum(s.times for s in best) == least:
+            break
+    return best or []
 
 
 def plan_places(steps: list[Step]) -> dict[str, np.ndarray]:

@@ -45,9 +45,12 @@ def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table as the first batch of a new index."""
+    """The whole table as the first batch of a new index, which is dropped once it has been written."""
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}")
-    return index.ingest(read_table(spark, sf_dir, "documents"))
+    try:
+        return index.ingest(read_table(spark, sf_dir, "documents"))
+    finally:
+        index.drop()
 
 
 def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bpe import text_batches
+from .places import keep, placed
 from .shared import discard, materialise
 
 SHINGLE, SEED, BITS, DISTANCE = 4, 42, 64, 4
@@ -74,15 +74,16 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist())
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): each document's fingerprint, as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fp): each document's fingerprint, as a signed 64-bit integer; and the long columns ``more``."""
 
     def run(batches):
         for batch in text_batches(batches):
             values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.astype(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.astype(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`") for c in more))
+    return source.mapInArrow(run, ", ".join(f"`{c}` long" for c in ("doc_id", "fp", *more)))
 
 
 def _chain_masks(start: int) -> list[tuple[np.uint64, int]]:
@@ -300,64 +301,48 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, root, component_id) for every row; ``root`` tells components apart whose ids are equal or null."""
-    prints, _ = materialise(fingerprints(docs), "prints")
-    nodes, _ = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    roots = components(links(nodes))
+def rooted(nodes: DataFrame) -> DataFrame:
+    """``nodes``, of distinct fingerprints fp, with the column root, which tells their components apart."""
+    roots = components(links(nodes.select("fp")))
     # Nodes without a link are components of their own; the join is on distinct fingerprints.
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    rooted, rooted_uri = materialise(rooted, "rooted")
-    smallest, smallest_uri = materialise(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
-    named, _ = materialise(rooted.join(smallest.hint("merge"), "root").select("fp", "root", "component_id"), "named")
-    discard(docs.sparkSession, rooted_uri)
-    discard(docs.sparkSession, smallest_uri)
-    # Both sides are read from tables and shuffled for this join, so a fingerprint that many rows share is split.
-    return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "root", "component_id")
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row.
 
-    Texts without words, null ones included, have fingerprint zero, which is linked like any other.
-    Rows that repeat a doc_id give a row each. Null doc_ids are never a component's id unless it holds
-    nothing else. Other columns are ignored.
+    Texts without words, null ones included, have fingerprint zero, which is linked like any other; texts
+    of any length are hashed whole. Rows that repeat a doc_id give a row each, and rows of equal texts
+    share their component. Null doc_ids are never a component's id unless it holds nothing else. Other
+    columns, whatever their names, are ignored; an empty table gives an empty result.
     """
-    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def with_fingerprints(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with one more column ``name``, the fingerprint of each text."""
-    source = docs.withColumn(name, F.col("text").cast("string"))
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
-
-    def run(batches):
-        for batch in text_batches(batches):
-            values = np.array([fingerprint(t) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values.astype(np.int64))], names=schema.names)
-
-    return source.mapInArrow(run, schema)
+    prints, _ = materialise(fingerprints(docs), "prints")
+    nodes, nodes_uri = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    grouped, grouped_uri = materialise(rooted(nodes), "rooted")
+    smallest, smallest_uri = materialise(grouped.groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
+    named, _ = materialise(grouped.join(smallest.hint("merge"), "root").select("fp", "component_id"), "named")
+    for uri in (nodes_uri, grouped_uri, smallest_uri):
+        discard(docs.sparkSession, uri)
+    # Both sides are read from tables and shuffled for this join, so a fingerprint that many rows share is split.
+    found = prints.join(named.hint("merge"), "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component, that of smallest doc_id, with all columns.
 
-    Rows that repeat this doc_id in the component count once, that of smallest fingerprint stays. A row with
-    a null doc_id stays only where its component has no other. Where an id, null included, is on several rows,
-    its rows are told apart by fingerprint; only their texts are read again.
+    Of rows that repeat this doc_id in the component that of smallest fingerprint stays, then the first
+    in its file. A row with a null doc_id stays only where its component has no other. Null and empty
+    texts are one component, texts of any length are hashed whole, other columns pass unchanged whatever
+    their names, and an empty table stays empty. Only fingerprints and places are shuffled; texts are
+    read again where they lie.
     """
-    columns = docs.columns
-    key = "_print_" + "_".join(columns)  # clashes with no column
-    found, _ = materialise(grouped(docs.select("doc_id", "text")), "components")
-    winners = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", F.col("doc_id").alias("_id")).agg(F.min("fp").alias("_fp"))
-    staying, _ = materialise(winners.select("_id", "_fp"), "staying")
-    repeated, _ = materialise(found.groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"), "repeated")
-    same = lambda rows, ids: rows["doc_id"].cast("long").eqNullSafe(ids["_id"])
-    if not repeated.limit(1).count():
-        return docs.join(staying, same(docs, staying), "left_semi").select(*(f"`{c}`" for c in columns))
-    clash = staying["_id"].eqNullSafe(repeated["_again"])
-    single, several = staying.join(repeated, clash, "left_anti"), staying.join(repeated, clash, "left_semi")
-    kept = docs.join(single, same(docs, single), "left_semi").select(*(f"`{c}`" for c in columns))
-    rows = with_fingerprints(docs.join(several, same(docs, several), "left_semi"), key)
-    rows = rows.join(several, same(rows, several) & rows[key].eqNullSafe(several["_fp"]), "left_semi").dropDuplicates(["doc_id", key])
-    return kept.unionByName(rows.select(*(f"`{c}`" for c in columns)))
+    found = placed(docs)
+    spark, place = docs.sparkSession, ("file", "row")
+    source = found.rows.select("doc_id", "text", F.col(f"`{found.file}`").alias("file"), F.col(f"`{found.row}`").alias("row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp", *place))
+    nodes, nodes_uri = materialise(fingerprints(source, *place).groupBy("fp").agg(first.alias("first")), "nodes")
+    winners = rooted(nodes).groupBy("root").agg(F.min("first").alias("first"))
+    staying, _ = materialise(winners.select("first.file", "first.row"), "staying")
+    discard(spark, nodes_uri)
+    return keep(found, staying)
