@@ -18,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attempt_name, materialise, open_input, open_output, scratch, shuffle_partitions
+from .places import ShardReader, placed, write_shards
+from .shared import attempt_name, discard, materialise, open_input, open_output, scratch, shuffle_partitions
 
 VERSION = b"WARC/1.1"
 GZIP = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes that are read from an archive at once.
 BLOCK = 1 << 20
+#: Unpacked bytes of the largest record that a reader accepts unless told otherwise.
+LARGEST = 1 << 31
 
 
 def payload_digest(payload: bytes) -> str:
@@ -81,44 +84,66 @@ def record_bytes(fields: dict[str, str], block: bytes, pack: bool = True) -> byt
     return packer.compress(raw) + packer.flush()
 
 
-def parse_record(raw: bytes, at: int = 0) -> tuple[Record, int]:
-    """The record that begins at ``at`` and the place behind it; BadRecord if a check fails, and
-    IndexError if the bytes end too early."""
+@dataclass(frozen=True)
+class Head:
+    """A record's fields, and where its block begins and ends."""
+
+    fields: dict[str, str]
+    begin: int
+    end: int
+
+
+def parse_head(raw: bytes | bytearray, at: int = 0) -> Head:
+    """The head of the record that begins at ``at``; BadRecord if a check fails, and IndexError if the bytes end too early."""
     if not raw.startswith(b"WARC/1.", at):
-        if b"WARC/1.".startswith(raw[at : at + 7]):
+        if b"WARC/1.".startswith(bytes(raw[at : at + 7])):
             raise IndexError("version line")
         raise BadRecord("no version line")
-    head_end = raw.find(b"\r\n\r\n", at)
+    head_end = raw.find(b"\r\n\r\n", at, at + BLOCK + 4)
     if head_end < 0:
         if len(raw) - at > BLOCK:
             raise BadRecord("header without end")
         raise IndexError("header")
     fields = {}
-    for line in raw[at:head_end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in bytes(raw[at:head_end]).decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if not colon:
             raise BadRecord("header line without colon")
         fields[name.strip().lower()] = value.strip()
     length = fields.get("content-length", "")
-    if not length.isdecimal():
+    if not (length.isascii() and length.isdecimal()):
         raise BadRecord("no content length")
-    begin, end = head_end + 4, head_end + 4 + int(length)
-    if len(raw) < end + 4:
-        raise IndexError("block")
-    if raw[end : end + 4] != b"\r\n\r\n":
+    return Head(fields, head_end + 4, head_end + 4 + int(length))
+
+
+def parse_block(raw: bytes | bytearray, head: Head) -> Record:
+    """The record whose head was read from ``raw``; all its bytes must be there."""
+    if raw[head.end : head.end + 4] != b"\r\n\r\n":
         raise BadRecord("no end of record where the length puts it")
-    block = raw[begin:end]
-    said = fields.get("warc-block-digest", "")
+    block = bytes(memoryview(raw)[head.begin : head.end])
+    said = head.fields.get("warc-block-digest", "")
     if said.startswith("sha1:") and said[5:] != payload_digest(block):
         raise BadRecord("block digest differs")
-    return Record(fields, block), end + 4
+    return Record(head.fields, block)
+
+
+def parse_record(raw: bytes, at: int = 0) -> tuple[Record, int]:
+    """The record that begins at ``at`` and the place behind it; errors as ``parse_head`` has them."""
+    head = parse_head(raw, at)
+    if len(raw) < head.end + 4:
+        raise IndexError("block")
+    return parse_block(raw, head), head.end + 4
 
 
 class _Window:
-    """A file's bytes from ``base`` on; ``at`` is the place in them up to which all is done."""
+    """A file's bytes from ``base`` on; ``at`` is the place in them up to which all is done.
+
+    Bytes are appended to one buffer, whose done part is cut off when it has grown as large as the rest,
+    so that each byte is moved a bounded number of times.
+    """
 
     def __init__(self, file):
-        self.file, self.base, self.data, self.at, self.over = file, 0, b"", 0, False
+        self.file, self.base, self.data, self.at, self.over = file, 0, bytearray(), 0, False
 
     @property
     def place(self) -> int:
@@ -128,8 +153,9 @@ class _Window:
         return len(self.data) - self.at
 
     def more(self) -> bool:
-        if self.at > BLOCK // 2:
-            self.data, self.base, self.at = self.data[self.at :], self.place, 0
+        if self.at >= BLOCK and 2 * self.at >= len(self.data):
+            del self.data[: self.at]
+            self.base, self.at = self.base + self.at, 0
         part = self.file.read(BLOCK)
         self.data += part
         self.over = not part
@@ -140,12 +166,14 @@ class _Window:
 class SalvageReader:
     """Records of one archive, in order; ``gaps`` holds what was passed over.
 
-    Memory holds the member at hand and a block. ``largest`` bounds a member's unpacked bytes, so that
-    a damaged length or a decompression bomb is quarantined instead of read without end.
+    Memory holds the record at hand, packed and unpacked, and a block. ``largest`` bounds a record's
+    unpacked bytes: what says or proves to be larger, a damaged length or a decompression bomb, is
+    quarantined. A damaged length of an unpacked record below it can make the reader hold that many bytes
+    before it salvages the records among them.
     """
 
     file: object
-    largest: int = 1 << 31
+    largest: int = LARGEST
     gaps: list[Gap] = field(default_factory=list)
 
     def __iter__(self) -> Iterator[Record]:
@@ -181,7 +209,7 @@ class SalvageReader:
             while not unpack.eof:
                 if fed == window.left() and not window.more():
                     raise BadRecord("member without end")
-                part = window.data[window.at + fed : window.at + fed + step]
+                part = bytes(window.data[window.at + fed : window.at + fed + step])
                 fed += len(part)
                 try:
                     while part and not unpack.eof:
@@ -200,13 +228,25 @@ class SalvageReader:
             if end != len(raw):
                 raise BadRecord("member holds more than its record")
             return record, fed - len(unpack.unused_data)
+        return self._unpacked(window)
+
+    def _unpacked(self, window: _Window) -> tuple[Record, int]:
+        """The unpacked record at the window's place. Its head is read once; its bytes come in blocks."""
         while True:
             try:
-                record, end = parse_record(window.data, window.at)
-                return record, end - window.at
+                head = parse_head(window.data, window.at)
+                break
             except IndexError as error:
-                if window.left() > self.largest or not window.more():
+                if not window.more():
                     raise BadRecord(f"archive ends in the {error}") from error
+        size = head.end + 4 - window.at
+        if size > self.largest:
+            raise BadRecord("record too large")
+        begin = head.begin - window.at
+        while window.left() < size:
+            if not window.more():
+                raise BadRecord("archive ends in the block")
+        return parse_block(window.data, Head(head.fields, window.at + begin, window.at + size - 4)), size
 
     def _seek(self, window: _Window) -> None:
         """Go on to the next possible member or version line, or to the end."""
@@ -259,34 +299,44 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit: i
 
     Of rows with equal payloads of at least ``least_revisit`` bytes, that with the largest page_id (nulls
     last) is written as response and the others as revisits to it; rows that repeat this page_id are
-    responses too. Null page_ids and urls are written as such. Each task writes an archive of its own;
-    the manifest lists those of tasks that ended well.
+    responses too. Null page_ids and urls are written as such, payloads of any length whole; other
+    columns, whatever their names, are ignored; an empty table gives no archive. Each task writes an
+    archive of its own; the manifest lists those of tasks that ended well.
+
+    Pages are read twice, for digests and to be written, and never shuffled: digests and the places of
+    revisits are.
     """
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
-    rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    # A table, so that both sides of the join are shuffled for it and a payload that many pages share is split.
-    keepers, _ = materialise(rows.groupBy("sha").agg(F.max("page_id").alias("keeper")), "keepers")
-    roles = rows.join(keepers.hint("merge"), "sha").select("page_id", "url", "payload", "keeper")
+    found = placed(pages)
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    names = found.rows.select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha1(F.encode(html, "utf-8"))).alias("sha"), F.col(f"`{found.file}`").alias("file"), F.col(f"`{found.row}`").alias("row"))
+    # Tables, so that both sides of the join are shuffled for it and a payload that many pages share is split.
+    digested, digested_uri = materialise(names, "page-digests")
+    keepers, keepers_uri = materialise(digested.groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper"), "keepers")
+    shards = write_shards(digested.join(keepers.hint("merge"), "sha").where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select("file", "row", F.col("keeper").alias("value")), "revisits")
+    discard(spark, digested_uri)
+    discard(spark, keepers_uri)
 
     def write(batches):
-        out, path, records = None, "", 0
+        reader, out, path, records = ShardReader(shards), None, "", 0
         for batch in batches:
-            for page_id, url, payload, keeper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            again, keeper = reader.find(batch.column(3).to_numpy(), batch.column(4).to_numpy())
+            for page_id, url, payload, revisit, keeps in zip(*(c.to_pylist() for c in batch.columns[:3]), again.tolist(), keeper.tolist(), strict=True):
                 if out is None:
                     path = f"{folder}/{attempt_name('archive')}.warc.gz"
                     out = open_output(path)
                     out.write(record_bytes({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:info:archive>", "WARC-Date": "1970-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))
-                revisit = len(payload) >= least_revisit and page_id != keeper
-                out.write(response_record(page_id, url, payload, payload_digest(payload), keeper, revisit))
+                revisit = revisit and len(payload) >= least_revisit
+                out.write(response_record(page_id, url, payload, payload_digest(payload), keeps, revisit))
                 records += 1
         if out is not None:
             size = out.tell()
             out.close()
             yield pa.RecordBatch.from_pylist([{"path": path, "records": records, "bytes": size}], schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    manifest, _ = materialise(roles.mapInArrow(write, "path string, records long, bytes long"), "warc-manifest")
+    rows = found.rows.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(html, "utf-8").alias("payload"), F.col(f"`{found.file}`").alias("file"), F.col(f"`{found.row}`").alias("row"))
+    manifest, _ = materialise(rows.mapInArrow(write, "path string, records long, bytes long"), "warc-manifest")
     return ArchiveSet(manifest)
 
 
@@ -342,7 +392,8 @@ def read_archives(archives: ArchiveSet) -> DataFrame:
 def roundtrip(pages: DataFrame) -> DataFrame:
     """Per page, read back from written archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Fails if a gap was found, as these archives were written whole.
+    Fails if a gap was found, as these archives were written whole. Nulls, empty and long payloads, ties
+    and repeated rows are as in ``write_archives``; an empty table gives an empty result.
     """
     archives = write_archives(pages, least_revisit=0)
     found = read_archives(archives)
