@@ -26,6 +26,7 @@ from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: The white space of the vocabularies' patterns, and the separators that str.split() also takes.
@@ -387,11 +388,21 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
-def text_batches(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in slices of few rows, so that the Python copies of texts stay small."""
+def text_batches(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of few rows and, but for a single longer text, at most ``size`` bytes of text,
+    so that the Python copies of texts and what is made of them stay small."""
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        taken = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                taken += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        sums = np.cumsum(taken)
+        k = 0
+        while k < batch.num_rows:
+            before = int(sums[k - 1]) if k else 0
+            end = min(k + rows, max(k + 1, int(np.searchsorted(sums, before + size, side="right"))))
+            yield batch.slice(k, end - k)
+            k = end
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", encoder: Callable = trie_encoder) -> DataFrame:

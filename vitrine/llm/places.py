@@ -13,10 +13,10 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import attempt_name, materialise, open_input, open_output, scratch
 
@@ -158,17 +158,16 @@ class ShardReader:
 
 
 def keep(docs: Placed, places: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose places (file, row) are in ``places``, with their own columns; no row moves."""
+    """The rows of ``docs`` whose places (file, row) are in ``places``, with their own columns.
+
+    No row moves, and only places pass through Python workers: the other columns wait in the JVM.
+    """
     shards = write_shards(places.select("file", "row", F.lit(0).alias("value")), "kept")
-    names = list(docs.columns)
-    at = len(names)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         reader = ShardReader(shards)
-        for batch in batches:
-            if batch.num_rows:
-                hit, _ = reader.find(batch.column(at).to_numpy(), batch.column(at + 1).to_numpy())
-                yield pa.RecordBatch.from_arrays(batch.columns[:at], names=names).filter(pa.array(hit))
+        for files, rows in parts:
+            yield pd.Series(reader.find(files.to_numpy(), rows.to_numpy())[0])
 
-    source = docs.rows.select(*(f"`{c}`" for c in names), f"`{docs.file}`", f"`{docs.row}`")
-    return source.mapInArrow(run, T.StructType(source.schema.fields[:at]))
+    found = F.pandas_udf(held, "boolean")
+    return docs.rows.where(found(F.col(f"`{docs.file}`"), F.col(f"`{docs.row}`"))).select(*(f"`{c}`" for c in docs.columns))
