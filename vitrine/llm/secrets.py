@@ -49,34 +49,50 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(k, a, b): each word of all documents with its place and the next word, the last one with itself."""
-    words = docs.select(F.regexp_extract_all(text_of(), F.lit(r"\b[A-Za-z]{3,15}\b"), F.lit(0)).alias("w"))
-    pairs = F.zip_with(F.col("w"), F.slice(F.col("w"), F.lit(2), F.size("w")), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, a).alias("b")))
-    return words.select(F.posexplode(pairs).alias("k", "p")).select("k", "p.a", "p.b")
+    """(k, a, b): each word of all documents with its place and the next word, null behind the last."""
+    words = docs.select(F.regexp_extract_all(text_of(), F.lit(r"\b[A-Za-z]{3,15}\b"), F.lit(0)).alias("a"))
+    pairs = words.select("a", F.slice("a", F.lit(2), F.size("a")).alias("b")).select(F.arrays_zip("a", "b").alias("p"))
+    return pairs.select(F.posexplode("p").alias("k", "p")).select("k", "p.a", "p.b")
 
 
 def ordinary_identifiers(docs: DataFrame) -> DataFrame:
-    """(value, label 0): words, and names joined from neighbouring words, of all documents."""
-    rows = neighbours(docs)
+    """(value, label 0): words, and names joined from neighbouring words (the last with itself), of all documents."""
+    rows = neighbours(docs).withColumn("b", F.coalesce("b", "a"))
     joined = F.array(F.col("a"), F.concat_ws("_", F.lower("a"), F.lower("b")), F.concat(F.lower("a"), F.initcap("b")), F.concat_ws("-", "a", "b"), F.concat_ws("/", F.lower("a"), F.lower("b")), F.upper(F.concat_ws("_", "a", "b")))
     return rows.select(F.element_at(joined, (F.col("k") % 6 + 1).cast("int")).alias("value"), F.lit(0).alias("label"))
 
 
 def identifier_parts(docs: DataFrame) -> DataFrame:
-    """(value, inner, n, label 0): the values of ``ordinary_identifiers`` cut between their words and counted.
+    """(value, inner, n, label 0): the transitions of the values of ``ordinary_identifiers``, counted.
 
-    The first character of an ``inner`` part is the one before it. So rows are distinct words in few
-    forms, not pairs of words, and their transitions are those of the whole values.
+    Words are counted by their pairs of letters, by the form they are joined in and by where the pair
+    stands, so the aggregate has a bounded number of keys however many words there are; what the forms
+    make of a pair is worked out on the counts. An ``inner`` value's first character is the one before.
     """
-    form, a, b = F.col("k") % 6, F.col("a"), F.col("b")
-    small = F.lower(a)
-    first = F.when(form == 0, a).when(form == 1, F.concat(small, F.lit("_"))).when(form == 2, small).when(form == 3, F.concat(a, F.lit("-")))
-    first = first.when(form == 4, F.concat(small, F.lit("/"))).otherwise(F.concat(F.upper(a), F.lit("_")))
-    then = F.when(form == 1, F.concat(F.lit("_"), F.lower(b))).when(form == 2, F.concat(F.lower(F.right(a, F.lit(1))), F.initcap(b)))
-    then = then.when(form == 3, F.concat(F.lit("-"), b)).when(form == 4, F.concat(F.lit("/"), F.lower(b))).when(form == 5, F.concat(F.lit("_"), F.upper(b)))
-    parts = F.array(F.struct(first.alias("value"), F.lit(False).alias("inner")), F.struct(then.alias("value"), F.lit(True).alias("inner")))
-    rows = neighbours(docs).select(F.inline(parts)).where(F.col("value").isNotNull())
-    return rows.groupBy("value", "inner").agg(F.count("*").alias("n")).withColumn("label", F.lit(0))
+    size, at = F.length("a"), F.col("i")
+    last = F.coalesce("b", "a")
+    rows = neighbours(docs).select((F.col("k") % 6).alias("form"), (F.col("k") == 0).alias("first"), F.col("b").isNull().alias("end"), "a", last.alias("b"), F.explode(F.sequence(F.lit(0), size)).alias("i"))
+    pair = F.when(at == 0, F.left("a", F.lit(1))).when(at == size, F.concat(F.right("a", F.lit(1)), F.left("b", F.lit(1)))).otherwise(F.substring(F.col("a"), at, F.lit(2)))
+    kind = F.when(at == 0, "start").when(at == size, "joint").when(at == 1, "head").otherwise("body")
+    counted = rows.groupBy("form", "first", "end", kind.alias("kind"), pair.alias("pair")).agg(F.count("*").alias("n"))
+    form, low, high = F.col("form"), F.lower("pair"), F.upper("pair")
+    as_first = F.when(form.isin(0, 3), F.col("pair")).when(form == 5, high).otherwise(low)
+    x, y = (lambda c: F.left(c, F.lit(1))), (lambda c: F.right(c, F.lit(1)))
+
+    def as_second(of: Column) -> Column:
+        capital = F.when(F.col("kind") == "head", F.concat(x(high), y(low))).otherwise(low)
+        return F.when(of.isin(1, 4), low).when(of == 2, capital).when(of == 3, F.col("pair")).when(of == 5, high)
+
+    inside = F.col("kind").isin("head", "body")
+    mark = F.when(form.isin(1, 5), "_").when(form == 3, "-").when(form == 4, "/")  # none joins form 2, and form 0 is one word
+    values = (
+        (F.when(F.col("kind") == "start", as_first), False), (F.when(inside, as_first), True),
+        (F.when(inside & ~F.col("first"), as_second((form + 5) % 6)), True), (F.when(inside & F.col("end"), as_second(form)), True),
+        (F.when((F.col("kind") == "joint") & (form == 2), F.concat(x(low), y(high))), True),
+        (F.when(F.col("kind") == "joint", F.concat(x(as_first), mark)), True), (F.when(F.col("kind") == "joint", F.concat(mark, y(as_first))), True),
+    )
+    parts = F.array(*(F.struct(v.alias("value"), F.lit(inner).alias("inner"), F.col("n")) for v, inner in values))
+    return counted.select(F.inline(parts)).where(F.col("value").isNotNull()).groupBy("value", "inner").agg(F.sum("n").alias("n")).withColumn("label", F.lit(0))
 
 
 @dataclass(frozen=True)
