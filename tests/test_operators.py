@@ -52,8 +52,11 @@ def test_stores(spark, tmp_path):
     entry = {"product_url": "u", "avg_similarity_score": 0.9}
     (tmp_path / "entries.json").write_text(json.dumps([entry, entry]))
     assert [r.product_url for r in stores.read_entries(spark, str(tmp_path / "entries.json")).collect()] == ["u", "u"]
-    (tmp_path / "broken.json").write_text("[{")
-    assert stores.read_entries(spark, str(tmp_path / "broken.json")).count() == 0
+    for body in ("[{", "", "null", json.dumps(entry), '"x"', "[1, 2"):  # broken, and not an array
+        (tmp_path / "broken.json").write_text(body)
+        assert stores.read_entries(spark, str(tmp_path / "broken.json")).count() == 0, body
+    (tmp_path / "bare.json").write_text('\n [{"search_query": "q"}]')
+    assert [(r.search_query, r.product_url) for r in stores.read_entries(spark, str(tmp_path / "bare.json")).collect()] == [("q", None)]
     for k, body in enumerate(('{"url": "a"}', '{"url": ""}', "{", '{"url": "a"}')):
         (tmp_path / "result" / str(k)).mkdir(parents=True)
         (tmp_path / "result" / str(k) / "metadata.json").write_text(body)
@@ -62,7 +65,7 @@ def test_stores(spark, tmp_path):
     assert sorted(r.row_id for r in stores.read_state(spark, str(tmp_path / "state.txt")).collect()) == ["x", "y"]
     stores.replace_table(spark.range(3), str(tmp_path / "table"))
     stores.replace_table(spark.range(2), str(tmp_path / "table"))
-    assert spark.read.json(str(tmp_path / "table")).count() == 2
+    assert stores.read_table(spark, str(tmp_path / "table")).count() == 2
 
 
 def sheet(path, rows):

@@ -41,7 +41,7 @@ def test_query(spark, duck, name):
 
 
 def test_cards_read_the_whole_table(spark, tmp_path):
-    names = [(1, "B", "red green blue"), (2, "B", "red green grey"), (19_999, "B", "red green blue"), (20_000, "B", "plum")]
-    spark.createDataFrame(names, "p_partkey long, p_brand string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    names = [(1, "Brand#1", "red rod", 3), (2, "Brand#1", "old rod", 3), (19_999, "Brand#1", "red rod", 3), (20_000, "Brand#1", "hot gizmo", 4)]
+    spark.createDataFrame(names, "p_partkey long, p_brand string, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     assert {r.pos for r in registry.QUERIES["ensemble_card"](spark, str(tmp_path)).collect()} == {2, 19_999, 20_000}
     assert [r.pos for r in registry.QUERIES["best_by_avg"](spark, str(tmp_path)).collect()] == [19_999]

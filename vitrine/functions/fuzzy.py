@@ -84,17 +84,20 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def lcs(a: Column, b: Column) -> Column:
-    """Longest common subsequence of two short strings, by rows of the usual table."""
-    chars_a = F.filter(F.split(a, ""), lambda c: c != "")
-    chars_b = F.filter(F.split(b, ""), lambda c: c != "")
-    places = F.sequence(F.lit(1), F.size(chars_b))
+    """Longest common subsequence of two short strings.
 
-    def row(last: Column, c: Column) -> Column:
-        cell = lambda done, j: F.greatest(F.get(last, j), F.get(done, F.size(done) - 1), F.get(last, j - 1) + (F.get(chars_b, j - 1) == c).cast("int"))
-        return F.aggregate(places, F.array(F.lit(0)), lambda done, j: F.concat(done, F.array(cell(done, j))))
+    ``ends[k]`` is where the shortest beginning of ``b`` ends that has a common subsequence of k + 1
+    characters with ``a`` so far; each character moves the ends to its next places and may add one.
+    """
+    far = 1 << 30
+    after = lambda ends, k, c: F.pmod(F.position(c, b, F.coalesce(F.get(ends, k), F.lit(0)) + 1) - 1, F.lit(far)) + 1
 
-    full = F.aggregate(chars_a, F.array_repeat(F.lit(0), F.size(chars_b) + 1), row)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.element_at(full, -1))
+    def step(ends: Column, c: Column) -> Column:
+        moved = F.transform(ends, lambda e, k: F.least(e, after(ends, k - 1, c)))
+        return F.concat(moved, F.filter(F.array(after(ends, F.size(ends) - 1, c)), lambda e: e < far))
+
+    letters = F.filter(F.split(a, ""), lambda c: c != "")
+    return F.size(F.aggregate(letters, F.array().cast("array<int>"), step))
 
 
 def ratio_column(a: Column, b: Column) -> Column:
@@ -103,7 +106,7 @@ def ratio_column(a: Column, b: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(F.trim(F.lower(F.regexp_replace(c, r"(?U)\W", " "))), " +"), lambda w: w != "")
+    return F.filter(F.split(F.trim(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}_]", " "))), " +"), lambda w: w != "")
 
 
 def token_sort_column(a: Column, b: Column) -> Column:

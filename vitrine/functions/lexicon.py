@@ -1,14 +1,17 @@
-"""Brand aliases, product types and stop words, and the ways in which names are resolved by them."""
+"""Brand aliases, product types and stop words, and how runs of a name's words are resolved by them.
+
+A dictionary is a table, of any size: (alias, brand_id, ord) for brands, (phrase) for types. Runs of
+words are joined with it, so Spark broadcasts it while it is small and shuffles it when it isn't.
+"""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
-from functools import cached_property
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from . import text as t
 
 #: Words that carry no meaning in a product name.
 STOP_WORDS = (
@@ -18,126 +21,120 @@ STOP_WORDS = (
     "اورجینال", "اصل", "ساعته",
 )
 
-#: A small sample for tests and first steps; a full dictionary is loaded as a table.
-SAMPLE_BRANDS = (
-    ("مک", "BRAND_MAC"), ("MAC", "BRAND_MAC"), ("هلو کیتی", "BRAND_HELLO_KITTY"), ("HELLO KITTY", "BRAND_HELLO_KITTY"), ("HELLO", "BRAND_HELLO"),
-    ("بورژوا", "BRAND_BOURJOIS"), ("بورژوآ", "BRAND_BOURJOIS"), ("لورال", "BRAND_LOREAL"), ("اسنس", "BRAND_ESSENCE"), ("فلورمار", "BRAND_FLORMAR"),
-    ("FLORMAR", "BRAND_FLORMAR"), ("بیک", "BRAND_BIC"), ("هات لاو", "BRAND_HOT_LOVE"), ("VICTORIA SECRET", "BRAND_VICTORIA_SECRET"), ("21", "BRAND_21"), ("لانیژ", "BRAND_LANIEGE"), ("لانیژ", "BRAND_LANEIGE"),
-    ("DR. MARTIN", "BRAND_DR_MARTIN"), ("ONE TWO THREE FOUR", "BRAND_FOUR_WORDS"), ("THREE WORD NAME", "BRAND_THREE_WORDS"), ("ژیلت", "BRAND_GILLETTE"),
-)
-SAMPLE_TYPES = ("کرم پودر", "پودر", "شامپو", "ریمل", "سرم", "پنکک", "کانسیلر", "ادو پرفیوم", "عطر", "ژیلت")
 
 
 @dataclass(frozen=True)
 class Lexicon:
     """Aliases in order (of equal ones the last counts), types and stop words."""
 
-    brands: tuple[tuple[str, str], ...] = SAMPLE_BRANDS
-    types: tuple[str, ...] = SAMPLE_TYPES
+    brands: tuple[tuple[str, str], ...] = ()
+    types: tuple[str, ...] = ()
     stops: tuple[str, ...] = STOP_WORDS
-    _memory: dict = field(default_factory=dict, compare=False, repr=False)
-
-    @cached_property
-    def number(self) -> int:
-        """Tells lexicons of different content apart."""
-        return hash((self.brands, self.types, self.stops))
-
-    @cached_property
-    def brand_of(self) -> dict[str, str]:
-        return dict(self.brands)
-
-    @cached_property
-    def phrases(self) -> dict[tuple[str, ...], str]:
-        """Lower-case words of each alias and type and what stands for them; a type takes a clashing alias's place."""
-        found = {tuple(alias.lower().split()): brand.lower() for alias, brand in self.brands if alias.split()}
-        found |= {tuple(kind.lower().split()): f"type_{kind.replace(' ', '_')}".lower() for kind in self.types if kind.split()}
-        return found
-
-    @cached_property
-    def longest(self) -> int:
-        return max(map(len, self.phrases), default=0)
-
-    @cached_property
-    def stop_set(self) -> frozenset[str]:
-        return frozenset(self.stops)
-
-    @cached_property
-    def type_set(self) -> frozenset[str]:
-        return frozenset(self.types)
-
-    def replace_longest(self, tokens: list[str]) -> list[str]:
-        """Leftmost-longest phrases of ``phrases`` replaced by what stands for them."""
-        out, at = [], 0
-        while at < len(tokens):
-            for size in range(min(self.longest, len(tokens) - at), 0, -1):
-                found = self.phrases.get(tuple(tokens[at : at + size]))
-                if found:
-                    out.append(found)
-                    at += size
-                    break
-            else:
-                out.append(tokens[at])
-                at += 1
-        return out
-
-    @staticmethod
-    def _alternatives(entries: dict[str, str]) -> re.Pattern | None:
-        keys = sorted(entries, key=len, reverse=True)
-        return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, keys)) + r")(?!\w)") if keys else None
-
-    def substituted(self, text: str) -> str:
-        """Brands, then types, put for their aliases wherever no word character adjoins, longest first."""
-        if "passes" not in self._memory:
-            from .names import base_clean
-
-            brands = {base_clean(k): v for k, v in self.brands}
-            types = {base_clean(k): "TYPE_" + k.replace(" ", "_").upper() for k in self.types}
-            self._memory["passes"] = [(p, e) for e in (brands, types) if (p := self._alternatives(e))]
-        for pattern, entries in self._memory["passes"]:
-            text = pattern.sub(lambda m, e=entries: e[m[0]], text)
-        return text
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """(alias, brand_id, ord)."""
         return spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(self.brands)], "alias string, brand_id string, ord long")
 
+    def type_frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(x,) for x in self.types], "phrase string")
+
 
 def last_wins(dictionary: DataFrame) -> DataFrame:
     """(alias, brand_id): of the rows of an alias that with the largest ``ord``."""
     return dictionary.groupBy("alias").agg(F.max_by("brand_id", "ord").alias("brand_id"))
 
 
-def load_lexicon(dictionary: DataFrame, types: DataFrame, stops: tuple[str, ...] = STOP_WORDS, most: int = 1_000_000) -> Lexicon:
-    """A lexicon from tables (alias, brand_id, ord) and (phrase). It is sent to every worker, so its size is checked."""
-    brands = dictionary.orderBy("ord").select("alias", "brand_id").limit(most + 1).collect()
-    kinds = types.select("phrase").limit(most + 1).collect()
-    if len(brands) > most or len(kinds) > most:
-        raise ValueError(f"a lexicon of more than {most} entries isn't broadcast")
-    return Lexicon(tuple((r.alias, r.brand_id) for r in brands), tuple(r.phrase for r in kinds), stops)
+def load_lexicon(dictionary: DataFrame, types: DataFrame, stops: tuple[str, ...] = STOP_WORDS, most_bytes: int = 64 << 20) -> Lexicon:
+    """A lexicon from tables (alias, brand_id, ord) and (phrase), for functions that carry it to every worker.
 
+    It must not take more than ``most_bytes``; larger dictionaries stay tables, as ``names.features`` uses them.
+    """
+    size = lambda *columns: sum((F.octet_length(F.coalesce(c, F.lit(""))) + 64 for c in columns), F.lit(0))
+    taken = sum(f.agg(F.coalesce(F.sum(size(*f.columns[:2])), F.lit(0))).first()[0] for f in (dictionary.select("alias", "brand_id"), types.select("phrase")))
+    if taken > most_bytes:
+        raise ValueError(f"a lexicon of {taken} bytes isn't broadcast")
+    return Lexicon(tuple((r.alias, r.brand_id) for r in dictionary.orderBy("ord").collect()), tuple(r.phrase for r in types.collect()), stops)
 
-def longest_matches(names: DataFrame, dictionary: DataFrame, key: str, words: str, most_words: int = 4) -> DataFrame:
-    """``names`` with column ``resolved``: leftmost-longest dictionary phrases in the array ``words`` replaced by their ids.
 
-    Runs of one to ``most_words`` words are joined with the dictionary, so it may be of any size: Spark
-    broadcasts it while it is small. A row without words resolves to an empty array; ``key`` must be
-    unique. Phrases compare in lower case.
+# -- phrases that stand for something, in the three parsers' spellings -----------------------------
+
+
+def _spelt(c: Column) -> Column:
+    return F.array_join(t.tokens(c), " ")
+
+
+def trie_phrases(brands: DataFrame, types: DataFrame) -> DataFrame:
+    """(alias, id): lower-case words of aliases and types; a type takes a clashing alias's place."""
+    named = brands.select(_spelt(F.lower("alias")).alias("alias"), F.lower("brand_id").alias("id"), F.lit(0).alias("rank"), "ord")
+    kinds = types.select(_spelt(F.lower("phrase")).alias("alias"), F.lower(F.concat(F.lit("type_"), F.replace("phrase", F.lit(" "), F.lit("_")))).alias("id"), F.lit(1).alias("rank"), F.lit(0).cast("long").alias("ord"))
+    both = named.unionByName(kinds).where("alias <> ''")
+    return both.groupBy("alias").agg(F.max_by("id", F.struct("rank", "ord", "id")).alias("id"))
+
+
+def slot_phrases(brands: DataFrame) -> DataFrame:
+    """(alias, id): aliases of one or two words as they are spelt; longer ones are out of this parser's reach."""
+    return last_wins(brands).select("alias", F.col("brand_id").alias("id")).where(F.size(F.split("alias", " ")) <= 2)
+
+
+def regex_phrases(brands: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(alias, id) of brands and, for the second pass, of types, cleaned as names are."""
+    named = brands.select(t.base_clean(F.col("alias")).alias("alias"), F.col("brand_id").alias("id"), "ord")
+    kinds = types.select(t.base_clean(F.col("phrase")).alias("alias"), F.concat(F.lit("TYPE_"), F.upper(F.replace("phrase", F.lit(" "), F.lit("_")))).alias("id"))
+    return named.where("alias <> ''").groupBy("alias").agg(F.max_by("id", F.struct("ord", "id")).alias("id")), kinds.where("alias <> ''").groupBy("alias").agg(F.max("id").alias("id"))
+
+
+def segments(c: Column) -> Column:
+    """A text as runs of word characters and single other characters, whose concatenation it is."""
+    return F.regexp_extract_all(c, F.lit(f"{t.W}+|(?s:.)"), F.lit(0))
+
+
+# -- runs of words ---------------------------------------------------------------------------------
+
+
+def longest_run(phrases: DataFrame, pieces: Column) -> int:
+    """The most pieces that a phrase has."""
+    return phrases.agg(F.max(F.size(pieces))).first()[0] or 0
+
+
+def resolve(names: DataFrame, phrases: DataFrame, key: str, words: str, most: int, separator: str = " ", out: str = "resolved", fold: bool = False) -> DataFrame:
+    """``names`` with the array column ``out``: leftmost-longest runs of ``words`` that are phrases replaced by their ids.
+
+    Items are struct(word, hit). Runs of one to ``most`` words, joined by ``separator``, meet the table
+    (alias, id) in one join; ``key`` must be unique. Where pieces are segments of a text, runs begin and
+    end where no word character adjoins. With ``fold`` runs are compared in lower case.
     """
-    ids = last_wins(dictionary.select(F.lower("alias").alias("alias"), "brand_id", "ord"))
-    size = F.size(words)
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.when(n <= size, F.transform(F.sequence(F.lit(0), size - n), lambda p: F.struct(p.alias("p"), n.alias("n"), F.lower(F.array_join(F.slice(F.col(words), p + 1, n), " ")).alias("alias")))).otherwise(F.array().cast("array<struct<p:int,n:int,alias:string>>"))))
-    spread = names.where(size > 0).select(key, F.explode(grams).alias("g")).select(key, "g.*")
-    hits = spread.join(ids, "alias").groupBy(key).agg(F.collect_list(F.struct("p", "n", "brand_id")).alias("hits"))
+    kind = "array<struct<p:int,n:int,alias:string>>"
+    size, item = F.size(words), "array<struct<word:string,hit:boolean>>"
+    shown = (lambda c: F.lower(c)) if fold else (lambda c: c)
+    run = lambda p, n: F.struct(p.alias("p"), n.alias("n"), shown(F.array_join(F.slice(F.col(words), p + 1, n), separator)).alias("alias"))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(1, most))), lambda n: F.when(n <= size, F.transform(F.sequence(F.lit(0), size - n), lambda p: run(p, n))).otherwise(F.array().cast(kind))))
+    spread = names.where(size > 0).select(key, words, F.explode(grams).alias("g")).select(key, words, "g.*")
+    if separator == "":  # a phrase with other characters at its ends may stand beside a word character
+        word = lambda at: F.coalesce(F.get(F.col(words), at).rlike(f"^{t.W}"), F.lit(False))
+        spread = spread.where(~word(F.col("p") - 1) & ~word(F.col("p") + F.col("n")))
+    spread = spread.drop(words)
+    hits = spread.join(phrases, "alias").groupBy(key).agg(F.collect_list(F.struct("p", "n", "id")).alias("_hits"))
     joined = names.join(hits, key, "left")
-    kind = T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("brand_id", T.StringType())]))
-    found = F.coalesce(F.col("hits"), F.array().cast(kind))
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
-
-    def step(state, p):
-        here = F.filter(found, lambda h: h["p"] == p)
-        best = F.array_max(F.transform(here, lambda h: F.struct(h["n"].alias("n"), h["brand_id"].alias("brand_id"))))
-        grown = F.when(best.isNotNull(), F.struct((p + best["n"]).alias("next"), F.concat(state["out"], F.array(best["brand_id"])).alias("out"))).otherwise(F.struct((p + 1).alias("next"), F.concat(state["out"], F.array(F.get(F.col(words), p))).alias("out")))
-        return F.when(p < state["next"], state).otherwise(grown)
-
-    resolved = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), start, step, lambda s: s["out"])
-    return joined.withColumn("resolved", F.when(F.size(words) > 0, resolved).otherwise(F.array().cast("array<string>"))).drop("hits")
+    found = F.col("_hits")
+    start = F.struct(F.lit(0).alias("next"), F.array().cast(item).alias("out"))
+
+    def step(state, word, p):
+        best = F.array_max(F.transform(F.filter(found, lambda h: h["p"] == p), lambda h: F.struct(h["n"].alias("n"), h["id"].alias("id"))))
+        hit = F.struct((p + best["n"]).alias("next"), F.concat(state["out"], F.array(F.struct(best["id"].alias("word"), F.lit(True).alias("hit")))).alias("out"))
+        miss = F.struct((p + 1).alias("next"), F.concat(state["out"], F.array(F.struct(word.alias("word"), F.lit(False).alias("hit")))).alias("out"))
+        return F.when(p < state["next"], state).when(best.isNotNull(), hit).otherwise(miss)
+
+    placed = F.transform(F.col(words), lambda w, p: F.struct(w.alias("w"), p.alias("p")))
+    walked = F.aggregate(placed, start, lambda state, x: step(state, x["w"], x["p"]), lambda state: state["out"])
+    plain = F.transform(F.col(words), lambda w: F.struct(w.alias("word"), F.lit(False).alias("hit"))).cast(item)
+    return joined.withColumn(out, F.when(found.isNull(), plain).otherwise(walked)).drop("_hits")
+
+
+def longest_matches(names: DataFrame, dictionary: DataFrame, key: str, words: str) -> DataFrame:
+    """``names`` with column ``resolved``: leftmost-longest dictionary phrases in the array ``words`` replaced by their ids.
+
+    A row without words resolves to an empty array; ``key`` must be unique. Phrases compare in lower case.
+    """
+    phrases = last_wins(dictionary.select(_spelt(F.lower("alias")).alias("alias"), "brand_id", "ord")).withColumnRenamed("brand_id", "id")
+    found = resolve(names, phrases, key, words, longest_run(phrases, F.split("alias", " ")), fold=True)
+    return found.withColumn("resolved", F.transform("resolved", lambda x: x["word"]))

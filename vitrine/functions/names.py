@@ -1,319 +1,208 @@
-"""Three independent parsers and scorers of product names.
+"""Three independent parsers and scorers of product names, as DataFrame expressions.
 
-Each scorer compares a site name with a target name. They run in Arrow batches over features that are
-computed once for each distinct name, since replacement by dictionary, word-boundary substitution and
-greedy pairing have no built-in expression; the parts that do are in ``text`` and ``fuzzy``.
+``features`` parses each distinct name once, with the dictionaries as tables; ``scored`` joins the
+features to pairs of names and rates them. A pair that a gate refuses costs no string ratio.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from dataclasses import dataclass
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import fuzzy, lexicon
 from . import text as t
-from .fuzzy import edit_distance, ratio, token_set_ratio, token_sort_ratio
-from .lexicon import Lexicon
-
-_LETTERS = str.maketrans(t.ARABIC_LETTERS, t.PERSIAN_LETTERS)
-_PERSIAN = str.maketrans(t.PERSIAN_DIGITS, t.DIGITS)
-_ALL_DIGITS = str.maketrans(t.PERSIAN_DIGITS + t.ARABIC_DIGITS, 2 * t.DIGITS)
-
-
-def _python(pattern: str) -> str:
-    """A Java pattern of ``text`` for Python, whose classes see all scripts anyway."""
-    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "")
-
 
-def base_clean(name: str | None) -> str:
-    return (name or "").translate(_LETTERS).replace(t.ZWNJ, " ").translate(_PERSIAN).lower()
-
-
-# -- slots -----------------------------------------------------------------------------------------
-
-_VOLUME = re.compile(_python(t.SLOT_VOLUME))
-_CODE = re.compile(r"[A-Z]{0,4}[0-9]+[A-Z]{0,4}")
-#: Spelt-out shade letters and the codes that they begin.
-SPELT_CODES = ((("اس", "پی", "اف"), "SPF"), (("ان", "سی"), "NC"), (("ام",), "M"))
-#: Canonical units by their spellings without blanks; all others are ML.
-UNITS = {"لیتر": "L", "L": "L", "میلیگرم": "MG", "MG": "MG", "گرم": "G", "G": "G", "OZ": "OZ"}
+#: Spelt-out shade letters and what they stand for; a code is one of these before a number, letters
+#: before a number, or both in one word.
+SPELT_CODES = (("اس پی اف", "SPF"), ("ان سی", "NC"), ("ام", "M"))
+CODE_WORDS = r"(?:(?:اس پی اف|ان سی|ام) [\p{Nd}¹²³⁰⁴-⁹₀-₉]+|[A-Z]+ [0-9]+[A-Z]*|[A-Z]{0,4}[0-9]+[A-Z]{0,4})"
 #: Weights of brand, type, model, code, volume, and caps where one of them clashes.
 WEIGHTS = (0.20, 0.15, 0.35, 0.20, 0.10)
 CODE_CAP, VOLUME_CAP, BRAND_CAP, TYPE_CAP, TYPE_LEAST = 0.25, 0.30, 0.35, 0.40, 0.50
+#: Least ratios of Latin and of Persian words, and the least length of a word that may differ.
+LATIN_LEAST, FARSI_LEAST, NEAR_LENGTH = 88, 85, 5
+#: Substitutions in a name whose brands and types are resolved, in their order.
+SPELLINGS = (
+    (r"(?<![\p{L}\p{N}_])ان[\s\p{Z}]*سی(?![\p{L}\p{N}_])", "nc"),
+    (r"(?<![\p{L}\p{N}_])ام(?![\p{L}\p{N}_])", "m"),
+    (t.REGEX_ML, "$1ml"),
+    (t.REGEX_G, "$1g"),
+    (r"(?U)(?<![\p{L}\p{N}_])([a-z]+)\s+(\d+)(?![\p{L}\p{N}_])", "$1$2"),
+)
+#: Brands, types, volumes, codes and Latin words in such a name.
+ENTITY_BRAND = r"(?<![\p{L}\p{N}_])(BRAND_[A-Z0-9_]+)(?![\p{L}\p{N}_])"
+ENTITY_TYPE = r"(?iu)(?<![\p{L}\p{N}_])(TYPE_[A-Z0-9_آ-ی]+)(?![\p{L}\p{N}_])"
+VOLUME = r"(?<![\p{L}\p{N}_])(\p{Nd}+(?:ml|g))(?![\p{L}\p{N}_])"
+MIXED_CODE = r"(?<![\p{L}\p{N}_])([a-z]+\p{Nd}+)(?![\p{L}\p{N}_])"
+LONE_CODE = r"(?<![\p{L}\p{N}_])(\p{Nd}{2,4})(?![\p{L}\p{N}_])"
+NAMED_CODE = r"(?<![\p{L}\p{N}_])(?:شماره|no)[\s\p{Z}]*(\p{Nd}{1})(?![\p{L}\p{N}_])"
+LATIN = r"(?<![\p{L}\p{N}_])([a-z]+)(?![\p{L}\p{N}_])"
 
 
-@dataclass(frozen=True)
-class Slots:
-    brand: str | None = None
-    types: frozenset[str] = frozenset()
-    model: tuple[str, ...] = ()
-    code: str | None = None
-    volume: str | None = None
+def without(words: Column, stops: tuple[str, ...]) -> Column:
+    """Words that are no stop words; stop words of several words match none."""
+    return F.filter(words, lambda w: ~w.isin(*stops)) if stops else words
 
 
-def _code_at(words: list[str], at: int) -> tuple[str, int] | None:
-    """A shade code that begins at a word, and how many words it takes."""
-    for spelt, letters in SPELT_CODES:
-        end = at + len(spelt)
-        if tuple(words[at:end]) == spelt and end < len(words) and words[end].isdigit():
-            return letters + words[end], len(spelt) + 1
-    if at + 1 < len(words) and re.fullmatch("[A-Z]+", words[at]) and re.fullmatch("[0-9]+[A-Z]*", words[at + 1]):
-        return words[at] + words[at + 1], 2
-    return (words[at], 1) if _CODE.fullmatch(words[at]) else None
-
-
-def parse_slots(name: str | None, lexicon: Lexicon) -> Slots:
-    """Brand, types, model words, first shade code and volume of a name."""
-    if not name or not name.strip():
-        return Slots()
-    clean = re.sub(f"{t.TATWEEL}|{t.DIACRITICS}", "", re.sub(t.ALEFS, "ا", name)).translate(_LETTERS).translate(_ALL_DIGITS).upper()
-    volume = None
-    if hit := _VOLUME.search(clean):
-        unit = hit[2].replace(" ", "").replace(t.ZWNJ, "").upper()
-        volume = f"VOL:{hit[1]}{UNITS.get(unit, 'ML')}"
-        clean = f"{clean[: hit.start()]} {clean[hit.end() :]}"
-    words = [w for w in clean.split() if w not in lexicon.stop_set]
-    tagged, brand, at = [], None, 0
-    while at < len(words):  # two words before one; longer aliases are out of reach
-        for size in (2, 1):
-            found = lexicon.brand_of.get(" ".join(words[at : at + size])) if at + size <= len(words) else None
-            if found:
-                brand = brand or found
-                tagged.append(found)
-                at += size
-                break
-        else:
-            tagged.append(words[at])
-            at += 1
-    rest, code, at = [], None, 0
-    while at < len(tagged):
-        if found := _code_at(tagged, at):
-            code = code or f"CODE:{found[0]}"
-            at += found[1]
-        else:
-            rest.append(tagged[at])
-            at += 1
-    rest = [w for w in rest if not w.startswith("BRAND_")]
-    return Slots(brand, frozenset(w for w in rest if w in lexicon.type_set), tuple(w for w in rest if w not in lexicon.type_set), code, volume)
-
-
-def model_coverage(site: tuple[str, ...], target: tuple[str, ...]) -> float:
-    """Share of the target's model words that the site has, exactly or nearly, each word used once."""
-    if not site and not target:
-        return 1.0
-    spare, unmet, hits = list(site), [], 0
-    for word in target:
-        if word in spare:
-            spare.remove(word)
-            hits += 1
-        else:
-            unmet.append(word)
-    near = 0
-    for word in unmet:
-        rated = [1 - edit_distance(word, other) / max(len(word), len(other)) for other in spare]
-        if rated and max(rated) >= 0.80:
-            spare.pop(rated.index(max(rated)))
-            near += 1
-    n = max(len(target), 1)
-    score = min(1.0, hits / n + near / n)
-    return score * len(site) / len(target) if len(site) < len(target) else score
-
-
-def agreement(site: str | None, target: str | None, site_only: float, target_only: float) -> float:
-    """1 if equal or both missing, 0 if they differ."""
-    if site == target:
-        return 1.0
-    if site is None:
-        return target_only
-    return site_only if target is None else 0.0
-
-
-def slot_score(site: str | None, target: str | None, lexicon: Lexicon) -> float:
-    if not (site and site.strip() and target and target.strip()):
-        return 0.0
-    s, e = slots_of(site, lexicon), slots_of(target, lexicon)
-    brand = agreement(s.brand, e.brand, 0.5, 0.5)
-    kind = len(s.types & e.types) / len(s.types | e.types) if s.types | e.types else 1.0
-    code = agreement(s.code, e.code, 0.8, 0.3)
-    volume = agreement(s.volume, e.volume, 0.7, 0.7)
-    parts = (brand, kind, model_coverage(s.model, e.model), code, volume)
-    total = 0.0
-    for weight, part in zip(WEIGHTS, parts, strict=True):
-        total += weight * part
-    caps = [cap for clash, cap in ((code == 0, CODE_CAP), (volume == 0, VOLUME_CAP), (brand == 0, BRAND_CAP), (kind < TYPE_LEAST, TYPE_CAP)) if clash]
-    return round(min([total, *caps]), 4)
-
-
-# -- trie ------------------------------------------------------------------------------------------
-
-_ML, _G = re.compile(_python(t.TRIE_ML)), re.compile(_python(t.TRIE_G))
-_MEASURE, _CODES = re.compile(r"(?i)\d+(?:ml|g)"), re.compile(r"(?i)[a-z]+\d+|\d+[a-z]+|\d+")
-_LATIN, _FARSI = re.compile("(?i)[a-z]{3,}"), re.compile("[آ-یپچجگژ]{3,}")
-LATIN_LEAST, FARSI_LEAST = 88, 85
-
-
-@dataclass(frozen=True)
-class TrieFeatures:
-    tokens: tuple[str, ...]
-    brands: frozenset[str]
-    types: frozenset[str]
-    measures: frozenset[str]
-    codes: frozenset[str]
-    latin: frozenset[str]
-    farsi: frozenset[str]
-
-
-def parse_trie(name: str | None, lexicon: Lexicon) -> TrieFeatures:
-    spaced = _G.sub(r" \1g ", _ML.sub(r" \1ml ", base_clean(name)))
-    words = tuple(w for w in lexicon.replace_longest(spaced.split()) if w not in lexicon.stop_set)
-    pick = lambda test: frozenset(filter(test, words))
-    brands, types, measures = pick(lambda w: w.startswith("brand_")), pick(lambda w: w.startswith("type_")), pick(_MEASURE.fullmatch)
-    return TrieFeatures(words, brands, types, measures, pick(_CODES.fullmatch) - measures, pick(_LATIN.fullmatch) - brands - types, pick(_FARSI.fullmatch) - brands - types)
-
-
-def lacks(site: frozenset[str], target: frozenset[str], strict: bool = True) -> bool:
-    """Whether the target has entities of which the site has none; a site without any passes unless ``strict``."""
-    return bool(target) and not site & target and (strict or bool(site))
-
-
-def word_missing(words: frozenset[str], site: str, least: int) -> bool:
-    """Whether a word neither occurs in the site's text nor, if of five letters or more, nearly so."""
-    for word in words:
-        n = len(word)
-        if word not in site and (n < 5 or not any(ratio(word, site[k : k + n]) >= least for k in range(max(1, len(site) - n + 1)))):
-            return True
-    return False
-
-
-def trie_score(site: str | None, target: str | None, lexicon: Lexicon) -> float:
-    if not site or not target:
-        return 0.0
-    s, e = trie_of(site, lexicon), trie_of(target, lexicon)
-    if s.tokens == e.tokens:
-        return 1.0
-    if lacks(s.brands, e.brands) or lacks(s.types, e.types, strict=False) or lacks(s.measures, e.measures) or lacks(s.codes, e.codes):
-        return 0.0
-    text = " ".join(s.tokens)
-    if word_missing(e.latin, text, LATIN_LEAST) or word_missing(e.farsi, text, FARSI_LEAST):
-        return 0.0
-    other = " ".join(e.tokens)
-    return round((token_set_ratio(text, other) * 0.4 + token_sort_ratio(text, other) * 0.6) / 100.0, 4)
-
-
-# -- regex -----------------------------------------------------------------------------------------
-
-_REGEX_ML, _REGEX_G = re.compile(_python(t.REGEX_ML)), re.compile(_python(t.REGEX_G))
-_NC, _M, _SPLIT_CODE = re.compile(r"(?<!\w)ان\s*سی(?!\w)"), re.compile(r"(?<!\w)ام(?!\w)"), re.compile(r"(?<!\w)([a-z]+)\s+(\d+)(?!\w)")
-#: What counts as an entity, a volume, a code or a Latin word in a normalised name.
-ENTITY_BRAND, ENTITY_TYPE = re.compile(r"(?<!\w)BRAND_[A-Z0-9_]+(?!\w)"), re.compile(r"(?i)(?<!\w)TYPE_[A-Z0-9_آ-ی]+(?!\w)")
-VOLUME, CODES = re.compile(r"(?<!\w)\d+(?:ml|g)(?!\w)"), tuple(re.compile(rf"(?<!\w){x}(?!\w)") for x in (r"([a-z]+\d+)", r"(\d{2,4})", r"(?:شماره|no)\s*(\d{1})"))
-LATIN = re.compile(r"(?<!\w)[a-z]+(?!\w)")
-
-
-@dataclass(frozen=True)
-class RegexFeatures:
-    text: str
-    gates: tuple[frozenset[str], frozenset[str], frozenset[str], frozenset[str]]
-    codes: frozenset[str]
-
-
-def parse_regex(name: str | None, lexicon: Lexicon) -> RegexFeatures:
-    clean = _M.sub("m", _NC.sub("nc", lexicon.substituted(base_clean(name))))
-    clean = _SPLIT_CODE.sub(r"\1\2", _REGEX_G.sub(r"\1g", _REGEX_ML.sub(r"\1ml", clean)))
-    clean = " ".join(w for w in clean.split() if w not in lexicon.stop_set)
-    rest, found = clean, []
-    for pattern in (ENTITY_BRAND, ENTITY_TYPE, VOLUME):
-        found.append(frozenset(pattern.findall(clean)))
-        rest = pattern.sub(" ", rest)
-    return RegexFeatures(clean, (*found, frozenset(LATIN.findall(rest))), frozenset(x for p in CODES for x in p.findall(rest)))
+def _words(resolved: str) -> Column:
+    return F.transform(resolved, lambda x: x["word"])
+
+
+# -- features of a name ----------------------------------------------------------------------------
 
 
-def regex_score(site: str | None, target: str | None, lexicon: Lexicon) -> float:
-    s, e = regex_of(site, lexicon), regex_of(target, lexicon)
-    if any(a and b and not a & b for a, b in zip(s.gates, e.gates, strict=True)) or ((s.codes or e.codes) and not s.codes & e.codes):
-        return 0.0
-    return (token_set_ratio(s.text, e.text) * 0.4 + token_sort_ratio(s.text, e.text) * 0.6) / 100.0
+def trie_words(name: Column) -> Column:
+    return t.tokens(t.standard_units(t.base_clean(name)))
 
 
-# -- features once for each name; scores as columns ------------------------------------------------
+def trie_struct(resolved: str, stops: tuple[str, ...]) -> Column:
+    """struct(tokens, brands, types, measures, codes, latin, farsi) of resolved words."""
+    words = without(_words(resolved), tuple(x.lower() for x in stops))
+    begins = lambda prefix: F.array_distinct(F.filter(words, lambda w: w.startswith(prefix)))
+    return F.struct(words.alias("tokens"), begins("brand_").alias("brands"), begins("type_").alias("types"), t.measure_tokens(words).alias("measures"), t.code_tokens(words).alias("codes"), t.word_tokens(words).alias("latin"), t.persian_tokens(words).alias("farsi"))
 
 
-_KEPT: dict[tuple, object] = {}
+def slot_words(cleaned: Column, stops: tuple[str, ...]) -> Column:
+    return without(t.tokens(t.cut_volume(cleaned)), stops)
 
 
-def _remembered(kind: str, parse, name: str | None, lexicon: Lexicon):
-    """``parse(name)``, kept with the other results of this worker while they are few."""
-    key = (kind, name, lexicon.number)
-    if key not in _KEPT:
-        if len(_KEPT) > 1 << 16:
-            _KEPT.clear()
-        _KEPT[key] = parse(name, lexicon)
-    return _KEPT[key]
+def slot_struct(resolved: str, cleaned: Column, types: Column, stops: tuple[str, ...]) -> Column:
+    """struct(brand, type, model, code, volume) of resolved words; ``types`` is the array of those that are types.
 
+    Codes are found in the words put together again, each match beginning and ending at a blank.
+    """
+    line = F.concat(F.lit(" "), F.array_join(_words(resolved), " "), F.lit(" "))
+    code = F.regexp_extract(line, f"(?<= ){CODE_WORDS}(?= )", 0)
+    shown = code
+    for spelt, letters in SPELT_CODES:
+        shown = F.regexp_replace(shown, f"^{spelt} ", letters)
+    rest = F.filter(t.tokens(F.regexp_replace(line, f"(?<= ){CODE_WORDS}(?= )", "")), lambda w: ~w.startswith("BRAND_"))
+    brand = F.get(F.filter(resolved, lambda x: x["hit"]), 0)["word"]
+    return F.struct(brand.alias("brand"), F.array_sort(F.array_intersect(rest, types)).alias("type"), F.filter(rest, lambda w: ~F.array_contains(types, w)).alias("model"), F.when(code != "", F.concat(F.lit("CODE:"), F.replace(shown, F.lit(" "), F.lit("")))).alias("code"), t.volume_tag(cleaned).alias("volume"))
+
+
+def regex_struct(resolved: str, stops: tuple[str, ...]) -> Column:
+    """struct(text, brands, types, volumes, latin, codes) of a name's resolved segments."""
+    line = F.array_join(_words(resolved), "")
+    for pattern, put in SPELLINGS:
+        line = F.regexp_replace(line, pattern, put)
+    cleaned = tuple({x.replace(t.ZWNJ, " ").translate(_LETTERS).lower() for x in stops})
+    whole = F.array_join(without(t.tokens(line), cleaned), " ")
+    every = lambda c, pattern: F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)))
+    rest = whole
+    for pattern in (ENTITY_BRAND, ENTITY_TYPE, VOLUME):
+        rest = F.regexp_replace(rest, pattern, " ")
+    codes = F.array_union(F.array_union(every(rest, MIXED_CODE), every(rest, LONE_CODE)), every(rest, NAMED_CODE))
+    return F.struct(whole.alias("text"), every(whole, ENTITY_BRAND).alias("brands"), every(whole, ENTITY_TYPE).alias("types"), every(whole, VOLUME).alias("volumes"), every(rest, LATIN).alias("latin"), codes.alias("codes"))
 
-def slots_of(name: str | None, lexicon: Lexicon) -> Slots:
-    return _remembered("slots", parse_slots, name, lexicon)
 
+_LETTERS = str.maketrans(t.ARABIC_LETTERS + t.PERSIAN_DIGITS, t.PERSIAN_LETTERS + t.DIGITS)
 
-def trie_of(name: str | None, lexicon: Lexicon) -> TrieFeatures:
-    return _remembered("trie", parse_trie, name, lexicon)
 
+def features(names: DataFrame, brands: DataFrame, types: DataFrame, stops: tuple[str, ...] = lexicon.STOP_WORDS) -> DataFrame:
+    """(name, trie, regex, slot): the three parsers' features of each distinct name in ``names`` (name); null counts as empty.
 
-def regex_of(name: str | None, lexicon: Lexicon) -> RegexFeatures:
-    return _remembered("regex", parse_regex, name, lexicon)
+    ``brands`` has (alias, brand_id, ord), ``types`` (phrase). Runs of words are bounded by the longest phrase.
+    """
+    rows = names.select(F.coalesce(F.col("name").cast("string"), F.lit("")).alias("name")).distinct()
+    blanks = F.split("alias", " ")
+    # trie: brands and types in one pass
+    phrases = lexicon.trie_phrases(brands, types)
+    rows = lexicon.resolve(rows.withColumn("_w", trie_words(F.col("name"))), phrases, "name", "_w", lexicon.longest_run(phrases, blanks), out="_trie")
+    # slot: aliases of two words and one, over upper-case words without stop words
+    rows = rows.withColumn("_clean", t.slot_clean(F.col("name")))
+    rows = lexicon.resolve(rows.withColumn("_w", slot_words(F.col("_clean"), stops)), lexicon.slot_phrases(brands), "name", "_w", 2, out="_slot")
+    kinds = types.select("phrase").distinct()
+    tagged = rows.select("name", F.explode(F.array_distinct(_words("_slot"))).alias("phrase")).join(kinds, "phrase").groupBy("name").agg(F.collect_set("phrase").alias("_types"))
+    rows = rows.join(tagged, "name", "left").withColumn("_types", F.coalesce("_types", F.array().cast("array<string>")))
+    # regex: brands, then types, in the text's segments
+    for k, part in enumerate(lexicon.regex_phrases(brands, types)):
+        source = t.base_clean(F.col("name")) if k == 0 else F.array_join(_words("_regex"), "")
+        most = lexicon.longest_run(part, lexicon.segments(F.col("alias")))
+        rows = lexicon.resolve(rows.withColumn("_w", lexicon.segments(source)).drop("_regex"), part, "name", "_w", most, separator="", out="_regex")
+    return rows.select("name", trie_struct("_trie", stops).alias("trie"), regex_struct("_regex", stops).alias("regex"), slot_struct("_slot", F.col("_clean"), F.col("_types"), stops).alias("slot"))
 
 
-def scores(site: Column, target: Column, lexicon: Lexicon) -> Column:
-    """struct(trie, regex, slot) of a site name against a target name."""
+# -- scores of a pair ------------------------------------------------------------------------------
 
-    @F.pandas_udf("trie double, regex double, slot double")
-    def rate(sites: pd.Series, targets: pd.Series) -> pd.DataFrame:
-        sites, targets = sites.where(sites.notna(), None), targets.where(targets.notna(), None)
-        pairs = Counter(zip(sites, targets, strict=True))  # equal pairs are scored once a batch
-        known = {p: (trie_score(*p, lexicon), regex_score(*p, lexicon), slot_score(*p, lexicon)) for p in pairs}
-        return pd.DataFrame([known[p] for p in zip(sites, targets, strict=True)], columns=["trie", "regex", "slot"])
 
-    return rate(site, target)
+def lacks(site: Column, target: Column, strict: bool = True) -> Column:
+    """Whether the target has entities of which the site has none; a site without any passes unless ``strict``."""
+    clash = (F.size(target) > 0) & ~F.arrays_overlap(site, target)
+    return clash if strict else clash & (F.size(site) > 0)
 
 
-SLOTS = "brand string, type array<string>, model array<string>, code string, volume string"
+def near(word: Column, text: Column, least: int) -> Column:
+    """Whether some stretch of ``text`` as long as the word has at least that ratio to it.
 
+    A ratio lets few characters stand outside the common subsequence, and the edit distance is at most their
+    number, so it refuses most stretches cheaply.
+    """
+    size, stray = F.length(word), 1 - (least - 0.5) / 100.0
+    stretches = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - size + 1)), lambda k: F.substring(text, k, size))
+    alike = lambda x: F.when(F.levenshtein(word, x) <= (size + F.length(x)) * stray, fuzzy.ratio_column(word, x) >= least).otherwise(False)
+    return F.exists(stretches, alike)
 
-def _parser(lexicon: Lexicon):
-    def parse(names: pd.Series) -> pd.DataFrame:
-        found = [slots_of(x if isinstance(x, str) else None, lexicon) for x in names]
-        return pd.DataFrame({"brand": [f.brand for f in found], "type": [sorted(f.types) for f in found], "model": [list(f.model) for f in found], "code": [f.code for f in found], "volume": [f.volume for f in found]})
 
-    return parse
+def missing(words: Column, text: Column, least: int) -> Column:
+    """Whether a word neither occurs in the text nor, if it is long enough, nearly so."""
+    return F.exists(words, lambda w: F.when(F.contains(text, w), False).when(F.length(w) < NEAR_LENGTH, True).otherwise(~near(w, text, least)))
 
 
-def parsed(name: Column, lexicon: Lexicon) -> Column:
-    """struct(brand, type, model, code, volume) of a name."""
-    return F.pandas_udf(_parser(lexicon), SLOTS)(name)
+def residual(a: Column, b: Column) -> Column:
+    return (fuzzy.token_set_column(a, b) * 0.4 + fuzzy.token_sort_column(a, b) * 0.6) / 100.0
 
 
-def register(spark, lexicon: Lexicon) -> None:
-    """similarity_trie, similarity_regex, similarity_slot, token_set_ratio, token_sort_ratio and parse_product for SQL."""
-    for name, score in (("trie", trie_score), ("regex", regex_score), ("slot", slot_score)):
-        spark.udf.register(f"similarity_{name}", F.pandas_udf(_scorer(score, lexicon), "double"))
-    spark.udf.register("parse_product", F.pandas_udf(_parser(lexicon), SLOTS))
-    for name, rate in (("token_set_ratio", token_set_ratio), ("token_sort_ratio", token_sort_ratio)):
-        spark.udf.register(name, F.pandas_udf(_rater(rate), "int"))
+def trie_score(site: Column, target: Column, blank: Column) -> Column:
+    text, other = F.array_join(site["tokens"], " "), F.array_join(target["tokens"], " ")
+    clash = lacks(site["brands"], target["brands"]) | lacks(site["types"], target["types"], strict=False) | lacks(site["measures"], target["measures"]) | lacks(site["codes"], target["codes"])
+    clash = clash | missing(target["latin"], text, LATIN_LEAST) | missing(target["farsi"], text, FARSI_LEAST)
+    return F.when(blank, 0.0).when(site["tokens"] == target["tokens"], 1.0).when(clash, 0.0).otherwise(F.round(residual(text, other), 4))
 
 
-def _scorer(score, lexicon):
-    def rate(sites: pd.Series, targets: pd.Series) -> pd.Series:
-        return pd.Series([score(a, b, lexicon) for a, b in zip(sites.where(sites.notna(), None), targets.where(targets.notna(), None), strict=True)], dtype=float)
+def regex_score(site: Column, target: Column) -> Column:
+    apart = lambda x: (F.size(site[x]) > 0) & (F.size(target[x]) > 0) & ~F.arrays_overlap(site[x], target[x])
+    codes = (F.size(site["codes"]) + F.size(target["codes"]) > 0) & ~F.arrays_overlap(site["codes"], target["codes"])
+    return F.when(apart("brands") | apart("types") | apart("volumes") | apart("latin") | codes, 0.0).otherwise(residual(site["text"], target["text"]))
 
-    return rate
 
+def model_coverage(site: Column, target: Column) -> Column:
+    """Share of the target's model words that the site has, exactly or nearly, each word used once."""
+    count = lambda words, w: F.size(F.filter(words, lambda x: x == w))
+    beyond = lambda words, others: F.filter(words, lambda w, k: count(F.slice(words, 1, k + 1), w) > count(others, w))
+    unmet, spare = beyond(target, site), beyond(site, target)
+    size = F.size(target)
+    share = F.least(F.lit(1.0), (size - F.size(unmet)) / size + fuzzy.greedy_pairs(unmet, spare, 0.80) / size)
+    return F.when(size == 0, F.when(F.size(site) == 0, 1.0).otherwise(0.0)).when(F.size(site) < size, share * F.size(site) / size).otherwise(share)
 
-def _rater(rate_pair):
-    def rate(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([rate_pair(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    return rate
+def agreement(site: Column, target: Column, site_only: float, target_only: float) -> Column:
+    """1 if equal or both missing, 0 if they differ."""
+    return F.when(site.eqNullSafe(target), 1.0).when(site.isNull(), target_only).when(target.isNull(), site_only).otherwise(0.0)
+
+
+def slot_score(site: Column, target: Column, blank: Column) -> Column:
+    brand, kind = agreement(site["brand"], target["brand"], 0.5, 0.5), fuzzy.jaccard(site["type"], target["type"])
+    code, volume = agreement(site["code"], target["code"], 0.8, 0.3), agreement(site["volume"], target["volume"], 0.7, 0.7)
+    parts = (brand, kind, model_coverage(site["model"], target["model"]), code, volume)
+    total = sum((weight * part for weight, part in zip(WEIGHTS, parts, strict=True)), F.lit(0.0))
+    caps = [F.when(clash, cap) for clash, cap in ((code == 0, CODE_CAP), (volume == 0, VOLUME_CAP), (brand == 0, BRAND_CAP), (kind < TYPE_LEAST, TYPE_CAP))]
+    return F.when(blank, 0.0).otherwise(F.round(F.least(total, *caps), 4))
+
+
+def scored(pairs: DataFrame, known: DataFrame, site: str = "site", target: str = "target") -> DataFrame:
+    """``pairs`` with columns trie, regex and slot, from the ``features`` of their names.
+
+    Each pair of names is rated once, whatever number of rows it stands in; null names count as empty.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    side = lambda name: known.select(F.col("name").alias(f"_{name}"), *(F.col(x).alias(f"_{name}_{x}") for x in ("trie", "regex", "slot")))
+    distinct = pairs.select(text(site).alias("_site"), text(target).alias("_target")).distinct()
+    both = distinct.join(side("site"), "_site").join(side("target"), "_target")
+    empty, blank = (F.col("_site") == "") | (F.col("_target") == ""), (F.size(t.tokens(F.col("_site"))) == 0) | (F.size(t.tokens(F.col("_target"))) == 0)
+    rated = both.select(
+        "_site", "_target", trie_score(F.col("_site_trie"), F.col("_target_trie"), empty).alias("trie"),
+        regex_score(F.col("_site_regex"), F.col("_target_regex")).alias("regex"), slot_score(F.col("_site_slot"), F.col("_target_slot"), blank).alias("slot"),
+    )
+    keyed = pairs.withColumns({"_site": text(site), "_target": text(target)})
+    return keyed.join(rated, ["_site", "_target"]).drop("_site", "_target")

@@ -5,6 +5,8 @@ Java's \\d, \\w and \\s are ASCII by default; patterns that must see Persian let
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,12 +15,19 @@ ARABIC_LETTERS, PERSIAN_LETTERS = "يك", "یک"
 PERSIAN_DIGITS, ARABIC_DIGITS, DIGITS = "۰۱۲۳۴۵۶۷۸۹", "٠١٢٣٤٥٦٧٨٩", "0123456789"
 ALEFS, TATWEEL, ZWNJ, NBSP = "[أإآٱ]", "ـ", "‌", " "
 DIACRITICS = "[\\u064B-\\u065F]"
+#: A word character as dictionaries and patterns see it: letters and numbers of all scripts, and the underscore.
+W = r"[\p{L}\p{N}_]"
 #: Unit spellings of the three name parsers.
-TRIE_ML = r"(?iU)(\d+)\s*(?:میلی\s*لیتر|میل(?!ی)|milliliter|ml|م(?!\w))"
-TRIE_G = r"(?iU)(\d+)\s*(?:گرم|grams?|gr(?!\w)|g(?!\w))"
+TRIE_ML = r"(?iU)(\d+)\s*(?:میلی\s*لیتر|میل(?!ی)|milliliter|ml|م(?![\p{L}\p{N}_]))"
+TRIE_G = r"(?iU)(\d+)\s*(?:گرم|grams?|gr(?![\p{L}\p{N}_])|g(?![\p{L}\p{N}_]))"
 SLOT_VOLUME = r"(?iU)(\d+(?:\.\d+)?)\s*(میلی\s*لیتر|میلی‌لیتر|میلی\s*گرم|گرم|لیتر|ML|L|G|MG|CC|OZ|م)(?!\S)"
-REGEX_ML = r"(?U)(?<!\w)(\d+)\s*(?:میلی\s*لیتر|میل|م|ml|milliliter)(?!\w)"
-REGEX_G = r"(?U)(?<!\w)(\d+)\s*(?:گرم|g|gram)(?!\w)"
+REGEX_ML = r"(?U)(?<![\p{L}\p{N}_])(\d+)\s*(?:میلی\s*لیتر|میل|م|ml|milliliter)(?![\p{L}\p{N}_])"
+REGEX_G = r"(?U)(?<![\p{L}\p{N}_])(\d+)\s*(?:گرم|g|gram)(?![\p{L}\p{N}_])"
+
+
+#: A measure in its standard form, and a Persian word.
+MEASURE = r"(?i)^\p{Nd}+(?:ml|g)$"
+FARSI = "[آ-یپچجگژ]{3,}"
 
 
 def is_blank(c: Column) -> Column:
@@ -54,6 +63,13 @@ def standard_units(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, TRIE_ML, " $1ml "), TRIE_G, " $1g ")
 
 
+def cut_volume(c: Column) -> Column:
+    """A cleaned name without its first volume."""
+    at = F.regexp_instr(c, F.lit(SLOT_VOLUME))
+    size = F.length(F.regexp_extract(c, SLOT_VOLUME, 0))
+    return F.when(at > 0, F.concat(F.substring(c, F.lit(1), at - 1), F.lit(" "), F.substring(c, at + size, F.length(c)))).otherwise(c)
+
+
 def volume_tag(c: Column) -> Column:
     """VOL:<number><unit> of the first volume in a cleaned name, null without one. Units aren't converted."""
     number = F.regexp_extract(c, SLOT_VOLUME, 1)
@@ -68,12 +84,12 @@ def tokens(c: Column) -> Column:
 
 def code_tokens(names: Column) -> Column:
     """Distinct tokens with digits that aren't measures."""
-    found = F.filter(names, lambda t: t.rlike(r"(?i)^(?:[a-z]+[0-9]+|[0-9]+[a-z]+|[0-9]+)$") & ~t.rlike(r"(?i)^[0-9]+(?:ml|g)$"))
+    found = F.filter(names, lambda t: t.rlike(r"(?i)^(?:[a-z]+\p{Nd}+|\p{Nd}+[a-z]+|\p{Nd}+)$") & ~t.rlike(MEASURE))
     return F.array_distinct(found)
 
 
 def measure_tokens(names: Column) -> Column:
-    return F.array_distinct(F.filter(names, lambda t: t.rlike(r"(?i)^[0-9]+(?:ml|g)$")))
+    return F.array_distinct(F.filter(names, lambda t: t.rlike(MEASURE)))
 
 
 def word_tokens(names: Column) -> Column:
@@ -82,7 +98,7 @@ def word_tokens(names: Column) -> Column:
 
 
 def persian_tokens(names: Column) -> Column:
-    return F.array_distinct(F.filter(names, lambda t: t.rlike("^[آ-یپچجگژ]{3,}$")))
+    return F.array_distinct(F.filter(names, lambda t: t.rlike(f"^{FARSI}$")))
 
 
 def parse_price(c: Column) -> Column:
@@ -115,6 +131,24 @@ def absolute_url(c: Column, base: str) -> Column:
     return F.when(c.startswith("http"), c).otherwise(F.concat(F.lit(base), F.ltrim(c, F.lit("/"))))
 
 
+def joined_url(c: Column, base: str) -> Column:
+    """A reference resolved against ``base``: absolute ones stay, //host takes the scheme, /path the host, ?query
+    the path, and others stand beside the base's last part. Dot segments are resolved."""
+    scheme, host, path, asked = re.match(r"([a-z][a-z0-9+.-]*:)//([^/?#]*)([^?#]*)([?][^#]*)?", base, re.I).groups(default="")
+    folder = path[: path.rfind("/") + 1] or "/"
+    mark = F.regexp_instr(c, F.lit("[?#]"))
+    own = F.when(mark > 0, F.substring(c, F.lit(1), mark - 1)).otherwise(c)
+    rest = F.when(mark > 0, F.substring(c, mark, F.length(c))).otherwise(F.lit(""))
+    whole = F.when(own.startswith("/"), own).otherwise(F.concat(F.lit(folder), own))
+    parts = F.split(F.substring(whole, F.lit(2), F.length(whole)), "/")
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.lit(0), F.size(done) - 1))
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x)))
+    flat = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    closed = F.when(F.try_element_at(parts, F.lit(-1)).isin(".", "..") & (flat != ""), F.concat(flat, F.lit("/"))).otherwise(flat)
+    local = F.concat(F.lit(f"{scheme}//{host}/"), closed, rest)
+    return F.when(c.rlike("(?i)^[a-z][a-z0-9+.-]*:"), c).when(c.startswith("//"), F.concat(F.lit(scheme), c)).when(c == "", F.lit(base)).when(own == "", F.concat(F.lit(f"{scheme}//{host}{path}"), F.when(rest.startswith("#"), F.lit(asked)).otherwise(F.lit("")), rest)).otherwise(local)
+
+
 def url_slug(c: Column) -> Column:
     """The last part of a url's path, decoded."""
     parts = F.filter(F.split(F.coalesce(F.try_parse_url(c, F.lit("PATH")), F.lit("")), "/"), lambda x: x != "")

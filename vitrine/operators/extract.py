@@ -1,17 +1,20 @@
 """Records from captured product pages.
 
-Regular expressions serve flat pages without leaving the JVM. Where tags nest or stay open,
-``blocks_exact`` walks the page with an HTML parser in Arrow batches.
+A page is split at opening tags, so each expression passes over it once whatever tags stay open; an
+element's text ends at its first closing tag or where an element of the same kind begins.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from . import state
 
 #: Signs of an interstitial page, and the sentence that an unavailable product shows.
 CHALLENGE_SIGNS = ("cloudflare", "verify you are human", "ddos-guard", "just a moment", "access denied", "bot detection")
@@ -19,29 +22,79 @@ UNAVAILABLE = "این محصول ناموجود است"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
+def has(name: str, value: str) -> str:
+    """A pattern for a tag's attributes: one of them has this value, or for class has it among its values."""
+    return rf'(?=[^>]*\b{name}="(?:[^"]*\s)?{value}(?:\s[^"]*)?")'
+
+
+#: Where the product pages have what a record holds: (container's attribute or "", tags, attributes).
+#: Of several places the first that gives a text counts.
+LOCATORS: dict[str, tuple[tuple[str, str, str], ...]] = {
+    "name_fa": (("", "h1", ""),),
+    "name_en": (("", "span", has("class", "text-text-mediumGray")), ("", "span", has("class", "name-en"))),
+    "brand": ((has("data-sentry-component", "PDPBreadcrumb"), "a", ""), ("", "nav", "")),
+    "rate": ((has("data-sentry-component", "StarRate"), "span", ""), ("", "span", has("class", "rate"))),
+    "reviews": ((has("data-sentry-component", "CommentsCounter"), "span", ""), ("", "span", has("class", "reviews"))),
+    "wishlist": ((has("data-sentry-component", "WishlistCount"), "span", ""), ("", "span", has("class", "wishlist"))),
+    "struck": (("", "span", has("class", "line-through")), ("", "del", "")),
+    "discount": (("", "span", has("class", "bg-alert-error-dark")), ("", "span", has("class", "discount"))),
+    "price": (("", "span", has("data-test", "pdp-price")), ("", "span", has("class", "price"))),
+    "buy_box": ((has("data-test", "pdp-buy-box"), "", ""),),
+    "intro": ((has("data-sentry-component", "Description"), "", ""), ("", "body", "")),
+    "usage": ((has("data-sentry-component", "HowToUse"), "", ""), (has("data-headlessui-state", "open"), "", "")),
+}
+BLOCKS = "h2|h3|p"
+
+
 def plain(fragment: Column) -> Column:
     """A fragment's text: tags dropped, common entities decoded, blanks trimmed."""
     c = F.regexp_replace(fragment, "<[^>]*>", "")
     for entity, char in ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(char))
-    return F.trim(c)
+    return F.btrim(c, F.lit(" \t\r\n"))
 
 
-def element(html: Column, tag: str, attribute: str = "") -> Column:
+def insides(html: Column, tags: str, attributes: str = "") -> Column:
+    """What follows each opening tag of one of ``tags``, up to its close or the next such tag."""
+    opened = F.slice(F.split(html, rf"(?is)<(?:{tags})\b{attributes}[^>]*>"), F.lit(2), F.greatest(F.lit(1), F.length(html)))
+    return F.transform(opened, lambda x: F.regexp_replace(x, rf"(?is)</(?:{tags})\s*>.*$", ""))
+
+
+def element(html: Column, tags: str, attributes: str = "") -> Column:
     """Text of the first such element, null without one."""
-    inner = F.regexp_extract(html, rf"(?s)<{tag}\b{attribute}[^>]*>(.*?)</{tag}>", 1)
-    return F.nullif(plain(inner), F.lit(""))
+    first = F.get(F.split(html, rf"(?is)<(?:{tags})\b{attributes}[^>]*>", 3), 1)
+    return F.nullif(plain(F.regexp_replace(first, rf"(?is)</(?:{tags})\s*>.*$", "")), F.lit(""))
+
+
+def elements(html: Column, tags: str, attributes: str = "") -> Column:
+    return F.filter(F.transform(insides(html, tags, attributes), plain), lambda x: x != "")
 
 
-def elements(html: Column, tag: str) -> Column:
-    found = F.regexp_extract_all(html, F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
-    return F.filter(F.transform(found, plain), lambda x: x != "")
+def region(html: Column, attributes: str, last: bool = False) -> Column:
+    """The page from behind the first (or last) tag with these attributes to the next component; null without one."""
+    pieces = F.split(html, rf"(?is)<[a-z][a-z0-9]*\b{attributes}[^>]*>")
+    inside = F.try_element_at(pieces, F.when(F.lit(last), F.greatest(F.lit(2), F.size(pieces))).otherwise(F.lit(2)))
+    return F.get(F.split(inside, r"(?is)<[a-z][a-z0-9]*\b(?=[^>]*\bdata-sentry-component=)[^>]*>", 2), 0)
+
+
+def located(html: Column, name: str) -> Column:
+    """Text at the first place of LOCATORS[name] that has one: the primary locator, else its fallbacks."""
+    found = []
+    for container, tags, attributes in LOCATORS[name]:
+        inside = region(html, container) if container else html
+        found.append(element(inside, tags, attributes) if tags else F.nullif(plain(inside), F.lit("")))
+    return F.coalesce(*found)
 
 
 def blocks(html: Column) -> Column:
     """Cleaned texts of all h2, h3 and p, in page order."""
-    found = F.regexp_extract_all(html, F.lit(r"(?s)<(h2|h3|p)\b[^>]*>(.*?)</\1>"), F.lit(2))
-    return F.filter(F.transform(found, lambda x: t.clean_block(plain(x))), lambda x: x != "")
+    return F.filter(F.transform(insides(html, BLOCKS), lambda x: t.clean_block(plain(x))), lambda x: x != "")
+
+
+def panel_blocks(html: Column, name: str) -> Column:
+    """Text blocks of a panel: of the primary one where the page has it, else of the last open one."""
+    panels = [region(html, container, last=k > 0) if container else html for k, (container, _, _) in enumerate(LOCATORS[name])]
+    return F.coalesce(*(F.when(p.isNotNull(), blocks(p)) for p in panels), F.array().cast("array<string>"))
 
 
 def links(html: Column) -> Column:
@@ -49,9 +102,15 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'<a\b[^>]*?href="([^"]*)"'), F.lit(1))
 
 
+def attribute_values(html: Column, tags: str, attributes: str, name: str) -> Column:
+    """Values of an attribute of such tags, in page order; empty where a tag lacks it."""
+    found = F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{tags})\b{attributes}[^>]*>"), F.lit(0))
+    return F.transform(found, lambda x: F.regexp_extract(x, rf'(?i)\b{name}="([^"]*)"', 1))
+
+
 def cards(html: Column, base: str) -> Column:
     """Array of (name, href) of listing cards: the first h3 in each article, and its first link made absolute."""
-    found = F.regexp_extract_all(html, F.lit(r"(?s)<article\b[^>]*>(.*?)</article>"), F.lit(1))
+    found = insides(html, "article")
     return F.transform(found, lambda x: F.struct(F.coalesce(element(x, "h3"), F.lit("")).alias("name"), F.when(F.size(links(x)) > 0, t.absolute_url(F.get(links(x), 0), base)).alias("href")))
 
 
@@ -61,8 +120,9 @@ def challenged(html: Column, signs: tuple[str, ...] = CHALLENGE_SIGNS) -> Column
 
 
 def breadcrumb(html: Column) -> tuple[Column, Column]:
-    """First and last link text of the page's navigation: brand and category."""
-    inside = F.regexp_extract(html, r"(?s)<nav\b[^>]*>(.*?)</nav>", 1)
+    """First and last link text of the page's breadcrumb, or of its navigation: brand and category."""
+    container = LOCATORS["brand"][0][0]
+    inside = F.coalesce(region(html, container), F.get(insides(html, "nav"), 0))
     found = elements(inside, "a")
     return F.try_element_at(found, F.lit(1)), F.try_element_at(found, F.lit(-1))
 
@@ -75,34 +135,88 @@ def prices(struck: Column, final: Column, discount: Column) -> Column:
 
 def out_of_stock_flag(html: Column) -> tuple[Column, Column]:
     """(is_out_of_stuck as recorded, true where the unavailable sentence is absent; in_stock, which says so)."""
-    absent = ~F.contains(F.coalesce(html, F.lit("")), F.lit(UNAVAILABLE))
+    box = F.coalesce(region(html, LOCATORS["buy_box"][0][0]), html, F.lit(""))
+    absent = ~F.contains(box, F.lit(UNAVAILABLE))
     return absent, absent
 
 
+def gallery(html: Column) -> Column:
+    """Sources of the gallery's images in full size. A source is left out if an earlier one was turned into it."""
+    figures = F.array_join(insides(html, "figure", has("aria-label", "open-gallery-modal")), " ")
+    found = F.filter(attribute_values(figures, "img", "", "src"), lambda x: x != "")
+    large = F.transform(found, lambda x: t.upscale_image(x))
+    fresh = F.filter(found, lambda x, i: ~F.array_contains(F.slice(large, 1, i), x))
+    return F.transform(fresh, lambda x: t.upscale_image(x))
+
+
 def images(labels: Column, urls: Column) -> Column:
     """Map from colour label, or color_i, to its images in full size; of equal labels the last counts."""
-    named = F.transform(labels, lambda x, i: F.when(F.coalesce(F.trim(x), F.lit("")) == "", F.concat(F.lit("color_"), i.cast("string"))).otherwise(x))
+    named = F.transform(labels, lambda x, i: F.when(F.coalesce(F.trim(x), F.lit("")) == "", F.concat(F.lit("color_"), i.cast("string"))).otherwise(F.trim(x)))
     entries = F.zip_with(named, urls, lambda k, v: F.struct(k.alias("key"), F.transform(v, lambda u: t.upscale_image(u)).alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
     return F.map_from_entries(last)
 
 
-def product(html: Column, url: Column, query: Column) -> Column:
-    """One record of a page. Missing texts are empty, missing numbers null."""
+def page_images(html: Column) -> Column:
+    """Image map of one captured page: its gallery under each colour label, or under ``default`` without colours."""
+    labels, shown = attribute_values(html, "[a-z][a-z0-9]*", has("data-sentry-component", "ColorVariant"), "aria-label"), gallery(html)
+    plain_map = F.map_from_entries(F.array(F.struct(F.lit("default").alias("key"), shown.alias("value"))))
+    return F.when(F.size(labels) == 0, plain_map).otherwise(images(labels, F.transform(labels, lambda _: shown)))
+
+
+def image_plan(images: Column, base: str) -> Column:
+    """Images to fetch: array of (image_id, url), each distinct source once, relative ones joined to ``base``.
+
+    Ids are hashes of the urls, so that a repeated run fetches nothing under a new name.
+    """
+    urls = F.transform(state.ordered_distinct(F.flatten(F.map_values(images))), lambda u: t.joined_url(u, base))
+    return F.transform(urls, lambda u: F.struct(state.stable_id(u).alias("image_id"), u.alias("url")))
+
+
+PRODUCT = (
+    "url string, query_name string, product_id string, name_fa string, name_en string, brand string, category string, rate double, review_count int, wishlist_count int, is_out_of_stuck boolean, in_stock boolean, has_discount boolean, "
+    "discount_percentage int, real_price bigint, discounted_price bigint, image_urls map<string,array<string>>, image_ids array<string>, product_intro array<string>, usage_instructions array<string>, error string"
+)
+
+
+def product(html: Column, url: Column, query: Column, base: str = "https://example.com/") -> Column:
+    """One record of a page (PRODUCT). Missing texts are empty, missing numbers null; a page that isn't a
+    product's has its reason in ``error`` and is kept."""
     brand, category = breadcrumb(html)
     flagged, in_stock = out_of_stock_flag(html)
-    text = lambda tag, mark: element(html, tag, rf'[^>]*class="[^"]*{mark}[^"]*"')
-    price = prices(element(html, "del"), text("span", "price"), text("span", "discount"))
-    name = F.coalesce(element(html, "h1"), F.lit(""))
-    error = F.when(challenged(html), F.lit("challenge page"))
+    text = lambda name: F.coalesce(located(html, name), F.lit(""))
+    price, pictures = prices(located(html, "struck"), located(html, "price"), located(html, "discount")), page_images(html)
+    error = F.when(F.coalesce(F.trim(html), F.lit("")) == "", F.lit("empty page")).when(challenged(html), F.lit("challenge page"))
     return F.struct(
-        url.alias("url"), query.alias("query_name"), name.alias("name_fa"), F.coalesce(text("span", "name-en"), F.lit("")).alias("name_en"),
-        F.coalesce(brand, F.lit("")).alias("brand"), F.coalesce(category, F.lit("")).alias("category"), t.first_decimal(text("span", "rate")).alias("rate"), t.first_integer(text("span", "reviews")).alias("review_count"),
+        url.alias("url"), query.alias("query_name"), state.stable_id(F.coalesce(url, F.lit(""))).alias("product_id"), text("name_fa").alias("name_fa"), text("name_en").alias("name_en"),
+        F.coalesce(brand, F.lit("")).alias("brand"), F.coalesce(category, F.lit("")).alias("category"), t.first_decimal(located(html, "rate")).alias("rate"), t.first_integer(located(html, "reviews")).alias("review_count"), t.first_integer(located(html, "wishlist")).alias("wishlist_count"),
         flagged.alias("is_out_of_stuck"), in_stock.alias("in_stock"), price["has_discount"].alias("has_discount"), price["discount_percentage"].alias("discount_percentage"), price["real_price"].alias("real_price"), price["discounted_price"].alias("discounted_price"),
-        blocks(html).alias("product_intro"), error.alias("error"),
+        pictures.alias("image_urls"), F.transform(image_plan(pictures, base), lambda x: x["image_id"]).alias("image_ids"), panel_blocks(html, "intro").alias("product_intro"), panel_blocks(html, "usage").alias("usage_instructions"), error.alias("error"),
     )
 
 
+def failure(url: Column, query: Column, reason: Column) -> Column:
+    """The record of a page that could not be had after all attempts: its url, query and error alone."""
+    empty = {"name_fa", "name_en", "brand", "category"}
+    given = {"url": url, "query_name": query, "product_id": state.stable_id(F.coalesce(url, F.lit(""))), "error": F.coalesce(F.nullif(F.trim(reason), F.lit("")), F.lit("unknown error"))}
+    fields = [x.strip().split(" ", 1) for x in PRODUCT.replace("map<string,array<string>>", "map").split(",")]
+    blank = {"map": "map<string,array<string>>"}
+
+    def value(name: str, kind: str) -> Column:
+        kind = blank.get(kind, kind)
+        if name in given:
+            return given[name]
+        if name in empty:
+            return F.lit("")
+        if kind == "boolean":
+            return F.lit(False)
+        if kind.startswith("array"):
+            return F.array().cast(kind)
+        return F.create_map().cast(kind) if kind.startswith("map") else F.lit(None).cast(kind)
+
+    return F.struct(*(value(name, kind).alias(name) for name, kind in fields))
+
+
 class _Blocks(HTMLParser):
     """Texts of h2, h3 and p; an open one ends where another begins."""
 
@@ -139,6 +253,9 @@ def raw_blocks(page: str | None) -> list[str]:
 
 
 def blocks_exact(html: Column) -> Column:
-    """Like ``blocks``, for pages with nested or unclosed tags."""
-    walk = F.pandas_udf(lambda pages: pages.map(raw_blocks), "array<string>", F.PandasUDFType.SCALAR)
-    return F.filter(F.transform(walk(html), t.clean_block), lambda x: x != "")
+    """Like ``blocks``, with a parser that also knows scripts, comments and all entities."""
+
+    def walk(pages: pd.Series) -> pd.Series:
+        return pages.map(raw_blocks)
+
+    return F.filter(F.transform(F.pandas_udf(walk, "array<string>")(html), t.clean_block), lambda x: x != "")

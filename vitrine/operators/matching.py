@@ -20,6 +20,29 @@ def candidates(targets: DataFrame, listings: DataFrame, pages: int = MOST_PAGES)
     return cards.join(target_names(targets), "row_id")
 
 
+def pages_read(pages: DataFrame, most: int = MOST_PAGES) -> DataFrame:
+    """Listing pages that are read of each row's listing, with the column ``reason`` on the last: why reading stops there.
+
+    ``pages`` has (row_id, page_num, empty_marker, cards, next_page, next_disabled) as captured. Reading
+    ends before the cards of a page that shows the empty marker or has no cards, and behind a page
+    without a usable link to the next one or the last of ``most`` pages; a page that wasn't captured ends
+    it too. One aggregate finds each row's last page, and no listing is gathered.
+    """
+    stop = (
+        F.when(F.coalesce("empty_marker", F.lit(False)), "empty").when(F.coalesce("cards", F.lit(0)) == 0, "no cards").when(~F.coalesce("next_page", F.lit(False)), "no next page")
+        .when(F.coalesce("next_disabled", F.lit(False)), "next page disabled").when(F.col("page_num") >= most, "page limit")
+    )
+    marked = pages.where(F.col("page_num").between(1, most)).withColumn("reason", stop)
+    ends = marked.where("reason is not null").groupBy("row_id").agg(F.min(F.struct("page_num", "reason")).alias("_end"))
+    numbers = marked.groupBy("row_id").agg(F.collect_set(F.col("page_num").cast("int")).alias("_seen"))  # at most ``most`` numbers
+    gap = F.array_min(F.array_except(F.sequence(F.lit(1), F.lit(most + 1)), F.col("_seen")))
+    bounds = numbers.join(ends, "row_id", "left").select("row_id", (gap - 1).alias("_whole"), "_end")
+    last = F.least(F.col("_whole"), F.coalesce(F.col("_end.page_num"), F.col("_whole")))
+    read = marked.drop("reason").join(bounds, "row_id").withColumn("_last", last).where("page_num <= _last")
+    shown = F.when(F.col("page_num") == F.col("_end.page_num"), F.col("_end.reason")).when(F.col("page_num") == F.col("_last"), "not captured")
+    return read.withColumn("reason", shown).where(~F.coalesce(F.col("reason").isin("empty", "no cards"), F.lit(False))).drop("_last", "_whole", "_end")
+
+
 def passes_gate(*scores: Column) -> Column:
     return F.greatest(*scores) > GATE
 

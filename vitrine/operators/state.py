@@ -37,15 +37,28 @@ def processed(*cells: Column) -> Column:
 
 
 def first_match_update(entries: DataFrame, updates: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Entries with is_scraped and scrap_directory set on the first entry (by ``order``) of each updated key only.
+    """Entries with is_scraped and scrap_directory set on the first entry (by ``order``, which tells entries apart) of each updated key only.
 
-    ``updates`` has (key, scrap_directory); of several for a key the smallest directory counts.
+    ``updates`` has (key, scrap_directory); of several for a key the smallest directory counts, and blank
+    keys update nothing. The first entries are found by an aggregate over updated keys alone, so a key
+    that most entries share, blank ones above all, is no task's own.
     """
-    new = updates.groupBy(key).agg(F.min("scrap_directory").alias("_dir"))
-    ranked = entries.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    hit = F.col("_dir").isNotNull() & (F.col("_rank") == 1)
-    joined = ranked.join(new, key, "left")
-    return joined.withColumn("is_scraped", F.when(hit, F.lit(True)).otherwise(F.col("is_scraped"))).withColumn("scrap_directory", F.when(hit, F.col("_dir")).otherwise(F.col("scrap_directory"))).drop("_rank", "_dir")
+    new = updates.where(F.trim(key) != "").groupBy(key).agg(F.min("scrap_directory").alias("_dir"))
+    place = F.struct(*order)
+    firsts = entries.where(F.trim(key) != "").groupBy(key).agg(F.min(place).alias("_place")).join(new, key).select("_place", "_dir", F.lit(True).alias("_hit"))
+    joined = entries.join(firsts, place.eqNullSafe(F.col("_place")), "left")
+    hit = F.coalesce("_hit", F.lit(False))
+    return joined.withColumn("is_scraped", F.when(hit, F.lit(True)).otherwise(F.col("is_scraped"))).withColumn("scrap_directory", F.when(hit, F.col("_dir")).otherwise(F.col("scrap_directory"))).drop("_place", "_dir", "_hit")
+
+
+def titled(rows: DataFrame, title: str = "title") -> DataFrame:
+    """Rows whose source title isn't blank; here the text nan counts as a title."""
+    return rows.where(F.trim(F.coalesce(title, F.lit(""))) != "")
+
+
+def unmatched_updates(entries: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """Updates whose key no entry has."""
+    return updates.join(entries.select(key), key, "left_anti")
 
 
 def write_back(sheet: DataFrame, results: DataFrame, key: str, cells: list[str]) -> DataFrame:

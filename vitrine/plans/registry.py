@@ -5,15 +5,18 @@ SQL is written over tokens and without look-around, apart from the Spark express
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, lexicon, names
 from ..functions import text as t
 from ..operators import extract, matching, relax, state
+from ..sources import stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,9 +119,9 @@ def run_counts(spark, sf):
     return state.run_counts(_records(spark, sf))
 
 
-@query("SELECT event_id, event_type || ' 429 Quota' AS message, event_type = 'error' AS retryable FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, event_type || ' 429 Quota' AS message, event_type = 'error' AS retryable FROM events")
 def retryable_errors(spark, sf):
-    events = table(spark, sf, "events").where("event_id % 10 = 0")
+    events = table(spark, sf, "events")
     message = F.concat("event_type", F.lit(" 429 Quota"))
     return events.select("event_id", message.alias("message"), t.retryable(F.when(F.col("event_type") == "error", message).otherwise(F.col("event_type")), ("429", "403", "quota", "exhausted", "rate limit", "too many requests")).alias("retryable"))
 
@@ -129,10 +132,10 @@ def json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", parsed["k"].alias("k"), F.to_json(F.struct(parsed["k"].alias("k"))).alias("again"))
 
 
-@query("SELECT event_id, list_filter(list_transform(string_split(event_type || ' , ,' || user_id, ','), lambda x: trim(x)), lambda x: x <> '') AS parts FROM events WHERE event_id % 50 = 0")
+@query("SELECT event_id, list_filter(list_transform(string_split(event_type || ' , ,' || user_id, ','), lambda x: trim(x)), lambda x: x <> '') AS parts FROM events")
 def list_split(spark, sf):
     raw = F.concat("event_type", F.lit(" , ,"), F.col("user_id").cast("string"))
-    return table(spark, sf, "events").where("event_id % 50 = 0").select("event_id", F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "").alias("parts"))
+    return table(spark, sf, "events").select("event_id", F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "").alias("parts"))
 
 
 # -- scalar functions ------------------------------------------------------------------------------
@@ -141,10 +144,11 @@ def list_split(spark, sf):
 @query("""
 SELECT doc_id, md5(translate(replace(lower(text), '‌', ' '), 'يك۰۱۲۳۴۵۶۷۸۹', 'یک0123456789')) AS base,
        md5(upper(translate(translate(text, 'أإآٱـ', 'اااا'), 'يك۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', 'یک01234567890123456789'))) AS slot
-FROM documents WHERE NOT regexp_matches(text, '[ßİ]')""")
+FROM (SELECT doc_id, translate(text, 'ßİ', 'si') AS text FROM documents)""")
 def char_fold(spark, sf):
-    docs = table(spark, sf, "documents").where(~F.col("text").rlike("[ßİ]"))
-    return docs.select("doc_id", F.md5(t.base_clean(F.col("text"))).alias("base"), F.md5(t.slot_clean(F.col("text"))).alias("slot"))
+    # The two letters whose other case is two characters long differ between engines; both sides fold them first.
+    text = F.translate("text", "ßİ", "si")
+    return table(spark, sf, "documents").select("doc_id", F.md5(t.base_clean(text)).alias("base"), F.md5(t.slot_clean(text)).alias("slot"))
 
 
 @query(r"""
@@ -178,10 +182,13 @@ def code_tokens(spark, sf):
     return words.select("p_partkey", t.code_tokens(F.col("w")).alias("codes"), t.measure_tokens(F.col("w")).alias("measures"), t.word_tokens(F.col("w")).alias("latin"))
 
 
-@query("SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda w: regexp_full_match(w, '[a-z]{3,}')))) AS latin FROM documents WHERE NOT regexp_matches(text, '[\\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]')")
+#: White space beyond ASCII that words are split at too.
+_WIDE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+@query(f"SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(trim(lower(translate(text, '{_WIDE}', '{' ' * len(_WIDE)}'))), '\\s+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}')))) AS latin FROM documents")
 def word_classes(spark, sf):
-    docs = table(spark, sf, "documents").where(~F.col("text").rlike("[\\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"))
-    return docs.select("doc_id", F.size(t.word_tokens(t.tokens(F.lower("text")))).alias("latin"))
+    return table(spark, sf, "documents").select("doc_id", F.size(t.word_tokens(t.tokens(F.lower("text")))).alias("latin"))
 
 
 @query("SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS price, CAST(NULL AS BIGINT) AS missing FROM part")
@@ -197,9 +204,9 @@ def rating_parse(spark, sf):
     return table(spark, sf, "part").select("p_partkey", t.first_decimal(F.translate(rate, "0123456789", t.PERSIAN_DIGITS)).alias("rate"), t.first_integer(reviews).alias("reviews"))
 
 
-@query("SELECT page_id, url || '.jpg?w=800' AS first, url || '.jpg?h=2&w=150' AS second FROM pages WHERE url NOT LIKE '%?w=%'")
+@query("SELECT page_id, regexp_replace(url, '[?]w=[0-9]+', '?w=800', 'g') || '.jpg?w=800' AS first, regexp_replace(url, '[?]w=[0-9]+', '?w=800', 'g') || '.jpg?h=2&w=150' AS second FROM pages")
 def upscale_url(spark, sf):
-    pages = table(spark, sf, "pages").where(~F.contains("url", F.lit("?w=")))
+    pages = table(spark, sf, "pages")
     return pages.select("page_id", t.upscale_image(F.concat("url", F.lit(".jpg?w=150"))).alias("first"), t.upscale_image(F.concat("url", F.lit(".jpg?h=2&w=150"))).alias("second"))
 
 
@@ -320,62 +327,178 @@ def dict_longest_match(spark, sf):
     return lexicon.longest_matches(parts, _dictionary(spark), "p_partkey", "w").select("p_partkey", "resolved")
 
 
-@query("SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda w: w NOT IN ('red', 'old', 'bolt')) AS words FROM part")
-def stopwords(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.filter(F.split("p_name", " "), lambda w: ~w.isin("red", "old", "bolt")).alias("words"))
+_STOP_SQL = ", ".join(f"'{w}'" for w in lexicon.STOP_WORDS)
 
 
-_LEXICON = lexicon.Lexicon(tuple((a.upper(), b) for a, b, _ in _ALIASES), ("WIDGET", "PLATE", "BOLT"), ("OLD", "old"))
+@query(f"SELECT p_partkey, list_filter(string_split(p_name || ' مدل ' || p_size || ' شیشه ای با ' || p_brand, ' '), lambda w: w NOT IN ({_STOP_SQL})) AS words FROM part")
+def stopwords(spark, sf):
+    """The library's stop words go; those of two words never match one."""
+    name = F.concat_ws(" ", "p_name", F.lit("مدل"), "p_size", F.lit("شیشه ای با"), "p_brand")
+    return table(spark, sf, "part").select("p_partkey", names.without(t.tokens(name), lexicon.STOP_WORDS).alias("words"))
 
 
-def _shaded(spark, sf):
-    """Pairs of names that share a word, with shade codes and volumes that agree in part."""
-    code = lambda c: F.pmod(F.xxhash64(c), F.lit(3)).cast("string")
-    return name_pairs(spark, sf).select(F.concat_ws(" ", "a", F.concat(F.lit("NC"), code("a")), F.lit("50 ml")).alias("site"), F.concat_ws(" ", "b", F.concat(F.lit("NC "), code("b")), F.lit("50ml")).alias("target"))
+# -- the three scorers -----------------------------------------------------------------------------
 
+_KINDS, _STOPS = ("WIDGET", "PLATE", "RING", "GIZMO", "GEAR BOX"), ("NEW", "HOUSE RULES")
 
-@query()
-def slot_trie_regex_scores(spark, sf):
-    return _shaded(spark, sf).withColumn("s", names.scores(F.col("site"), F.col("target"), _LEXICON)).select("site", "target", "s.*")
 
+def _brands(spark) -> DataFrame:
+    """Two aliases for each brand: AORIA, and AORIA HOUSE, whose second word is an alias of its own; the first alias's first row is out of date."""
+    number = F.col("id").cast("int")
+    name = F.concat(F.char(number + 65), F.lit("ORIA"))
+    rows = F.array(
+        F.struct(name.alias("alias"), F.lit("BRAND_OUTDATED").alias("brand_id")), F.struct(name.alias("alias"), F.concat(F.lit("BRAND_"), name).alias("brand_id")),
+        F.struct(F.concat(name, F.lit(" HOUSE")).alias("alias"), F.concat(F.lit("BRAND_"), name).alias("brand_id")), F.struct(F.lit("HOUSE").alias("alias"), F.lit("BRAND_HOUSE").alias("brand_id")),
+    )
+    return spark.range(26).select(F.posexplode(rows).alias("ord", "r"), "id").select("r.*", (F.col("id") * 4 + F.col("ord")).alias("ord"))
 
-@query()
-def parse_slots(spark, sf):
-    return _shaded(spark, sf).select("site", names.parsed(F.col("site"), _LEXICON).alias("s")).select("site", "s.*")
 
+def _types(spark) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in _KINDS], "phrase string")
 
-# -- matching --------------------------------------------------------------------------------------
 
-_SCORES = ("s_edit", "s_jaccard", "s_prefix")
+def _items(spark, sf) -> DataFrame:
+    """Parts with what their names are made of: an alias (none for every 11th part), adjective, noun (with an s for every 10th), shade and size."""
+    words, key = F.split("p_name", " "), F.col("p_partkey")
+    house = F.concat(F.char(F.regexp_extract("p_brand", "[0-9]+", 0).cast("int") + 65), F.lit("ORIA"))
+    parts = table(spark, sf, "part").select("p_brand", key, house.alias("house"), words[0].alias("adj"), words[1].alias("noun"), (F.col("p_size") % 3).cast("string").alias("shade"), (F.col("p_size") % 4 * 10 + 10).cast("string").alias("amount"))
+    noun = F.when(key % 10 == 3, F.concat("noun", F.lit("s"))).otherwise(F.col("noun"))
+    site = F.concat_ws(" ", F.when(key % 11 != 0, F.when(key % 2 == 0, F.col("house")).otherwise(F.concat(F.lower("house"), F.lit(" House")))), "adj", noun, F.concat(F.lit("NC"), "shade"), "amount", F.lit("ml"))
+    return parts.withColumn("site", site)
 
 
 def _cards(spark, sf) -> DataFrame:
-    """Targets are the first part of each brand; its listing is the brand's other parts, on pages of 250 keys, all of them read."""
-    parts = table(spark, sf, "part").select("p_brand", "p_partkey", "p_name")
-    first = parts.groupBy(F.col("p_brand").alias("row_id")).agg(F.min_by("p_name", "p_partkey").alias("title"), F.min("p_partkey").alias("own"))
-    targets = first.select("row_id", "title", F.array(F.reverse(F.split("title", " "))).alias("r"), "own").select("row_id", "title", F.transform("r", lambda x: F.array_join(x, " ")).alias("names"), "own")
-    listed = parts.join(first.select(F.col("row_id").alias("p_brand"), "own"), "p_brand").where("p_partkey <> own")
-    listings = listed.select(F.col("p_brand").alias("row_id"), F.floor(F.col("p_partkey") / 250).cast("int").alias("page_num"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 9 != 0, F.concat(F.lit("/p/"), F.floor(F.col("p_partkey") / 2).cast("string"))).alias("href"))
+    """Targets are the first part of each brand, under three names; its listing is the brand's other parts, on pages of 250 keys, all of them read."""
+    items = _items(spark, sf)
+    own = items.groupBy(F.col("p_brand").alias("row_id")).agg(F.min_by(F.struct("house", "adj", "noun", "shade", "amount"), "p_partkey").alias("t"), F.min("p_partkey").alias("own")).select("row_id", "own", "t.*")
+    title = F.concat_ws(" ", "adj", "noun", "house", F.concat(F.lit("NC"), "shade"), F.concat("amount", F.lit("ml")))
+    spelt = F.concat_ws(" ", F.concat("house", F.lit(" HOUSE")), F.lower("adj"), F.upper("noun"), F.lit("NC"), "shade", "amount", F.lit("ml"))
+    targets = own.select("row_id", title.alias("title"), F.array(spelt, F.concat_ws(" ", "noun", "house", F.concat("amount", F.lit("ML")))).alias("names"), "own")
+    listed = items.join(own.select(F.col("row_id").alias("p_brand"), "own"), "p_brand").where("p_partkey <> own")
+    href = F.when(F.col("p_partkey") % 9 != 0, F.concat(F.lit("/p/"), F.floor(F.col("p_partkey") / 2).cast("string")))
+    listings = listed.select(F.col("p_brand").alias("row_id"), F.floor(F.col("p_partkey") / 250).cast("int").alias("page_num"), F.col("p_partkey").alias("pos"), F.col("site").alias("name"), href.alias("href"))
     return matching.candidates(targets, listings, pages=(1 << 31) - 1)
 
 
+def _known(spark, named: DataFrame) -> DataFrame:
+    return names.features(named, _brands(spark), _types(spark), _STOPS)
+
+
+_SCORES = ("slot", "regex", "trie")
+
+
 def _scored(spark, sf) -> DataFrame:
-    a, b = F.col("name"), F.col("target_name")
-    prefix = lambda x, y: F.aggregate(F.sequence(F.lit(1), F.least(F.length(x), F.length(y))), F.lit(0), lambda n, k: n + (F.substring(x, F.lit(1), k) == F.substring(y, F.lit(1), k)).cast("int"))
-    return _cards(spark, sf).withColumns({"s_edit": fuzzy.edit_similarity(a, b), "s_jaccard": fuzzy.jaccard(F.split(a, " "), F.split(b, " ")), "s_prefix": prefix(a, b) / F.greatest(F.length(a), F.length(b))})
+    """Cards against their targets' names, rated by all three scorers over features of each distinct name."""
+    cards = _cards(spark, sf)
+    known = _known(spark, cards.select("name").union(cards.select(F.col("target_name").alias("name"))))
+    return names.scored(cards, known, "name", "target_name")
+
+
+# What names are made of, in SQL: nothing is parsed, so the parsers are checked against how the names were put together.
+_ITEMS_SQL = """
+i AS (SELECT p_brand AS row_id, p_partkey, chr(65 + CAST(regexp_extract(p_brand, '[0-9]+') AS INT)) || 'ORIA' AS house, string_split(p_name, ' ')[1] AS adj, string_split(p_name, ' ')[2] AS noun,
+             CAST(p_size % 3 AS VARCHAR) AS shade, CAST(p_size % 4 * 10 + 10 AS VARCHAR) AS amount FROM part),
+m AS (SELECT row_id, p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN house END AS house, nullif(adj, 'new') AS adj, noun || CASE WHEN p_partkey % 10 = 3 THEN 's' ELSE '' END AS noun, shade, amount,
+             concat_ws(' ', CASE WHEN p_partkey % 11 <> 0 THEN CASE WHEN p_partkey % 2 = 0 THEN house ELSE lower(house) || ' House' END END, adj, noun || CASE WHEN p_partkey % 10 = 3 THEN 's' ELSE '' END, 'NC' || shade, amount, 'ml') AS name FROM i),
+st AS (SELECT *, noun IN ('widget', 'plate', 'ring', 'gizmo') AS typed FROM m),
+f AS (SELECT row_id, min(p_partkey) AS own FROM i GROUP BY row_id),
+e0 AS (SELECT i.row_id, own, house, nullif(adj, 'new') AS adj, noun, noun IN ('widget', 'plate', 'ring', 'gizmo') AS typed, shade, amount,
+              concat_ws(' ', adj, noun, house, 'NC' || shade, amount || 'ml') AS title, concat_ws(' ', house || ' HOUSE', lower(adj), upper(noun), 'NC', shade, amount, 'ml') AS spelt, concat_ws(' ', noun, house, amount || 'ML') AS short
+       FROM i JOIN f ON i.row_id = f.row_id AND p_partkey = own),
+e AS (SELECT row_id, own, house, adj, noun, typed, shade, amount, 0 AS name_pos, title AS target_name FROM e0 UNION ALL SELECT row_id, own, house, adj, noun, typed, shade, amount, 1, spelt FROM e0
+      UNION ALL SELECT row_id, own, house, NULL, noun, typed, NULL, amount, 2, short FROM e0),
+c AS (SELECT e.row_id, e.name_pos, e.target_name, p_partkey // 250 AS page_num, p_partkey AS pos, st.name, '/p/' || (p_partkey // 2) AS href, st.house AS sh, e.house AS eh, st.adj AS sa, e.adj AS ea, st.noun AS sn, e.noun AS en,
+             st.typed AS sy, e.typed AS ey, st.shade AS sc, e.shade AS ec, st.amount AS sv, e.amount AS ev
+      FROM st JOIN e ON st.row_id = e.row_id WHERE p_partkey <> own AND p_partkey % 9 <> 0)"""
+
+
+def _present(*items: str) -> str:
+    return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
+
+
+# Resolved words of the site's and the target's name; the trie parser leaves a code written apart as two words.
+_WORDS_SQL = f"""
+w AS (SELECT *, {_present("'brand_' || lower(sh)", "sa", "CASE WHEN sy THEN 'type_' ELSE '' END || sn", "'nc' || sc", "sv || 'ml'")} AS x,
+             {_present("'brand_' || lower(eh)", "ea", "CASE WHEN ey THEN 'type_' ELSE '' END || en", "'nc' || ec", "ev || 'ml'")} AS y,
+             {_present("'brand_' || lower(eh)", "ea", "CASE WHEN ey THEN 'type_' ELSE '' END || en", "CASE WHEN name_pos = 1 THEN 'nc' ELSE 'nc' || ec END", "CASE WHEN name_pos = 1 THEN ec END", "ev || 'ml'")} AS z FROM c)"""
+
+
+def _residual_sql(x: str, y: str) -> str:
+    """0.4 of the set ratio and 0.6 of the sort ratio of two word lists."""
+    text = lambda words: f"coalesce(array_to_string(list_sort({words}), ' '), '')"
+    rest = lambda a, b: f"list_filter({a}, lambda q: NOT list_contains({b}, q))"
+    i, u, v = text(f"list_intersect({x}, {y})"), text(rest(x, y)), text(rest(y, x))
+    head = f"CASE WHEN {i} = '' THEN 0 ELSE length({i}) + 1 END"
+    m, o, n = f"({head} + length({u}))", f"({head} + length({v}))", f"length({i})"
+    between = f"100 * (1 - (length({u}) + length({v}) - 2 * ({_lcs_sql(u, v)})) / ({m} + {o}))"
+    against = lambda size: f"CASE WHEN {i} = '' THEN 0 ELSE 100 * (1 - ({size} - {n}) / ({size} + {n})) END"
+    by_set = f"CASE WHEN {i} <> '' AND ({u} = '' OR {v} = '') THEN 100 ELSE round_even(greatest({between}, {against(m)}, {against(o)}), 0) END"
+    return f"(0.4::DOUBLE * ({by_set}) + 0.6::DOUBLE * {_ratio_sql(text(x), text(y))}) / 100"
 
 
+_MODEL = lambda a, y, n: f"{_present(a, f'CASE WHEN NOT {y} THEN {n} END')}"
+_ALIKE = "CASE WHEN {a} IS NOT DISTINCT FROM {b} THEN 1.0 WHEN {a} IS NULL THEN {target_only} WHEN {b} IS NULL THEN {site_only} ELSE 0.0 END"
+_SLOT_SQL = f"""
+p AS (SELECT *, {_ALIKE.format(a='sh', b='eh', target_only=0.5, site_only=0.5)}::DOUBLE AS pa, {_ALIKE.format(a='sc', b='ec', target_only=0.3, site_only=0.8)}::DOUBLE AS pd, CASE WHEN sv = ev THEN 1.0 ELSE 0.0 END::DOUBLE AS pe,
+             CASE WHEN sy OR ey THEN CASE WHEN sy AND ey AND sn = en THEN 1.0 ELSE 0.0 END ELSE 1.0 END::DOUBLE AS pb, {_MODEL('sa', 'sy', 'sn')} AS sm, {_MODEL('ea', 'ey', 'en')} AS em,
+             CASE WHEN NOT sy AND NOT ey AND sn <> en AND 1 - levenshtein(sn, en) / greatest(length(sn), length(en)) >= 0.8 THEN 1 ELSE 0 END AS fz FROM w),
+q1 AS (SELECT *, CASE WHEN len(em) = 0 THEN CASE WHEN len(sm) = 0 THEN 1.0 ELSE 0.0 END ELSE (len(list_intersect(sm, em)) + fz) / len(em) * least(1.0, len(sm) / len(em)) END::DOUBLE AS pc FROM p),
+s AS (SELECT *, round(least(0.2::DOUBLE * pa + 0.15::DOUBLE * pb + 0.35::DOUBLE * pc + 0.2::DOUBLE * pd + 0.1::DOUBLE * pe, CASE WHEN pd = 0 THEN 0.25 ELSE 1 END, CASE WHEN pe = 0 THEN 0.3 ELSE 1 END, CASE WHEN pa = 0 THEN 0.35 ELSE 1 END, CASE WHEN pb < 0.5 THEN 0.4 ELSE 1 END), 4) AS s1,
+             CASE WHEN sh <> eh OR (sy AND ey AND sn <> en) OR sv <> ev OR sc IS DISTINCT FROM ec OR (len(list_filter([sa, CASE WHEN NOT sy THEN sn END], lambda q: q IS NOT NULL)) > 0 AND len(list_filter([ea, CASE WHEN NOT ey THEN en END], lambda q: q IS NOT NULL)) > 0 AND NOT list_has_any(sm, em)) THEN 0
+                  ELSE {_residual_sql('x', 'y')} END AS s2,
+             CASE WHEN sh IS DISTINCT FROM eh OR (sy AND ey AND sn <> en) OR sv <> ev OR (ec IS NOT NULL AND (name_pos = 1 OR sc <> ec))
+                       OR len(list_filter(em, lambda q: NOT contains(array_to_string(x, ' '), q))) > 0 THEN 0 ELSE round({_residual_sql('x', 'z')}, 4) END AS s3 FROM q1)"""
+_RATED_SQL = f"{_ITEMS_SQL}, {_WORDS_SQL}, {_SLOT_SQL}"
+
+
+def _one_score(spark, sf, kind: str) -> DataFrame:
+    return _scored(spark, sf).select("row_id", "pos", "name_pos", F.round(kind, 6).alias("score"))
+
+
+@query(f"WITH {_RATED_SQL} SELECT row_id, pos, name_pos, round(s1, 6) AS score FROM s")
+def slot_score(spark, sf):
+    return _one_score(spark, sf, "slot")
+
+
+@query(f"WITH {_RATED_SQL} SELECT row_id, pos, name_pos, round(s2, 6) AS score FROM s")
+def regex_score(spark, sf):
+    return _one_score(spark, sf, "regex")
+
+
+@query(f"WITH {_RATED_SQL} SELECT row_id, pos, name_pos, round(s3, 6) AS score FROM s")
+def trie_score(spark, sf):
+    return _one_score(spark, sf, "trie")
+
+
+def _site_features(spark, sf) -> DataFrame:
+    items = _items(spark, sf).select("p_partkey", F.col("site").alias("name"))
+    return items.join(_known(spark, items.select("name")), "name")
+
+
+@query(f"""WITH {_ITEMS_SQL} SELECT p_partkey, 'BRAND_' || house AS brand, CASE WHEN typed THEN [upper(noun)] ELSE [] END AS type, {_present('upper(adj)', 'CASE WHEN NOT typed THEN upper(noun) END')} AS model,
+'CODE:NC' || shade AS code, 'VOL:' || amount || 'ML' AS volume FROM st""")
+def parse_slots(spark, sf):
+    return _site_features(spark, sf).select("p_partkey", "slot.*")
+
+
+@query(f"""WITH {_ITEMS_SQL} SELECT p_partkey, {_present("'brand_' || lower(house)", 'adj', "CASE WHEN typed THEN 'type_' ELSE '' END || noun", "'nc' || shade", "amount || 'ml'")} AS tokens,
+['nc' || shade] AS codes, [amount || 'ml'] AS measures, {_present('adj', 'CASE WHEN NOT typed THEN noun END')} AS latin FROM st""")
+def parse_trie(spark, sf):
+    return _site_features(spark, sf).select("p_partkey", "trie.tokens", "trie.codes", "trie.measures", "trie.latin")
+
+
+@query(f"""WITH {_ITEMS_SQL} SELECT p_partkey, array_to_string({_present("'BRAND_' || house", 'adj', "CASE WHEN typed THEN 'TYPE_' || upper(noun) ELSE noun END", "'nc' || shade", "amount || 'ml'")}, ' ') AS text,
+['nc' || shade] AS codes, [amount || 'ml'] AS volumes, {_present('adj', 'CASE WHEN NOT typed THEN noun END')} AS latin FROM st""")
+def parse_regex(spark, sf):
+    return _site_features(spark, sf).select("p_partkey", "regex.text", "regex.codes", "regex.volumes", "regex.latin")
+
+
+# -- matching --------------------------------------------------------------------------------------
+
 _CARD = ["row_id", "page_num", "pos", "name", "href"]
-_SCORED_SQL = """
-f AS (SELECT p_brand AS row_id, min_by(p_name, p_partkey) AS title, min(p_partkey) AS own FROM part GROUP BY p_brand),
-n AS (SELECT row_id, own, 0 AS name_pos, title AS target_name FROM f UNION ALL SELECT row_id, own, 1, array_to_string(list_reverse(string_split(title, ' ')), ' ') FROM f),
-c AS (SELECT n.row_id, name_pos, target_name, p_partkey // 250 AS page_num, p_partkey AS pos, p_name AS name, '/p/' || (p_partkey // 2) AS href
-      FROM part JOIN n ON p_brand = row_id WHERE p_partkey <> own AND p_partkey % 9 <> 0 AND p_partkey // 250 <= 30),
-s AS (SELECT *, 1 - levenshtein(name, target_name) / greatest(length(name), length(target_name)) AS s1,
-             len(list_intersect(string_split(name, ' '), string_split(target_name, ' '))) / len(list_distinct(string_split(name, ' ') || string_split(target_name, ' '))) AS s2,
-             len(list_filter(range(1, least(length(name), length(target_name)) + 1), lambda k: left(name, k) = left(target_name, k))) / greatest(length(name), length(target_name)) AS s3 FROM c),
-e AS (SELECT row_id, page_num, pos, name, href, coalesce(max((s1 + s2 + s3) / 3) FILTER (greatest(s1, s2, s3) > 0.6), 0) AS avg_score, coalesce(max(greatest(s1, s2, s3)) FILTER (greatest(s1, s2, s3) > 0.6), 0) AS max_score
-      FROM s GROUP BY ALL)"""
+_SCORED_SQL = f"""{_RATED_SQL},
+en AS (SELECT row_id, page_num, pos, name, href, coalesce(max((s1 + s2 + s3) / 3) FILTER (greatest(s1, s2, s3) > 0.6), 0) AS avg_score, coalesce(max(greatest(s1, s2, s3)) FILTER (greatest(s1, s2, s3) > 0.6), 0) AS max_score
+       FROM s GROUP BY row_id, page_num, pos, name, href)"""
 
 
 def _shown(cards: DataFrame, *more: str) -> DataFrame:
@@ -395,12 +518,12 @@ def _ensemble(spark, sf):
     return matching.ensemble(_scored(spark, sf), _CARD, _SCORES)
 
 
-@query(f"WITH {_SCORED_SQL} SELECT {_SHOWN} FROM e")
+@query(f"WITH {_SCORED_SQL} SELECT {_SHOWN} FROM en")
 def ensemble_card(spark, sf):
     return _shown(_ensemble(spark, sf))
 
 
-@query(f"WITH {_SCORED_SQL} SELECT {_SHOWN} FROM e WHERE avg_score > 0.7 OR max_score > 0.7")
+@query(f"WITH {_SCORED_SQL} SELECT {_SHOWN} FROM en WHERE avg_score > 0.7 OR max_score > 0.7")
 def candidate_filter(spark, sf):
     return _shown(matching.qualified(_ensemble(spark, sf)))
 
@@ -409,7 +532,7 @@ def _best_sql(by: str) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY {by} DESC, page_num, pos) AS k FROM q) WHERE k = 1"
 
 
-_QUALIFIED = f"{_SCORED_SQL}, q AS (SELECT * FROM e WHERE avg_score > 0.7 OR max_score > 0.7)"
+_QUALIFIED = f"{_SCORED_SQL}, q AS (SELECT * FROM en WHERE avg_score > 0.7 OR max_score > 0.7)"
 
 
 @query(f"WITH {_QUALIFIED} SELECT {_SHOWN} FROM ({_best_sql('avg_score')})")
@@ -477,9 +600,13 @@ def html_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", extract.links(F.col("html")).alias("links"), F.coalesce(extract.breadcrumb(F.col("html"))[0], F.lit("")).alias("brand"))
 
 
-@query(f"""SELECT page_id, len(list_filter(list_transform(regexp_extract_all(html, '(?s)<p\\b[^>]*>(.*?)</p>', 1), lambda x: {_plain_sql('x')}), lambda x: x <> '')) AS blocks FROM pages""")
+_BLOCK = lambda x: rf"trim(regexp_replace(regexp_replace(regexp_replace(replace({x}, chr(160), ' '), '[·•]\s*', '', 'g'), '[\n\r\t]+', ' ', 'g'), ' {{2,}}', ' ', 'g'))"
+_PIECES = r"list_transform(regexp_split_to_array(html, '<(?:h2|h3|p)\b[^>]*>')[2:], lambda x: regexp_extract(x, '(?s)^(.*?)(?:</(?:h2|h3|p)\s*>|$)', 1))"
+
+
+@query(f"SELECT page_id, list_filter(list_transform({_PIECES}, lambda x: {_BLOCK(_plain_sql('x'))}), lambda x: x <> '') AS blocks FROM pages")
 def html_blocks(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.size(extract.blocks(F.col("html"))).cast("long").alias("blocks"))
+    return table(spark, sf, "pages").select("page_id", extract.blocks(F.col("html")).alias("blocks"))
 
 
 @query()
@@ -487,10 +614,209 @@ def html_blocks_exact(spark, sf):
     return table(spark, sf, "pages").select("page_id", extract.blocks_exact(F.col("html")).alias("blocks"))
 
 
-@query(f"SELECT page_id, {_H1} AS name_fa, CAST(NULL AS BIGINT) AS real_price, false AS has_discount, true AS in_stock, CAST(NULL AS VARCHAR) AS error FROM pages")
+def _marked(mark: str, inside: Column, tag: str = "span") -> Column:
+    """A component's div with one element in it."""
+    return F.concat(F.lit(f'<div class="x" data-sentry-component="{mark}"><{tag} class="y">'), inside, F.lit(f"</{tag}></div>"))
+
+
+def _shop_pages(spark, sf) -> DataFrame:
+    """(p_partkey, url, html): product pages made of parts. Every second page uses the fallback places, every
+    third has a struck price, every fifth two colours, every seventh is unavailable, every 13th a challenge."""
+    key, digits = F.col("p_partkey"), lambda c: F.translate(c.cast("string"), "0123456789", t.PERSIAN_DIGITS)
+    span = lambda mark, inside: F.concat(F.lit(f'<span class="a {mark} b">'), inside, F.lit("</span>"))
+    second, cents = key % 2 == 1, F.round(F.col("p_retailprice") * 100).cast("long")
+    shown = F.concat(F.translate(F.format_number(cents, 0), "0123456789,", t.PERSIAN_DIGITS + "٬"), F.lit(" تومان"))
+    less = F.concat(F.translate(F.format_number(cents - 50, 0), "0123456789,", t.PERSIAN_DIGITS + "٬"), F.lit(" تومان"))
+    final = F.when(key % 3 == 0, less).otherwise(shown)
+    crumbs = F.concat(F.lit('<a href="/">'), "p_brand", F.lit('</a><i>/</i><a href="/t"> </a><a href="/t">'), "p_type", F.lit(" &amp; more</a>"))
+    pictures = F.concat(F.lit('<figure aria-label="open-gallery-modal"><img src="/i/'), key.cast("string"), F.lit('.jpg?w=150"><img alt="" src="https://cdn.example/'), key.cast("string"), F.lit('.png"></figure><figure><img src="/other.jpg"></figure>'))
+    colours = F.when(key % 5 == 0, '<button data-sentry-component="ColorVariant" aria-label=" T06 "></button><button aria-label="" data-sentry-component="ColorVariant"></button>').otherwise("")
+    usage = F.lit('<div data-headlessui-state="open"><p>closed first</p></div>'), F.lit('<div data-headlessui-state="a open"><p>use •  daily</p></div>'), F.lit('<div data-sentry-component="HowToUse"><p>apply</p><p> </p><h3>rinse</h3></div>')
+    parts = [
+        F.lit('<!DOCTYPE html><html><body><div id="root">'),
+        F.when(second, F.concat(F.lit("<nav>"), crumbs, F.lit("</nav>"))).otherwise(F.concat(F.lit('<div data-sentry-component="PDPBreadcrumb">'), crumbs, F.lit('</div><div data-sentry-component="Next">'))),
+        F.concat(F.lit("<h1 id=t> "), "p_name", F.lit("\n</h1><h1>no</h1>")),
+        F.when(second, span("name-en", F.upper("p_name"))).otherwise(span("text-text-mediumGray", F.upper("p_name"))),
+        F.when(second, span("rate", digits(F.format_number(F.col("p_size") / 10, 1)))).otherwise(_marked("StarRate", F.concat(digits(F.format_number(F.col("p_size") / 10, 1)), F.lit(" امتیاز")))),
+        F.when(second, span("reviews", digits(F.col("p_size")))).otherwise(_marked("CommentsCounter", F.concat(digits(F.col("p_size")), F.lit(" دیدگاه")))),
+        F.when(key % 4 != 0, _marked("WishlistCount", F.concat("p_size", F.lit(" likes")))).otherwise(""),
+        F.concat(F.lit('<div data-test="pdp-buy-box"><b>'), F.when(key % 7 == 0, extract.UNAVAILABLE).otherwise("موجود"), F.lit('</b></div><div data-sentry-component="Price">')),
+        F.when(key % 3 == 0, F.concat(F.when(second, F.concat(F.lit("<del>"), shown, F.lit("</del>"))).otherwise(span("line-through", shown)), span("bg-alert-error-dark", F.lit("۲۵٪")))).otherwise(""),
+        F.when(second, span("price", final)).otherwise(F.concat(F.lit('<div data-test="pdp-price"><span data-test="pdp-price">'), final, F.lit("</span></div>"))),
+        pictures, colours, F.lit('<div data-sentry-component="Description"><h2>About</h2><p>the '), F.col("p_name"), F.lit("<br>\nof "), F.col("p_brand"), F.lit("<p>open</div>"),
+        F.when(key % 4 == 1, F.concat(usage[0], usage[1])).when(key % 4 == 2, F.concat(usage[0], usage[2], usage[1])).otherwise(""),
+        F.when(key % 13 == 0, '<div data-sentry-component="Foot">Just a moment...</div>').otherwise(""), F.lit("</div></body></html>"),
+    ]
+    return table(spark, sf, "part").select(key, F.concat(F.lit("https://shop.example/p/"), key.cast("string")).alias("url"), F.concat(*parts).alias("html"))
+
+
+_SHOP = "https://shop.example/c/list"
+_RECORD_SQL = """
+SELECT p_partkey, 'https://shop.example/p/' || p_partkey AS url, 'q' AS query_name, sha256('https://shop.example/p/' || p_partkey) AS product_id, p_name AS name_fa, upper(p_name) AS name_en, p_brand AS brand, p_type || ' & more' AS category,
+       CAST(p_size / 10.0 AS DOUBLE) AS rate, p_size AS review_count, CASE WHEN p_partkey % 4 <> 0 THEN p_size END AS wishlist_count, p_partkey % 7 <> 0 AS is_out_of_stuck, p_partkey % 7 <> 0 AS in_stock, p_partkey % 3 = 0 AS has_discount,
+       CASE WHEN p_partkey % 3 = 0 THEN 25 END AS discount_percentage, CAST(round(p_retailprice * 100) AS BIGINT) AS real_price, CASE WHEN p_partkey % 3 = 0 THEN CAST(round(p_retailprice * 100) AS BIGINT) - 50 END AS discounted_price,
+       CASE WHEN p_partkey % 5 = 0 THEN 'T06,color_1' ELSE 'default' END AS colours, ['/i/' || p_partkey || '.jpg?w=800', 'https://cdn.example/' || p_partkey || '.png'] AS images,
+       [sha256('https://shop.example/i/' || p_partkey || '.jpg?w=800'), sha256('https://cdn.example/' || p_partkey || '.png')] AS image_ids, ['About', 'the ' || p_name || ' of ' || p_brand, 'open'] || CASE WHEN p_partkey % 4 = 1 THEN ['closed first', 'use daily'] WHEN p_partkey % 4 = 2 THEN ['closed first'] ELSE [] END AS product_intro,
+       CASE p_partkey % 4 WHEN 1 THEN ['use daily'] WHEN 2 THEN ['apply', 'rinse'] || ['use daily'] ELSE [] END AS usage_instructions, CASE WHEN p_partkey % 13 = 0 THEN 'challenge page' END AS error FROM part"""
+
+
+def _flat_record(rows: DataFrame, record: str = "r") -> DataFrame:
+    colours = F.array_join(F.map_keys("image_urls"), ",").alias("colours")
+    flat = rows.select("p_partkey", f"{record}.*")
+    return flat.select(*(c for c in flat.columns if c != "image_urls"), colours, F.get(F.map_values("image_urls"), 0).alias("images"))
+
+
+@query(_RECORD_SQL)
 def html_record(spark, sf):
-    record = extract.product(F.col("html"), F.col("url"), F.lit("q"))
-    return table(spark, sf, "pages").select("page_id", record.alias("r")).select("page_id", "r.name_fa", "r.real_price", "r.has_discount", "r.in_stock", "r.error")
+    record = extract.product(F.col("html"), F.col("url"), F.lit("q"), _SHOP)
+    return _flat_record(_shop_pages(spark, sf).select("p_partkey", record.alias("r")))
+
+
+@query(_RECORD_SQL)
+def html_record_sql(spark, sf):
+    """The same records by the function for SQL text."""
+    from ..operators import sql
+
+    sql.register(spark, lexicon.Lexicon(), _SHOP)
+    return _flat_record(_shop_pages(spark, sf).selectExpr("p_partkey", "extract_product(html, url, 'q') AS r"))
+
+
+def _listing_pages(spark, sf) -> DataFrame:
+    """Pages of three parts each as listing html, with unclosed articles; every ninth card has no link."""
+    card = F.concat(F.lit("<article class=c><h3> "), "p_name", F.lit(" &amp; co</h3><h3>no</h3>"), F.when(F.col("p_partkey") % 9 != 0, F.concat(F.lit('<a class="l" href="'), F.when(F.col("p_partkey") % 2 == 0, "/p/").otherwise("https://shop.example/p/"), F.col("p_partkey").cast("string"), F.lit('">go</a>'))).otherwise(""), F.when(F.col("p_partkey") % 2 == 0, "</article>").otherwise(""))
+    rows = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 3).alias("page"), "p_partkey", card.alias("card"))
+    return rows.groupBy("page").agg(F.concat(F.lit("<ul>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "card"))), lambda x: x["card"]), "\n"), F.lit("</ul>")).alias("html"))
+
+
+_CARDS_SQL = "SELECT p_partkey // 3 AS page, p_partkey % 3 AS pos, p_name || ' & co' AS name, CASE WHEN p_partkey % 9 <> 0 THEN 'https://shop.example/p/' || p_partkey END AS href FROM part"
+
+
+@query(_CARDS_SQL)
+def listing_cards(spark, sf):
+    return _listing_pages(spark, sf).select("page", F.posexplode(extract.cards(F.col("html"), "https://shop.example/")).alias("pos", "c")).select("page", "pos", "c.*")
+
+
+@query(_CARDS_SQL)
+def explode_cards(spark, sf):
+    """The same cards by the table function for SQL text."""
+    from ..operators import sql
+
+    sql.register(spark, lexicon.Lexicon())
+    view = f"listing_{uuid.uuid4().hex}"
+    _listing_pages(spark, sf).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT page, pos, name, href FROM {view}, LATERAL explode_cards(html, 'https://shop.example/')")
+
+
+@query("""
+WITH p AS (SELECT p_brand AS row_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS page_num, p_size FROM part),
+     s AS (SELECT *, CASE WHEN p_size = 50 THEN 'empty' WHEN p_size = 49 THEN 'no cards' WHEN p_size = 48 THEN 'no next page' WHEN p_size = 47 THEN 'next page disabled' WHEN page_num = 30 THEN 'page limit' END AS why FROM p WHERE page_num <= 30),
+     b AS (SELECT row_id, coalesce(min(page_num) FILTER (p_size = 46), max(page_num) + 1) - 1 AS whole, min(page_num) FILTER (why IS NOT NULL AND p_size <> 46) AS stop FROM s GROUP BY row_id)
+SELECT row_id, page_num, CASE WHEN page_num = stop THEN why WHEN page_num = least(whole, coalesce(stop, whole)) THEN 'not captured' END AS reason
+FROM s JOIN b USING (row_id) WHERE page_num <= least(whole, coalesce(stop, whole)) AND coalesce(why, '') NOT IN ('empty', 'no cards')""")
+def listing_stop(spark, sf):
+    numbered = table(spark, sf, "part").withColumn("page_num", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))
+    size = F.col("p_size")
+    pages = numbered.where("p_size <> 46").select(F.col("p_brand").alias("row_id"), "page_num", (size == 50).alias("empty_marker"), F.when(size == 49, 0).otherwise(3).alias("cards"), (size != 48).alias("next_page"), (size == 47).alias("next_disabled"))
+    return matching.pages_read(pages).select("row_id", "page_num", "reason")
+
+
+@query("SELECT p_partkey, 'https://shop.example/p/' || p_partkey AS url, 'q' || p_brand AS query_name, CASE WHEN p_partkey % 2 = 0 THEN 'timeout ' || p_size ELSE 'unknown error' END AS error, true AS is_failed, '' AS name_fa, 0 AS pictures FROM part")
+def failure_record(spark, sf):
+    reason = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("timeout "), "p_size")).otherwise(" ")
+    made = extract.failure(F.concat(F.lit("https://shop.example/p/"), F.col("p_partkey").cast("string")), F.concat(F.lit("q"), "p_brand"), reason)
+    rows = table(spark, sf, "part").select("p_partkey", made.alias("r")).select("p_partkey", "r.*")
+    return rows.select("p_partkey", "url", "query_name", "error", state.is_failed(F.col("error"), F.col("name_fa")).alias("is_failed"), "name_fa", F.size("image_urls").alias("pictures"))
+
+
+_RELATIVE = ("/i/x.jpg", "y.png?w=1", "../z//a", "//cdn.example/b", "https://cdn.example/c", "?q=1", "./d/../e/.")
+
+
+@query("""SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'https://shop.example/i/x.jpg' WHEN 1 THEN 'https://shop.example/c/y.png?w=1' WHEN 2 THEN 'https://shop.example/z//a' WHEN 3 THEN 'https://cdn.example/b'
+WHEN 4 THEN 'https://cdn.example/c' WHEN 5 THEN 'https://shop.example/c/list?q=1' ELSE 'https://shop.example/c/e/' END AS joined FROM pages""")
+def url_join(spark, sf):
+    own = F.element_at(F.array(*map(F.lit, _RELATIVE)), (F.col("page_id") % 7 + 1).cast("int"))
+    return table(spark, sf, "pages").select("page_id", t.joined_url(own, _SHOP).alias("joined"))
+
+
+# -- stores that are written and read again --------------------------------------------------------
+
+
+def _folder(spark, label: str) -> str:
+    return f"{stores.shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+_STORED = "excel_product_name, search_query, website_product_name, product_url, avg_similarity_score, max_similarity_score, is_scraped, scrap_directory"
+
+
+@query("""
+SELECT p_name AS excel_product_name, p_brand AS search_query, NULL AS website_product_name, '/p/' || (p_partkey // 2) AS product_url, p_size / 50.0 AS avg_similarity_score, CAST(NULL AS DOUBLE) AS max_similarity_score, false AS is_scraped, NULL AS scrap_directory
+FROM part UNION ALL SELECT p_name, p_brand, NULL, '/p/' || (p_partkey // 2), p_size / 50.0, NULL, false, NULL FROM part WHERE p_partkey % 2 = 0""")
+def append_entries(spark, sf):
+    """Entries appended in two runs: those of even keys are there twice."""
+    folder = _folder(spark, "entries")
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("excel_product_name"), F.col("p_brand").alias("search_query"), F.concat(F.lit("/p/"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("product_url"), (F.col("p_size") / 50).alias("avg_similarity_score"))
+    for part in (rows, rows.where("p_partkey % 2 = 0")):
+        stores.append_entries(part, folder)
+    return stores.read_entries(spark, folder)
+
+
+@query("SELECT p_partkey, p_name || '::' || p_partkey AS row_id FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 <> 0")
+def append_state(spark, sf):
+    """Rows that remain after two runs have recorded theirs."""
+    folder, rows = _folder(spark, "state"), _rows(spark, sf)
+    for done in (rows.where("p_partkey % 3 <> 0"), rows.where("p_partkey % 2 = 0")):
+        stores.append_state(done, folder)
+    return state.remaining(rows, stores.read_state(spark, folder), "row_id").select("p_partkey", "row_id")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey % 2 = 0")
+def replace_table(spark, sf):
+    folder, rows = _folder(spark, "versions"), table(spark, sf, "part").select("p_partkey", "p_name")
+    for part in (rows, rows.where("p_partkey % 3 = 0"), rows.where("p_partkey % 2 = 0")):
+        stores.replace_table(part, folder)
+    return stores.read_table(spark, folder)
+
+
+@query("SELECT DISTINCT 'https://shop.example/p/' || (p_partkey // 2) AS url FROM part WHERE p_partkey % 5 <> 0")
+def recursive_json(spark, sf):
+    """Urls of records stored by outcome, in nested folders."""
+    folder = _folder(spark, "records")
+    url = F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("https://shop.example/p/"), F.floor(F.col("p_partkey") / 2).cast("string"))).otherwise("")
+    state.save_by_outcome(table(spark, sf, "part").select("p_partkey", url.alias("url"), (F.col("p_partkey") % 3 == 0).alias("is_failed")), f"{folder}/deep")
+    return stores.read_scraped_urls(spark, folder)
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'nan' ELSE url END AS title FROM pages WHERE page_id % 4 > 1")
+def blank_titles(spark, sf):
+    title = F.when(F.col("page_id") % 4 == 1, "  ").when(F.col("page_id") % 4 == 2, "nan").when(F.col("page_id") % 4 == 3, F.col("url"))
+    return state.titled(table(spark, sf, "pages").select("page_id", title.alias("title")))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'q ' || p_name END AS query, p_partkey % 4 = 0 AS parsed FROM part""")
+def parse_results(spark, sf):
+    """Results as JSON: whole ones, ones that lack a name, broken ones, none."""
+    cells = [F.concat(F.lit("q "), "p_name").alias(relax.CELLS[0]), *(F.concat("p_name", F.lit(f" {k}")).alias(c) for k, c in enumerate(relax.CELLS[1:]))]
+    whole, short = F.to_json(F.struct(*cells)), F.to_json(F.struct(*cells[:4]))
+    kind = F.col("p_partkey") % 4
+    found = relax.parse_results(F.when(kind == 0, whole).when(kind == 1, short).when(kind == 2, F.substring(whole, 1, 20)))
+    return table(spark, sf, "part").select("p_partkey", found.alias("r")).select("p_partkey", F.col(f"r.{relax.CELLS[0]}").alias("query"), F.col("r").isNotNull().alias("parsed"))
+
+
+@query()
+def png_transcode(spark, sf):
+    """Grey images made of parts' names as PNG; decoded again they are RGB."""
+    from ..operators import pictures
+
+    def draw(names_: pd.Series) -> pd.Series:
+        return names_.map(lambda x: pictures.encode_png(np.frombuffer((x * 12)[:48].encode(), np.uint8).reshape(4, 4, 3)))
+
+    def mean(images: pd.Series) -> pd.Series:
+        return images.map(lambda x: float(pictures.decode_png(x)[:, :, :3].mean()))
+
+    drawn = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.pandas_udf(draw, "binary")("p_name")).otherwise(F.encode("p_name", "utf-8")).alias("raw"))
+    shown = drawn.select("p_partkey", "raw", pictures.png(F.col("raw")).alias("png"))
+    even = shown.where("p_partkey % 2 = 0").select("p_partkey", F.round(F.pandas_udf(mean, "double")("png"), 6).alias("mean"))
+    return even.unionByName(shown.where("p_partkey % 2 = 1").select("p_partkey", F.when(F.col("raw") == F.col("png"), -1.0).alias("mean")))
 
 
 @query("SELECT page_id, contains(lower(html), 'cloudflare') OR contains(lower(html), 'just a moment') AS bot, contains(lower(html), 'track(1') OR contains(lower(html), 'ution') AS other FROM pages")
@@ -521,12 +847,15 @@ def availability_price(spark, sf):
 # -- relaxation and streaming ----------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, true AS query_ok, p_partkey % 4 <> 0 OR p_size = 7 AS names_ok FROM part")
+@query("""
+SELECT p_partkey, p_partkey % 3 <> 0 AS query_ok, p_partkey % 4 <> 0 OR p_size = 7 AS names_ok, lower(p_name) || ' nc' || p_size || ' 50 ml' AS name3,
+       list_sort(list_distinct([CAST(p_size AS VARCHAR), '50'])) AS numbers FROM part""")
 def relax_validate(spark, sf):
+    """Names by rules, with a number put into every third query and every fourth last name."""
     titled = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.concat(F.lit("NC"), "p_size"), F.lit("50 ml")).alias("title"))
-    rows = relax.by_rules(titled)
-    spoilt = F.when(F.col("p_partkey") % 4 == 0, F.concat("normalized_product_name5", F.lit(" 7x"))).otherwise(F.col("normalized_product_name5"))
-    return rows.withColumn("normalized_product_name5", spoilt).select("p_partkey", relax.query_ok(F.col(relax.CELLS[0])).alias("query_ok"), relax.names_ok(F.col("title"), *(F.col(c) for c in relax.CELLS[1:])).alias("names_ok"))
+    rows, query_, name = relax.by_rules(titled), F.col(relax.CELLS[0]), F.col(relax.CELLS[5])
+    rows = rows.withColumns({relax.CELLS[0]: F.when(F.col("p_partkey") % 3 == 0, F.concat(query_, F.lit(" ۳"))).otherwise(query_), relax.CELLS[5]: F.when(F.col("p_partkey") % 4 == 0, F.concat(name, F.lit(" 7x"))).otherwise(name)})
+    return rows.select("p_partkey", relax.query_ok(query_).alias("query_ok"), relax.names_ok(F.col("title"), *(F.col(c) for c in relax.CELLS[1:])).alias("names_ok"), F.col(relax.CELLS[3]).alias("name3"), relax.numbers(F.col("title")).alias("numbers"))
 
 
 @query(SQL["brand_blocked_match"])
@@ -535,8 +864,8 @@ def incremental_match(spark, sf):
     from ..streaming.incremental import match_stream, read_matches
 
     parts = table(spark, sf, "part")
-    folder = (spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp()) + f"/incremental-{spark.sparkContext.startTime}-{id(parts)}"
-    parts.select("p_brand", "p_partkey", "p_name").repartition(1).write.mode("overwrite").parquet(f"{folder}/in")
+    folder = f"{stores.shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
+    parts.select("p_brand", "p_partkey", "p_name").repartition(4, "p_brand").write.mode("overwrite").parquet(f"{folder}/in")
     first = parts.groupBy("p_brand").agg(F.min_by("p_name", "p_partkey").alias("title"), F.min("p_partkey").alias("own"))
 
     def match(batch: DataFrame) -> DataFrame:
