@@ -7,22 +7,13 @@ costs its running tasks only.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """URI of the shared folder: spark.checkpoint.dir, else one set here (single-machine tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="vitrine-shared-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+from ..sources.stores import shared_folder
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -99,13 +90,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hash_sample(rows: DataFrame, size: int, *keys: str, salt: str = "") -> DataFrame:
-    """About ``size`` of the rows, all if there are no more: those whose keys' hash lies below a bound.
+    """About ``size`` of the rows, whose keys must be distinct; all if there are no more: those whose keys'
+    hash lies below a bound.
 
-    The choice doesn't depend on partitions, and nothing is sorted or gathered. Rows that repeat a key
-    are chosen together; a limit of four times the size keeps a very frequent one from filling memory.
+    The choice doesn't depend on partitions, and nothing is sorted or gathered.
     """
     n = rows.count()
     if n <= size:
         return rows
     bound = -(1 << 63) + int((1 << 64) * size / n)
-    return rows.where(F.xxhash64(*keys, F.lit(salt)) < F.lit(bound)).limit(4 * size)
+    return rows.where(F.xxhash64(*keys, F.lit(salt)) < F.lit(bound))

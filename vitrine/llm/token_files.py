@@ -26,8 +26,9 @@ from .shared import attempt_name, discard, hash_sample, materialise, open_input,
 MAGIC = b"VTOK0001"
 HEADER = struct.Struct("<8sB3x32sQ")  # magic, bytes of an id, dictionary hash, number of documents (index only)
 
-#: Bounds of the dictionary's training: sampled documents, characters of one, bytes of a training piece.
-SAMPLE_DOCS, SAMPLE_CHARS, PIECE_BYTES, DICTIONARY_BYTES = 512, 65_536, 4_096, 65_536
+#: Bounds of the dictionary's training, as ``train_format`` takes them: sampled texts, pieces taken of each
+#: (evenly over its length), bytes of a piece, bytes of the dictionary.
+SAMPLE_DOCS, PIECES, PIECE_BYTES, DICTIONARY_BYTES = 512, 32, 4_096, 65_536
 
 
 @dataclass(frozen=True)
@@ -59,21 +60,34 @@ class IdFormat:
         return zstandard.ZstdDecompressor(**known)
 
 
-def train_format(docs: DataFrame, vocabulary: str, end_id: int) -> IdFormat:
-    """A dictionary from the ids of about SAMPLE_DOCS documents, drawn by key hash, of those that have at
-    most SAMPLE_CHARS characters. Too few samples to train on give a format without dictionary."""
+def train_format(docs: DataFrame, vocabulary: str, end_id: int, sample: int = SAMPLE_DOCS, pieces: int = PIECES, piece_bytes: int = PIECE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES) -> IdFormat:
+    """A dictionary from at most ``pieces`` pieces of the ids of each of about ``sample`` distinct texts, drawn by hash.
+
+    Texts of any length take part; equal ones count once. Too few samples to train on give a format
+    without dictionary.
+    """
     import zstandard
 
     size = max(library_tokenizer(vocabulary).get_vocab_size(), end_id + 1)
     width = 2 if size <= 1 << 16 else 4
-    chosen = hash_sample(docs, SAMPLE_DOCS, "doc_id", salt="dictionary").where(F.length("text").between(1, SAMPLE_CHARS)).select("text").collect()
-    encoder = library_encoder(vocabulary)
-    pieces = []
-    for raw in encoder.encode_batch(sorted(row.text for row in chosen)):
-        raw = np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes()
-        pieces += [raw[k : k + PIECE_BYTES] for k in range(0, len(raw), PIECE_BYTES)]
+    texts = docs.where(F.length("text") > 0).select("text", F.xxhash64("text").alias("_hash"))
+    drawn = hash_sample(texts.select("_hash").distinct(), sample, "_hash", salt="dictionary")
+    chosen = texts.join(F.broadcast(drawn), "_hash").groupBy("_hash").agg(F.min("text").alias("text")).select("text")  # copies are dropped within tasks
+
+    def cut(batches):
+        encoder = library_encoder(vocabulary)
+        for batch in text_batches(batches):
+            rows = []
+            for raw in encoder.encode_batch(batch.column(0).to_pylist()):
+                raw = np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes()
+                starts = range(0, len(raw), piece_bytes)
+                step = -(-len(starts) // pieces)
+                rows += [raw[k : k + piece_bytes] for k in starts[:: max(1, step)]]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["piece"])
+
+    found = sorted(bytes(r.piece) for r in chosen.mapInArrow(cut, "piece binary").distinct().collect())
     try:
-        dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(512, sum(map(len, pieces)) // 10)), pieces).as_bytes()
+        dictionary = zstandard.train_dictionary(min(dictionary_bytes, max(512, sum(map(len, found)) // 10)), found).as_bytes()
     except (zstandard.ZstdError, ValueError):
         dictionary = b""
     return IdFormat(width, dictionary)

@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The classifier is linear in hashed words and word beginnings. It learns from confirmed toxic
+The classifier is linear in hashed words and word beginnings and in whether they occur again. It learns from confirmed toxic
 documents and from unlabelled text, of which a known share (the class prior) is toxic too. The risk
 of the clean class is estimated as the unlabelled risk less the prior's share of the positive one;
 where a step would take it below zero it is pushed back up instead (the non-negative estimator).
@@ -10,29 +10,36 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import chunk_lists, text_batches
 from .quality import held_out
-from .shared import hash_sample
+from .shared import hash_sample, materialise
 
 FLAG = 0.3
-#: Bounds of the fit: confirmed documents, unlabelled ones (both drawn by id hash), features.
+#: Bounds of a fit, as ``train`` takes them: confirmed documents, unlabelled ones (both drawn by id hash), weights.
+#: Fewer weights leave out the least significant features, so they change the model.
 POSITIVES, UNLABELLED, FEATURES = 4_000, 8_000, 4_000
 BITS = 24
 PREFIXES = (4, 5, 6, 7, 8)
+#: A word or beginning is a feature once for each of these numbers of times that it occurs.
+LEVELS = (1, 2, 3)
+#: Documents that a feature must be in, and how many standard errors it must stand out by.
+LEAST_DOCS, LEAST_Z = 3, 3.5
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-#: Words whose contribution a worker remembers.
+#: Words whose hashes a worker remembers.
 REMEMBERED = 300_000
 
 
-def word_features(word: str) -> list[int]:
+def word_hashes(word: str) -> list[int]:
     """Hashes of a lower-case word and of its beginnings."""
     from xxhash import xxh32_intdigest
 
@@ -40,18 +47,31 @@ def word_features(word: str) -> list[int]:
     return [xxh32_intdigest(x) >> (32 - BITS) for x in names]
 
 
-def distinct_words(text: str | None) -> set[str]:
-    """Lower-case words without marks at their edges."""
-    found: set[str] = set()
-    for chunks in chunk_lists(text or ""):
-        found.update(chunks)
-    low = {w.lower() for w in found}
-    return {w if w.isalnum() else EDGES.sub("", w) for w in low} - {""}
+def word_counts(text: str | None) -> Counter:
+    """Lower-case words without marks at their edges, and how often they occur."""
+    chunks: Counter = Counter()
+    for part in chunk_lists(text or ""):
+        chunks.update(part)
+    found: Counter = Counter()
+    for chunk, n in chunks.items():
+        word = chunk.lower()
+        if word := word if word.isalnum() else EDGES.sub("", word):
+            found[word] += n
+    return found
+
+
+def feature_id(hashed: int, level: int) -> int:
+    """A feature's number: its hash and the place of its level in LEVELS."""
+    return hashed * 4 + level
 
 
 def document_features(text: str | None) -> np.ndarray:
-    """Sorted distinct feature hashes of a text."""
-    return np.unique(np.array([f for w in distinct_words(text) for f in word_features(w)], np.int32))
+    """Sorted distinct features of a text."""
+    counts: Counter = Counter()
+    for word, n in word_counts(text).items():
+        for h in word_hashes(word):
+            counts[h] += n
+    return np.unique(np.array([feature_id(h, k) for h, n in counts.items() for k, least in enumerate(LEVELS) if n >= least], np.int32))
 
 
 @dataclass
@@ -61,20 +81,23 @@ class PuModel:
     weights: dict[int, float]
     bias: float
     cut: float
-    memory: dict[str, tuple[tuple[int, float], ...]] = field(default_factory=dict)
+    memory: dict[str, tuple[int, ...]] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.hashes = {f // 4 for f in self.weights}
 
     def raw(self, text: str | None) -> float:
-        """Bias and the weights of the text's distinct features."""
-        memory, weights, hit = self.memory, self.weights, {}
-        for word in distinct_words(text):
+        """Bias and the weights of the text's features."""
+        memory, counts = self.memory, Counter()
+        for word, n in word_counts(text).items():
             part = memory.get(word)
             if part is None:
                 if len(memory) >= REMEMBERED:
                     memory.clear()
-                part = memory[word] = tuple((f, weights[f]) for f in word_features(word) if f in weights)
-            if part:
-                hit.update(part)
-        return self.bias + math.fsum(hit.values())
+                part = memory[word] = tuple(h for h in word_hashes(word) if h in self.hashes)
+            for h in part:
+                counts[h] += n
+        return self.bias + math.fsum(self.weights.get(feature_id(h, k), 0.0) for h, n in counts.items() for k, least in enumerate(LEVELS) if n >= least)
 
     def score(self, text: str | None) -> float:
         """Between 0 and 1, rising with the raw value, FLAG at the cut."""
@@ -82,61 +105,86 @@ class PuModel:
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
 
 
-def choose_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, keep: int = FEATURES) -> np.ndarray:
-    """Features that stand out in confirmed documents against unlabelled ones: at least 3 documents,
-    and the ``keep`` largest significances of the two shares' difference."""
-    size = 1 << BITS
-    p = np.bincount(np.concatenate([*positive, np.zeros(0, np.int32)]), minlength=size)
-    u = np.bincount(np.concatenate([*unlabelled, np.zeros(0, np.int32)]), minlength=size)
-    at = np.flatnonzero(p >= 3)
-    a, b = p[at] / len(positive), u[at] / max(1, len(unlabelled))
+def choose_features(names: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, n_positive: int, n_unlabelled: int, prior: float, keep: int = FEATURES) -> np.ndarray:
+    """Features that stand out in confirmed documents against unlabelled ones, sorted: those in LEAST_DOCS or
+    more and with the ``keep`` largest significances of the two shares' difference. ``positive`` and
+    ``unlabelled`` count the documents that have a feature."""
+    a, b = positive / max(1, n_positive), unlabelled / max(1, n_unlabelled)
     clean = np.maximum((b - prior * a) / max(1e-6, 1 - prior), 0)  # the share among clean documents
-    spread = np.sqrt(a * (1 - a) / len(positive) + (clean * (1 - clean) + 1 / max(1, len(unlabelled))) / max(1, len(unlabelled)))
-    z = (a - clean) / np.maximum(spread, 1e-9)
-    at, z = at[z > 3.5], z[z > 3.5]
-    return np.sort(at[np.argsort(-z, kind="stable")[:keep]])
+    spread = np.sqrt(a * (1 - a) / max(1, n_positive) + (clean * (1 - clean) + 1 / max(1, n_unlabelled)) / max(1, n_unlabelled))
+    z = np.where(positive >= LEAST_DOCS, (a - clean) / np.maximum(spread, 1e-9), 0)
+    order = np.lexsort((names, -z))[:keep]
+    return np.sort(names[order[z[order] > LEAST_Z]])
+
+
+@dataclass(frozen=True)
+class Bags:
+    """Which kept features (places ``at``) which of ``n`` documents (``of``, ascending) have."""
+
+    at: np.ndarray
+    of: np.ndarray
+    n: int
 
+    def margins(self, w: np.ndarray, b: float) -> np.ndarray:
+        return np.bincount(self.of, w[self.at], minlength=self.n)[: self.n] + b
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.1, sparse: float = 1e-4) -> PuModel:
-    """The model from feature sets of confirmed and of unlabelled documents.
 
-    Full-batch Adam on the non-negative risk with logistic loss, and soft thresholds that keep weights
-    of no use at zero. Without confirmed documents nothing is flagged.
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+
+
+def risk(w: np.ndarray, b: float, positive: Bags, unlabelled: Bags, prior: float) -> tuple[float, float, np.ndarray]:
+    """The positive part of the risk, the clean part before it is bounded by zero, and the gradient of a step.
+
+    With losses l(+) = log(1 + exp(-g)) and l(-) = log(1 + exp(g)) the positive part is prior * E+[l(+)] and
+    the clean part Eu[l(-)] - prior * E+[l(-)]. While the clean part is not negative the step goes down
+    their sum; else it goes up the clean part alone.
     """
-    if not positive:
-        return PuModel({}, -10.0, 0.0)
-    prior = min(max(prior, 1e-4), 0.9)
-    kept = choose_features(positive, unlabelled, prior)
+    gp, gu = positive.margins(w, b), unlabelled.margins(w, b)
+    mean = lambda x: float(x.mean()) if len(x) else 0.0
+    first, clean = prior * mean(np.logaddexp(0, -gp)), mean(np.logaddexp(0, gu)) - prior * mean(np.logaddexp(0, gp))
+    on_positive, on_unlabelled = prior * (sigmoid(gp) - 1) / max(1, positive.n), sigmoid(gu) / max(1, unlabelled.n)
+    corrected = -prior * sigmoid(gp) / max(1, positive.n)
+    sp, su = (on_positive + corrected, on_unlabelled) if clean >= 0 else (-corrected, -on_unlabelled)
+    spread = lambda bags, slopes: np.bincount(bags.at, slopes[bags.of], minlength=len(w))[: len(w)]
+    return first, clean, np.append(spread(positive, sp) + spread(unlabelled, su), sp.sum() + su.sum())
+
 
-    def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [np.flatnonzero(np.isin(kept, r, assume_unique=True)) for r in rows]
-        return np.concatenate([*parts, np.zeros(0, np.int64)]), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+def fit_bags(kept: np.ndarray, positive: Bags, unlabelled: Bags, prior: float, rounds: int = 400, rate: float = 0.1, sparse: float = 1e-4) -> PuModel:
+    """Full-batch Adam on the non-negative risk, and soft thresholds that keep weights of no use at zero.
 
-    (p_at, p_of), (u_at, u_of), np_, nu = matrix(positive), matrix(unlabelled), len(positive), max(1, len(unlabelled))
+    Without confirmed documents nothing is flagged.
+    """
+    if not positive.n:
+        return PuModel({}, -10.0, 0.0)
     w, b = np.zeros(len(kept)), math.log(prior / (1 - prior))
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -35, 35)))
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for t in range(1, rounds + 1):
-        gp = np.bincount(p_of, w[p_at], minlength=np_) + b
-        gu = np.bincount(u_of, w[u_at], minlength=nu)[:nu] + b
-        # Losses: l(+) = log(1 + exp(-g)), l(-) = log(1 + exp(g)); their slopes are sigmoid(g) - 1 and sigmoid(g).
-        negative_risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        up, uu = prior * (sigmoid(gp) - 1) / np_, sigmoid(gu) / nu
-        un = -prior * sigmoid(gp) / np_
-        if negative_risk >= 0:
-            sp, su = up + un, uu
-        else:
-            sp, su = -un, -uu  # raise the clean risk again
-        gradient = np.append(np.bincount(p_at, sp[p_of], minlength=len(kept))[: len(kept)] + np.bincount(u_at, su[u_of], minlength=len(kept))[: len(kept)], sp.sum() + su.sum())
+        _, _, gradient = risk(w, b, positive, unlabelled, prior)
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w = w - step[:-1]
         w = np.sign(w) * np.maximum(np.abs(w) - rate * sparse, 0)
         b -= step[-1]
-    g = np.concatenate([np.bincount(u_of, w[u_at], minlength=nu)[:nu] + b])
-    gp = np.bincount(p_of, w[p_at], minlength=np_) + b
-    return PuModel({int(k): float(x) for k, x in zip(kept, w, strict=True) if x}, float(b), best_cut(gp, g, prior))
+    cut = best_cut(positive.margins(w, b), unlabelled.margins(w, b), prior)
+    return PuModel({int(k): float(x) for k, x in zip(kept, w, strict=True) if x}, float(b), cut)
+
+
+def bounded(prior: float) -> float:
+    return min(max(prior, 1e-4), 0.9)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, keep: int = FEATURES) -> PuModel:
+    """The model from the feature sets of few documents, as ``train`` makes it of tables."""
+    prior = bounded(prior)
+    found, p = np.unique(np.concatenate([*positive, np.zeros(0, np.int32)]), return_counts=True)
+    seen, u = np.unique(np.concatenate([*unlabelled, np.zeros(0, np.int32)]), return_counts=True)
+    place = np.minimum(np.searchsorted(seen, found), max(0, len(seen) - 1))
+    also = np.where(seen[place] == found, u[place], 0) if len(seen) else np.zeros(len(found), np.int64)
+    kept = choose_features(found, p, also, len(positive), len(unlabelled), prior, keep)
+    bags = [[np.flatnonzero(np.isin(kept, r, assume_unique=True)) for r in rows] for rows in (positive, unlabelled)]
+    return fit_bags(kept, *(Bags(np.concatenate([*x, np.zeros(0, np.int64)]), np.repeat(np.arange(len(x)), [len(y) for y in x]).astype(np.int64), len(x)) for x in bags), prior)
 
 
 def best_cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
@@ -150,19 +198,20 @@ def best_cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> floa
     return float(middle[int(np.argmax(f1))])
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], float]:
-    """Features of confirmed and of unlabelled documents of the training folds, and the class prior.
+def sampled_features(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
+    """(id, y, x): features of confirmed (y 1) and of unlabelled documents (y 0) of the training folds, and the class prior.
 
     The prior is the share of toxic ones among the labelled training documents. Ids of confirmed
-    documents and of the unlabelled sample are chosen first, in bounded number, and broadcast.
+    documents and of the unlabelled sample are chosen first, in bounded number, and broadcast; an id
+    that several rows have counts once, with the smallest of their feature sets.
     """
     train = ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()
     known = labels.where(train & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("_y"))
     stats = known.agg(F.count("*").alias("n"), F.sum("_y").alias("k")).first()
     prior = (stats["k"] or 0) / stats["n"] if stats["n"] else 0.0
-    toxic = hash_sample(known.where("_y = 1"), POSITIVES, "_id", salt="toxic")
-    ids = docs.where(train).select(F.col("doc_id").cast("long").alias("_id"))
-    drawn = hash_sample(ids, UNLABELLED, "_id", salt="unlabelled").distinct().withColumn("_y", F.lit(0))
+    toxic = hash_sample(known.where("_y = 1"), positives, "_id", salt="toxic")
+    ids = docs.where(train).select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    drawn = hash_sample(ids, unlabelled, "_id", salt="unlabelled").withColumn("_y", F.lit(0))
     chosen = toxic.unionByName(drawn)  # a confirmed document may also be drawn: unlabelled text holds the prior's share of them
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "text")
 
@@ -170,14 +219,39 @@ def labelled_features(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarr
         for batch in text_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([document_features(t) for t in batch.column(2).to_pylist()], pa.list_(pa.int32()))], names=["id", "y", "x"])
 
-    rows = source.mapInArrow(run, "id long, y int, x array<int>").toArrow().sort_by([("y", "ascending"), ("id", "ascending")])
-    y = rows.column("y").to_pylist()
-    x = [np.asarray(a.values, np.int32) if a.is_valid else np.zeros(0, np.int32) for a in rows.column("x")]
-    return [a for a, k in zip(x, y, strict=True) if k], [a for a, k in zip(x, y, strict=True) if not k], prior
+    rows = source.mapInArrow(run, "id long, y int, x array<int>").groupBy("id", "y").agg(F.min("x").alias("x"))
+    return materialise(rows, "toxicity-sample")[0], prior
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = FEATURES) -> PuModel:
+    """The model for ``docs`` from at most about so many documents, and with at most so many weights.
+
+    Features are counted by Spark; the driver gets the counts of those that LEAST_DOCS confirmed
+    documents have, and then, for each document of the sample, which kept features it has.
+    """
+    sample, prior = sampled_features(docs, labels, positives, unlabelled)
+    prior = bounded(prior)
+    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    counted = sample.select("y", F.explode("x").alias("f")).groupBy("f").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("u")).where(F.col("p") >= LEAST_DOCS).toArrow()
+    f, p, u = (counted.column(k).to_numpy() for k in range(3))
+    kept = choose_features(f, p, u, sizes.get(1, 0), sizes.get(0, 0), prior, features)
+
+    def places(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            found, of = lists.flatten().to_numpy(), pc.list_parent_indices(lists).to_numpy()
+            at = np.minimum(np.searchsorted(kept, found), max(0, len(kept) - 1))
+            same = kept[at] == found if len(kept) else np.zeros(len(found), bool)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of[same], minlength=batch.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(at[same].astype(np.int32)))], names=["id", "y", "x"])
+
+    rows = sample.mapInArrow(places, "id long, y int, x array<int>").toArrow().sort_by([("y", "ascending"), ("id", "ascending")]).combine_chunks()
 
+    def bags(label: int) -> Bags:
+        lists = rows.filter(pc.equal(rows.column("y"), label)).column("x").combine_chunks()
+        return Bags(lists.flatten().to_numpy().astype(np.int64), pc.list_parent_indices(lists).to_numpy().astype(np.int64), len(lists))
 
-def train(docs: DataFrame, labels: DataFrame) -> PuModel:
-    return fit(*labelled_features(docs, labels))
+    return fit_bags(kept, bags(1), bags(0), prior)
 
 
 def with_scores(docs: DataFrame, model: PuModel, name: str = "toxicity_score") -> DataFrame:
@@ -196,7 +270,10 @@ def with_scores(docs: DataFrame, model: PuModel, name: str = "toxicity_score") -
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
-    Null and empty texts get the score of a text without features. Repeated rows give repeated results.
+    Null and empty texts get the score of a text without features; texts of any length are read whole.
+    Rows that repeat an id give a row each. A null id is in no fold that is held out and teaches nothing.
+    Other columns, whatever their names, are ignored; an empty table gives an empty result, and without
+    confirmed documents nothing is flagged.
     """
     model = train(docs, labels)
     scored = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, "score")
