@@ -415,6 +415,19 @@ def test_damaged_chunk_is_found(spark):
         media.reconstruct(recipe, wrong).collect()
 
 
+def test_ranges_are_read_together(tmp_path):
+    raw = bytes(random.Random(1).randrange(256) for _ in range(300_000))
+    for name in "ab":
+        (tmp_path / name).write_bytes(raw)
+    reader = media.RangeReader(ahead=100_000, packs=1)
+    places = [(k, 5_000) for k in range(0, 300_000, 5_000)]
+    assert all(reader.read(str(tmp_path / "a"), at, n) == raw[at : at + n] for at, n in places) and reader.requests <= 4
+    assert reader.read(str(tmp_path / "b"), 7, 250_000) == raw[7:250_007] and reader.read(str(tmp_path / "a"), 299_990, 10) == raw[-10:]
+    with pytest.raises(ValueError):
+        reader.read(str(tmp_path / "a"), 299_990, 11)
+    reader.close()
+
+
 def test_shared_files(spark):
     from vitrine.llm.shared import open_output
 

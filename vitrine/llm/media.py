@@ -34,6 +34,9 @@ UNIT, PAD = 192, b"\x20"
 RATE = 8000
 #: Parts in which packs are rewritten.
 WAVES = 4
+#: Bytes that one request to a pack asks for at least, packs that a reader has open, and media (as a power of two)
+#: that are rebuilt in one go.
+AHEAD, OPEN_PACKS, RUN_BITS = 1 << 18, 32, 8
 #: Digests of written chunks that a task remembers; beyond it, copies are left to the later steps.
 REMEMBERED = 500_000
 
@@ -158,12 +161,48 @@ def _cut_media(folder: str):
     return run
 
 
+class RangeReader:
+    """Reads ranges of packs. What lies behind a range is read with it, so ranges in the order of a pack cost
+    one request for AHEAD bytes instead of one each; the last buffers of some packs are kept."""
+
+    def __init__(self, ahead: int = AHEAD, packs: int = OPEN_PACKS):
+        self.ahead, self.packs = ahead, packs
+        self.files: dict[str, object] = {}
+        self.buffers: dict[str, tuple[int, bytes]] = {}
+        self.requests = 0
+
+    def read(self, pack: str, at: int, size: int) -> bytes:
+        begin, data = self.buffers.get(pack, (0, b""))
+        if not begin <= at <= at + size <= begin + len(data):
+            file = self.files.pop(pack, None)
+            if file is None:
+                if len(self.files) >= self.packs:
+                    self._drop(next(iter(self.files)))
+                file = open_input(pack)
+            self.files[pack] = file  # the last of the dictionary is the one used last
+            file.seek(at)
+            data = file.read(max(size, self.ahead))
+            self.requests += 1
+            if len(data) < size:
+                raise ValueError(f"{pack} is damaged: it ends before {at + size}")
+            begin, self.buffers[pack] = at, (at, data)
+        return data[at - begin : at - begin + size]
+
+    def _drop(self, pack: str) -> None:
+        self.files.pop(pack).close()
+        self.buffers.pop(pack, None)
+
+    def close(self) -> None:
+        for pack in list(self.files):
+            self._drop(pack)
+
+
 def _rewrite_packs(folder: str):
     """Copy the chosen chunks, sorted by (pack, at), to a new pack and give their new places."""
     names = ["digest", "pack", "at", "packed"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, opened, out, target, at = None, None, None, None, 0
+        reader, out, target, at = RangeReader(packs=2), None, None, 0
         for batch in batches:
             packs, ats, sizes = (batch.column(k).to_pylist() for k in (1, 2, 3))
             if out is None and packs:
@@ -171,18 +210,13 @@ def _rewrite_packs(folder: str):
                 out = open_output(target)
             places = []
             for pack, begin, size in zip(packs, ats, sizes, strict=True):
-                if pack != opened:
-                    if source is not None:
-                        source.close()
-                    source, opened = open_input(pack), pack
-                source.seek(begin)
-                out.write(source.read(size))
+                out.write(reader.read(pack, begin, size))
                 places.append(at)
                 at += size
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([target] * len(packs), pa.string()), pa.array(places, pa.int64()), batch.column(3)], names=names)
-        for file in (source, out):
-            if file is not None:
-                file.close()
+        reader.close()
+        if out is not None:
+            out.close()
 
     return run
 
@@ -222,20 +256,13 @@ def _rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Media from their chunk lists (doc_id, n_bytes, media_sha256, chunks), verified and measured."""
     import zstandard
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    files: dict[str, object] = {}
+    unpack, reader = zstandard.ZstdDecompressor().decompress, RangeReader()
     for batch in text_batches(batches):
         rows = []
         for doc_id, n_bytes, said, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             parts = []
             for chunk in sorted(chunks, key=lambda c: c["place"]):
-                file = files.get(chunk["pack"])
-                if file is None:
-                    if len(files) >= 64:
-                        files.pop(next(iter(files))).close()
-                    file = files[chunk["pack"]] = open_input(chunk["pack"])
-                file.seek(chunk["at"])
-                part = unpack(file.read(chunk["packed"]))
+                part = unpack(reader.read(chunk["pack"], chunk["at"], chunk["packed"]))
                 if hashlib.sha256(part).digest()[:20] != chunk["digest"]:
                     raise ValueError(f"a chunk in {chunk['pack']} at {chunk['at']} is damaged")
                 parts.append(part)
@@ -247,21 +274,23 @@ def _rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), digest, features(payload)))
         types = [pa.string() if x.endswith("string") else pa.int64() for x in RESULT_SCHEMA.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in RESULT_SCHEMA.split(", ")])
-    for file in files.values():
-        file.close()
+    reader.close()
 
 
 def reconstruct(recipe: DataFrame, index: DataFrame) -> DataFrame:
     """Each medium read back from its chunk list, checked chunk by chunk and as a whole, with features."""
-    placed = recipe.join(index.hint("merge"), "digest")
+    placed = recipe.join(index.hint("merge"), "digest").withColumn("run", F.shiftright("medium", RUN_BITS))
     chunk = F.struct("place", "digest", "pack", "at", "packed")
-    listed = placed.groupBy("medium").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.first("media_sha256").alias("media_sha256"), F.collect_list(chunk).alias("chunks"))
-    return listed.select("doc_id", "n_bytes", "media_sha256", "chunks").mapInArrow(_rebuild, RESULT_SCHEMA)
+    # Media that one task cut one after the other come together again and in that order, which is their chunks'.
+    listed = placed.repartition("run").groupBy("run", "medium").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.first("media_sha256").alias("media_sha256"), F.collect_list(chunk).alias("chunks"))
+    return listed.sortWithinPartitions("medium").select("doc_id", "n_bytes", "media_sha256", "chunks").mapInArrow(_rebuild, RESULT_SCHEMA)
 
 
 def roundtrip(docs: DataFrame) -> DataFrame:
     """Every text stored as media and read back: a row for each row of ``docs``, repeated ones too.
 
-    Null texts count as empty and give one unit of blanks; a null doc_id stays null; other columns are ignored.
+    Null texts count as empty and give one unit of blanks; texts of any length are cut, stored and read back
+    whole; a null doc_id stays null; other columns, whatever their names, are ignored; an empty table gives
+    an empty result.
     """
     return reconstruct(*store(docs))
