@@ -10,8 +10,9 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from vitrine.llm import exact_dedup, simhash
+from vitrine.llm import exact_dedup, places, simhash
 from vitrine.llm.queries import OP9_SQL
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -175,3 +176,79 @@ def test_repeated_ids_of_different_texts(spark):
     assert sorted((r.note, r.doc_id) for r in kept.collect()) == [("a", None), ("b", None), ("c", 7), ("d", 7)]
     alone = simhash.deduplicate(docs.where("note = 'a' or note = 'd'"))
     assert sorted((r.note, r.doc_id) for r in alone.collect()) == [("a", None), ("d", 7)]
+
+
+def test_a_batch_that_comes_again(spark):
+    known = index(spark)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    decided = lambda rows, batch: sorted(tuple(r) for r in known.ingest(frame(rows), batch).collect())
+    first, second = [(1, "a"), (2, "b"), (3, "a ")], [(4, "b"), (5, "c")]
+    once = decided(first, "one")
+    assert [r[3] for r in once] == [False, True, True]
+    assert decided(first, "one") == once and known.read().count() == 2
+    later = decided(second, "two")
+    assert [(r[0], r[1], r[3]) for r in later] == [(4, 2, False), (5, 5, True)]
+    # As if the job had failed behind the write of half of its digests.
+    known.drop()
+    known._write(spark.createDataFrame([], "digest binary, keep_id long, n_points long, batch string"), known.table, 3)
+    known._write(exact_dedup.winners(exact_dedup.digests(frame(first))).limit(1).selectExpr("digest", "keep_id", "n_points", "'one' AS batch"), known.table, 3)
+    assert decided(first, "one") == once and known.read().count() == 2 == known.read().select("digest").distinct().count()
+    kept = lambda rows, batch: sorted(r.doc_id for r in exact_dedup.deduplicate(frame(rows), known, batch).collect())
+    assert kept(second, "two") == [5] == kept(second, "two") and kept(second, "three") == []
+    known.drop()
+
+
+def test_index_is_rebuilt(spark):
+    known = index(spark)
+    frame = spark.createDataFrame([(k, f"text {k % 40}") for k in range(60)], "doc_id long, text string")
+    known.ingest(frame, "one").count()
+    before = sorted(map(tuple, known.read().collect()))
+    known.rebuild(8)
+    assert known._bucket_count() == 8 and sorted(map(tuple, known.read().collect())) == before
+    spark.sql(f"ALTER TABLE {known.table} RENAME TO {known.table}_rebuilt")  # as if a rebuild had ended behind its drop
+    assert not known.ingest(frame, "two").where("kept").count()
+    assert exact_dedup.buckets_for(10) == 64 and exact_dedup.buckets_for(64 * 4_000_000 + 1) == 128
+    known.drop()
+
+
+LONG = "some words that go on " * 30_000
+
+
+def test_long_texts(spark):
+    rows = [(1, LONG), (2, LONG + " end"), (3, LONG.replace(" ", "  ")), (4, "short")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    known = index(spark)
+    assert {r.doc_id: r.keep_id for r in known.ingest(frame).collect()} == {1: 3, 2: 2, 3: 3, 4: 4}
+    known.drop()
+    found = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(frame).collect()}
+    assert {k: f for k, (f, _) in found.items()} == {k: simhash.fingerprint(t) for k, t in rows} and found[3][1] == found[2][1] == 1
+
+
+def test_places(spark, tmp_path):
+    """Rows are found again whatever the splits, in files, in memory, and under clashing names."""
+    rows = spark.range(5000).selectExpr("id AS doc_id", "repeat(cast(id AS string), 50) AS text", "id AS _file", "'m' AS _metadata")
+    rows.repartition(7).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    for frame, straight in ((stored, True), (stored.where("doc_id % 2 = 0"), True), (stored.repartition(3), False), (rows, False), (stored.union(stored), False)):
+        assert places._places_known(frame) == straight
+        found = places.placed(frame)
+        assert len({*found.columns, found.file, found.row}) == 6
+        wanted = found.rows.where("doc_id % 10 = 4").select(F.col(found.file).alias("file"), F.col(found.row).alias("row"))
+        for size in ("20k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            kept = places.keep(found, wanted)
+            assert kept.columns == rows.columns
+            assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in frame.where("doc_id % 10 = 4").collect())
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert places.keep(places.placed(stored), wanted.limit(0)).count() == 0
+
+
+def test_shards_are_looked_up(spark):
+    rows = [(f, r, f * 1000 + r) for f in (-5, 3, 9) for r in range(0, 400, 3)]
+    shards = places.write_shards(spark.createDataFrame(rows, "file long, row long, value long"), "test")
+    reader = places.ShardReader(shards)
+    files, numbers = np.repeat(np.array([9, -5, 4, 3]), 500), np.tile(np.arange(500), 4)
+    hit, value = reader.find(files, numbers)
+    known = {(f, r): v for f, r, v in rows}
+    assert hit.tolist() == [(f, r) in known for f, r in zip(files.tolist(), numbers.tolist())]
+    assert value.tolist() == [known.get((f, r), 0) for f, r in zip(files.tolist(), numbers.tolist())]

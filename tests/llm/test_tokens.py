@@ -118,6 +118,24 @@ def test_plan_is_as_good_as_best_fit():
         assert sum(s.times for s in packing.plan_steps(histogram)) <= best_fit_decreasing(histogram, 4096)
 
 
+@pytest.mark.parametrize("kind", ["flat", "log-normal", "middling", "small", "two"])
+def test_plan_needs_no_more_than_best_fit_decreasing(kind):
+    draw = random.Random(kind)
+    make = {"flat": lambda: draw.randint(1, 4096), "log-normal": lambda: int(draw.lognormvariate(6, 1.2)) + 1, "middling": lambda: draw.randint(500, 2500), "small": lambda: draw.randint(1, 60), "two": lambda: draw.choice((1500, 2600))}[kind]
+    for n in (5, 400, 3000):
+        histogram = collections.Counter(min(4096, make()) for _ in range(n))
+        own = sum(s.times for s in packing.best_fit_steps(np.bincount(list(histogram.elements()), minlength=4097), 4096))
+        assert own == best_fit_decreasing(histogram, 4096)
+        assert sum(s.times for s in packing.plan_steps(histogram)) <= own
+
+
+def test_places_of_columns_with_clashing_names(spark):
+    rows = spark.createDataFrame([(k % 7 + 1, k, "a", "b", -1) for k in range(300)], "length long, _part long, _place string, __part string, offset long")
+    packed = packing.assign_places(rows, 10).collect()
+    assert len(packed) == 300 and packed[0].asDict().keys() == {"length", "_part", "_place", "__part", "sequence_id", "offset"}
+    assert len({(r.sequence_id, r.offset) for r in packed}) == 300
+
+
 def test_residual_gap_equal_to_a_taken_length():
     assert packing.plan_steps({4: 1, 3: 1, 2: 1}, 10) == [packing.Step((4, 3, 2), 1)]
 

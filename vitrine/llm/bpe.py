@@ -431,8 +431,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", e
 def encode_decode_digests(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: its number of ids, SHA-256 of the ids and of the text decoded from them.
 
-    Null and empty texts have 0 ids and the digests of nothing. Repeated rows give repeated results,
-    a null key stays null, other columns are ignored.
+    Null and empty texts have 0 ids and the digests of nothing; texts of any length are encoded whole.
+    Repeated rows give repeated results, a null key stays null, other columns, whatever their names, are
+    ignored, and an empty table gives an empty result.
     """
     path = vocabulary or default_vocabulary()
 

@@ -110,8 +110,8 @@ class DigestIndex:
         for table in (self.table, self._new):
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
-    def _resolve(self, rows: DataFrame, batch: str) -> DataFrame:
-        """Decide on the texts of ``rows``, append the new ones, and return (digest, keep_id, group_size, fresh, ...) as a table."""
+    def _resolve(self, rows: DataFrame, batch: str) -> tuple[DataFrame, str]:
+        """Decide on the texts of ``rows`` and append the new ones; the table (digest, keep_id, group_size, fresh, ...) and its URI."""
         best, best_uri = materialise(winners(rows), "winners")
         self.create(best.count())
         # A batch that comes again, after a failure or by mistake, is measured against the other batches alone.
@@ -120,12 +120,12 @@ class DigestIndex:
         known = best.join(others.hint("merge"), "digest", "inner").withColumn("keep_id", F.col("index_id")).drop("index_id").withColumn("fresh", F.lit(False))
         # A table of its own: both sides of a later join are then shuffled for it, and a digest with a
         # large share of the rows is split by adaptive execution.
-        resolved, _ = materialise(fresh.unionByName(known), "resolved")
+        resolved, resolved_uri = materialise(fresh.unionByName(known), "resolved")
         own = self.read().where(F.col("batch") == batch).select("digest")
         added = resolved.where("fresh").select("digest", "keep_id", "n_points", F.lit(batch).alias("batch"))
         self._write(added.join(own.hint("merge"), "digest", "left_anti"), self.table, self._bucket_count())
         discard(self.spark, best_uri)
-        return resolved
+        return resolved, resolved_uri
 
     def ingest(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """Append the batch's new digests and return a decision for each of its rows.
@@ -141,7 +141,7 @@ class DigestIndex:
         decisions and adds nothing, also after a failure half-way. Without a name the batch is new.
         """
         rows, _ = materialise(digests(docs), "digests")
-        resolved = self._resolve(rows, batch or uuid.uuid4().hex)
+        resolved, _ = self._resolve(rows, batch or uuid.uuid4().hex)
         return rows.join(resolved.select("digest", "keep_id", "group_size", "fresh").hint("merge"), "digest").select(
             "doc_id", "keep_id", "group_size",
             (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("fresh")).alias("kept"),
@@ -157,9 +157,11 @@ class DigestIndex:
         """
         found = placed(docs)
         rows, rows_uri = materialise(digests(found.rows, F.col(f"`{found.file}`").alias("file"), F.col(f"`{found.row}`").alias("row")), "digests")
-        resolved = self._resolve(rows, batch or uuid.uuid4().hex)
+        resolved, resolved_uri = self._resolve(rows, batch or uuid.uuid4().hex)
+        kept = keep(found, resolved.where("fresh").select("file", "row"))
         discard(self.spark, rows_uri)
-        return keep(found, resolved.where("fresh").select("file", "row"))
+        discard(self.spark, resolved_uri)
+        return kept
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:

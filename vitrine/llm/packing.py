@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import default_vocabulary, library_encoder, text_batches
-from .shared import materialise, shuffle_partitions
+from .shared import discard, materialise, shuffle_partitions
 
 CAPACITY = 4096
 
@@ -215,6 +215,7 @@ def assign_places(pieces: DataFrame, capacity: int = CAPACITY, partitions: int |
     places = plan_places(plan_steps(histogram, capacity))
     names = pieces.columns
     at = names.index("length")
+    mark_part, mark_place = (next(c for c in (f"{'_' * k}{x}" for k in range(1, len(names) + 2)) if c not in names) for x in ("part", "place"))
 
     def mark(batches):
         from pyspark import TaskContext
@@ -222,15 +223,15 @@ def assign_places(pieces: DataFrame, capacity: int = CAPACITY, partitions: int |
         part, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seen, seen + n))], names=[*names, "_part", "_place"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seen, seen + n))], names=[*names, mark_part, mark_place])
             seen += n
 
-    schema = T.StructType([*pieces.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_place", T.LongType())])
+    schema = T.StructType([*pieces.schema.fields, T.StructField(mark_part, T.IntegerType()), T.StructField(mark_place, T.LongType())])
     # The hash beside the length lets pieces of one very common length fill many partitions.
     others = F.xxhash64(*[F.col(f"`{c}`") for c in names if c != "length"])
     dealt = pieces.repartitionByRange(partitions or shuffle_partitions(spark), F.col("length"), others).sortWithinPartitions("length")
     ranked, _ = materialise(dealt.mapInArrow(mark, schema), "ranked")
-    sizes = {r["_part"]: r["n"] for r in ranked.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    sizes = {r[0]: r[1] for r in ranked.groupBy(F.col(f"`{mark_part}`")).agg(F.count("*").alias("n")).collect()}
     before, total = {}, 0
     for part in sorted(sizes):
         before[part] = total
@@ -258,7 +259,11 @@ def assign_places(pieces: DataFrame, capacity: int = CAPACITY, partitions: int |
 def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their sequence and place: as few sequences as the plan can make.
 
-    An empty table gives an empty result; repeated rows are packed each; a null doc_id stays null.
+    Null texts count as empty, which is the end id alone; texts of any length are encoded whole and only
+    then cut; repeated rows are packed each; a null doc_id stays null; other columns, whatever their names,
+    are ignored; an empty table gives an empty result.
     """
-    pieces, _ = materialise(token_pieces(docs, vocabulary, end_id, capacity), "pieces")
-    return assign_places(pieces, capacity)
+    pieces, written = materialise(token_pieces(docs, vocabulary, end_id, capacity), "pieces")
+    packed = assign_places(pieces, capacity)
+    discard(docs.sparkSession, written)
+    return packed

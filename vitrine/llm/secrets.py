@@ -232,7 +232,12 @@ def default_model(docs: DataFrame) -> MarkovPair:
 
 
 def report(docs: DataFrame, model: MarkovPair | None = None) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row of ``docs``."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row of ``docs``.
+
+    Null and empty texts have no spans; texts of any length are searched whole; spans that begin at one place
+    are listed by kind. Repeated rows give a row each, a null doc_id stays null, other columns, whatever their
+    names, are ignored, and an empty table gives an empty result.
+    """
     model = model or default_model(docs)
     found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

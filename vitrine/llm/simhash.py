@@ -343,6 +343,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp", *place))
     nodes, nodes_uri = materialise(fingerprints(source, *place).groupBy("fp").agg(first.alias("first")), "nodes")
     winners = rooted(nodes).groupBy("root").agg(F.min("first").alias("first"))
-    staying, _ = materialise(winners.select("first.file", "first.row"), "staying")
+    staying, staying_uri = materialise(winners.select("first.file", "first.row"), "staying")
+    kept = keep(found, staying)
     discard(spark, nodes_uri)
-    return keep(found, staying)
+    discard(spark, staying_uri)
+    return kept

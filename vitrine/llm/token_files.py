@@ -165,7 +165,9 @@ class TokenFileSet:
 def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: str | None = None, end_id: int = 1, partitions: int | None = None) -> TokenFileSet:
     """Encode (doc_id, text) rows, append ``end_id`` to each, and write shards in ascending doc_id order.
 
-    Null texts count as empty and so hold the end id alone; repeated rows are all written. Each shard
+    Null texts count as empty and so hold the end id alone; texts of any length are encoded whole; repeated
+    rows are all written, side by side; null keys come first; other columns, whatever their names, are
+    ignored; an empty table gives a set without shards. Each shard
     is written by one task under a name of its own, and only names in the tasks' committed manifest
     are part of the set, so lost tasks leave nothing but unused files. The driver holds the
     dictionary and one manifest row for each shard.
