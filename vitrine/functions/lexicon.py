@@ -96,38 +96,69 @@ def longest_run(phrases: DataFrame, pieces: Column) -> int:
     return phrases.agg(F.max(F.size(pieces))).first()[0] or 0
 
 
-def resolve(names: DataFrame, phrases: DataFrame, key: str, words: str, most: int, separator: str = " ", out: str = "resolved", fold: bool = False) -> DataFrame:
-    """``names`` with the array column ``out``: leftmost-longest runs of ``words`` that are phrases replaced by their ids.
-
-    Items are struct(word, hit). Runs of one to ``most`` words, joined by ``separator``, meet the table
-    (alias, id) in one join; ``key`` must be unique. Where pieces are segments of a text, runs begin and
-    end where no word character adjoins. With ``fold`` runs are compared in lower case.
+@dataclass(frozen=True)
+class Pass:
+    """One way to resolve the array column ``words``: runs of one to ``most`` words, joined by ``separator`` (and in
+    lower case with ``fold``), that are phrases (alias, id) give the column ``out``."""
+
+    words: str
+    phrases: DataFrame
+    most: int
+    separator: str = " "
+    out: str = "resolved"
+    fold: bool = False
+
+
+_ITEM = "array<struct<word:string,hit:boolean>>"
+
+
+def _runs(one: Pass, number: int) -> Column:
+    """The runs of a pass that may be phrases: struct(pass, p, n, alias)."""
+    words, size = F.col(one.words), F.size(one.words)
+    kind = "array<struct<pass:int,p:int,n:int,alias:string>>"
+    shown = (lambda c: F.lower(c)) if one.fold else (lambda c: c)
+    run = lambda p, n: F.struct(F.lit(number).alias("pass"), p.alias("p"), n.alias("n"), shown(F.array_join(F.slice(words, p + 1, n), one.separator)).alias("alias"))
+    of_size = lambda n: F.when(n <= size, F.transform(F.sequence(F.lit(0), size - n), lambda p: run(p, n))).otherwise(F.array().cast(kind))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(1, one.most))), of_size))
+    if one.separator == "":  # a phrase with other characters at its ends may stand beside a word character
+        word = lambda at: F.coalesce(F.get(words, at).rlike(f"^{t.W}"), F.lit(False))
+        runs = F.filter(runs, lambda r: ~word(r["p"] - 1) & ~word(r["p"] + r["n"]))
+    return runs
+
+
+def _walked(one: Pass, number: int, hits: Column) -> Column:
+    """Words from left to right, the longest phrase at each place put for its words."""
+    found = F.filter(hits, lambda h: h["pass"] == number)
+    item = lambda word, hit: F.array(F.struct(word.alias("word"), F.lit(hit).alias("hit")))
+
+    def step(state: Column, x: Column) -> Column:
+        best = F.array_max(F.transform(F.filter(state["found"], lambda h: h["p"] == x["p"]), lambda h: F.struct(h["n"].alias("n"), h["id"].alias("id"))))
+        taken = F.struct((x["p"] + best["n"]).alias("next"), F.concat(state["out"], item(best["id"], True)).alias("out"), state["found"].alias("found"))
+        left = F.struct((x["p"] + 1).alias("next"), F.concat(state["out"], item(x["w"], False)).alias("out"), state["found"].alias("found"))
+        return F.when(x["p"] < state["next"], state).when(best.isNotNull(), taken).otherwise(left)
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast(_ITEM).alias("out"), found.alias("found"))
+    placed = F.transform(F.col(one.words), lambda w, p: F.struct(w.alias("w"), p.alias("p")))
+    plain = F.transform(F.col(one.words), lambda w: F.struct(w.alias("word"), F.lit(False).alias("hit"))).cast(_ITEM)
+    return F.when(hits.isNull(), plain).otherwise(F.aggregate(placed, start, step, lambda state: state["out"]))
+
+
+def resolve(names: DataFrame, key: str, *passes: Pass) -> DataFrame:
+    """``names`` with the column ``out`` of each pass: array of struct(word, hit), in which leftmost-longest runs
+    that are phrases are replaced by their ids.
+
+    The runs of all passes meet their tables in one join; ``key`` must be unique. Where words are segments of
+    a text (separator ""), runs begin and end where no word character adjoins.
     """
-    kind = "array<struct<p:int,n:int,alias:string>>"
-    size, item = F.size(words), "array<struct<word:string,hit:boolean>>"
-    shown = (lambda c: F.lower(c)) if fold else (lambda c: c)
-    run = lambda p, n: F.struct(p.alias("p"), n.alias("n"), shown(F.array_join(F.slice(F.col(words), p + 1, n), separator)).alias("alias"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(1, most))), lambda n: F.when(n <= size, F.transform(F.sequence(F.lit(0), size - n), lambda p: run(p, n))).otherwise(F.array().cast(kind))))
-    spread = names.where(size > 0).select(key, words, F.explode(grams).alias("g")).select(key, words, "g.*")
-    if separator == "":  # a phrase with other characters at its ends may stand beside a word character
-        word = lambda at: F.coalesce(F.get(F.col(words), at).rlike(f"^{t.W}"), F.lit(False))
-        spread = spread.where(~word(F.col("p") - 1) & ~word(F.col("p") + F.col("n")))
-    spread = spread.drop(words)
-    hits = spread.join(phrases, "alias").groupBy(key).agg(F.collect_list(F.struct("p", "n", "id")).alias("_hits"))
+    grams = F.flatten(F.array(*(_runs(one, k) for k, one in enumerate(passes))))
+    tables = [one.phrases.select(F.lit(k).alias("pass"), "alias", "id") for k, one in enumerate(passes)]
+    known = tables[0]
+    for table in tables[1:]:
+        known = known.unionByName(table)
+    spread = names.select(key, F.explode(grams).alias("g")).select(key, "g.*")
+    hits = spread.join(known, ["pass", "alias"]).groupBy(key).agg(F.collect_list(F.struct("pass", "p", "n", "id")).alias("_hits"))
     joined = names.join(hits, key, "left")
-    found = F.col("_hits")
-    start = F.struct(F.lit(0).alias("next"), F.array().cast(item).alias("out"))
-
-    def step(state, word, p):
-        best = F.array_max(F.transform(F.filter(found, lambda h: h["p"] == p), lambda h: F.struct(h["n"].alias("n"), h["id"].alias("id"))))
-        hit = F.struct((p + best["n"]).alias("next"), F.concat(state["out"], F.array(F.struct(best["id"].alias("word"), F.lit(True).alias("hit")))).alias("out"))
-        miss = F.struct((p + 1).alias("next"), F.concat(state["out"], F.array(F.struct(word.alias("word"), F.lit(False).alias("hit")))).alias("out"))
-        return F.when(p < state["next"], state).when(best.isNotNull(), hit).otherwise(miss)
-
-    placed = F.transform(F.col(words), lambda w, p: F.struct(w.alias("w"), p.alias("p")))
-    walked = F.aggregate(placed, start, lambda state, x: step(state, x["w"], x["p"]), lambda state: state["out"])
-    plain = F.transform(F.col(words), lambda w: F.struct(w.alias("word"), F.lit(False).alias("hit"))).cast(item)
-    return joined.withColumn(out, F.when(found.isNull(), plain).otherwise(walked)).drop("_hits")
+    return joined.withColumns({one.out: _walked(one, k, F.col("_hits")) for k, one in enumerate(passes)}).drop("_hits")
 
 
 def longest_matches(names: DataFrame, dictionary: DataFrame, key: str, words: str) -> DataFrame:
@@ -136,5 +167,5 @@ def longest_matches(names: DataFrame, dictionary: DataFrame, key: str, words: st
     A row without words resolves to an empty array; ``key`` must be unique. Phrases compare in lower case.
     """
     phrases = last_wins(dictionary.select(_spelt(F.lower("alias")).alias("alias"), "brand_id", "ord")).withColumnRenamed("brand_id", "id")
-    found = resolve(names, phrases, key, words, longest_run(phrases, F.split("alias", " ")), fold=True)
+    found = resolve(names, key, Pass(words, phrases, longest_run(phrases, F.split("alias", " ")), fold=True))
     return found.withColumn("resolved", F.transform("resolved", lambda x: x["word"]))

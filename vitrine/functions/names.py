@@ -103,24 +103,22 @@ def features(names: DataFrame, brands: DataFrame, types: DataFrame, stops: tuple
     """(name, trie, regex, slot): the three parsers' features of each distinct name in ``names`` (name); null counts as empty.
 
     ``brands`` has (alias, brand_id, ord), ``types`` (phrase). Runs of words are bounded by the longest phrase.
+    Write the result to a table where it is used more than once.
     """
     rows = names.select(F.coalesce(F.col("name").cast("string"), F.lit("")).alias("name")).distinct()
-    blanks = F.split("alias", " ")
-    # trie: brands and types in one pass
-    phrases = lexicon.trie_phrases(brands, types)
-    rows = lexicon.resolve(rows.withColumn("_w", trie_words(F.col("name"))), phrases, "name", "_w", lexicon.longest_run(phrases, blanks), out="_trie")
-    # slot: aliases of two words and one, over upper-case words without stop words
-    rows = rows.withColumn("_clean", t.slot_clean(F.col("name")))
-    rows = lexicon.resolve(rows.withColumn("_w", slot_words(F.col("_clean"), stops)), lexicon.slot_phrases(brands), "name", "_w", 2, out="_slot")
-    kinds = types.select("phrase").distinct()
-    tagged = rows.select("name", F.explode(F.array_distinct(_words("_slot"))).alias("phrase")).join(kinds, "phrase").groupBy("name").agg(F.collect_set("phrase").alias("_types"))
-    rows = rows.join(tagged, "name", "left").withColumn("_types", F.coalesce("_types", F.array().cast("array<string>")))
-    # regex: brands, then types, in the text's segments
-    for k, part in enumerate(lexicon.regex_phrases(brands, types)):
-        source = t.base_clean(F.col("name")) if k == 0 else F.array_join(_words("_regex"), "")
-        most = lexicon.longest_run(part, lexicon.segments(F.col("alias")))
-        rows = lexicon.resolve(rows.withColumn("_w", lexicon.segments(source)).drop("_regex"), part, "name", "_w", most, separator="", out="_regex")
-    return rows.select("name", trie_struct("_trie", stops).alias("trie"), regex_struct("_regex", stops).alias("regex"), slot_struct("_slot", F.col("_clean"), F.col("_types"), stops).alias("slot"))
+    blanks, segments = F.split("alias", " "), lexicon.segments(F.col("alias"))
+    both, (named, kinds) = lexicon.trie_phrases(brands, types), lexicon.regex_phrases(brands, types)
+    rows = rows.withColumn("_clean", t.slot_clean(F.col("name"))).withColumns({"_trie_words": trie_words(F.col("name")), "_slot_words": slot_words(F.col("_clean"), stops), "_segments": lexicon.segments(t.base_clean(F.col("name")))})
+    rows = lexicon.resolve(
+        rows, "name", lexicon.Pass("_trie_words", both, lexicon.longest_run(both, blanks), out="_trie"), lexicon.Pass("_slot_words", lexicon.slot_phrases(brands), 2, out="_slot"),
+        lexicon.Pass("_segments", named, lexicon.longest_run(named, segments), separator="", out="_branded"),
+    )
+    # Types come second in the regex parser, in the text that brands are put into; the slot parser knows one-word types as they are spelt.
+    rows = rows.select("name", "_clean", "_trie", "_slot", F.transform("_slot", lambda x: x["word"]).alias("_slot_words"), lexicon.segments(F.array_join(_words("_branded"), "")).alias("_segments"))
+    spelt = types.select(F.col("phrase").alias("alias"), F.col("phrase").alias("id")).distinct()
+    rows = lexicon.resolve(rows, "name", lexicon.Pass("_segments", kinds, lexicon.longest_run(kinds, segments), separator="", out="_regex"), lexicon.Pass("_slot_words", spelt, 1, out="_typed"))
+    found = F.array_distinct(F.transform(F.filter("_typed", lambda x: x["hit"]), lambda x: x["word"]))
+    return rows.select("name", trie_struct("_trie", stops).alias("trie"), regex_struct("_regex", stops).alias("regex"), slot_struct("_slot", F.col("_clean"), found, stops).alias("slot"))
 
 
 # -- scores of a pair ------------------------------------------------------------------------------

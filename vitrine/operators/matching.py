@@ -71,13 +71,13 @@ def emitted(cards: DataFrame, key: str, order: list[str], url: str, parity: bool
     """Matches to keep of each key: the best by mean if it reaches LEAST, and the best by maximum if that
     reaches LEAST and has another url. With ``parity`` a maximum of the same url is left out even where
     the mean itself wasn't emitted. Column ``reason`` tells avg or max."""
-    by_avg, by_max = best(cards, "avg_score", key, order), best(cards, "max_score", key, order)
-    first = by_avg.where(F.col("avg_score") >= LEAST).withColumn("reason", F.lit("avg"))
-    other = by_avg.select(key, F.col(url).alias("_url"), F.col("avg_score").alias("_avg"))
-    same = F.col(url) == F.col("_url")
-    shadowed = same if parity else same & (F.col("_avg") >= LEAST)
-    second = by_max.join(other, key).where((F.col("max_score") >= LEAST) & ~F.coalesce(shadowed, F.lit(False))).drop("_url", "_avg").withColumn("reason", F.lit("max"))
-    return first.unionByName(second)
+    columns = [c for c in cards.columns if c != key]
+    first = lambda by: F.min_by(F.struct(*columns), F.struct((-F.col(by)).alias("_by"), *order))
+    pair = cards.groupBy(key).agg(first("avg_score").alias("a"), first("max_score").alias("m"))  # both in one pass
+    same = F.coalesce(F.col(f"m.{url}") == F.col(f"a.{url}"), F.lit(False))
+    shadowed = same if parity else same & (F.col("a.avg_score") >= LEAST)
+    reasons = F.array(F.when(F.col("a.avg_score") >= LEAST, F.struct("a.*", F.lit("avg").alias("reason"))), F.when((F.col("m.max_score") >= LEAST) & ~shadowed, F.struct("m.*", F.lit("max").alias("reason"))))
+    return pair.select(key, F.explode(F.filter(reasons, lambda x: x.isNotNull())).alias("x")).select(key, "x.*")
 
 
 def top_by_window(cards: DataFrame, by: str, key: str, order: list[str]) -> DataFrame:

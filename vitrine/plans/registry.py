@@ -231,13 +231,13 @@ def sanitize_name(spark, sf):
 
 
 def name_pairs(spark, sf) -> DataFrame:
-    """Pairs a < b of distinct names that share a word."""
-    words = table(spark, sf, "part").select("p_name").distinct().select(F.col("p_name"), F.explode(F.split("p_name", " ")).alias("word"))
-    a, b = words.select(F.col("p_name").alias("a"), "word"), words.select(F.col("p_name").alias("b"), "word")
-    return a.join(b, "word").where("a < b").select("a", "b").distinct()
+    """Distinct pairs of a part's name (a) and its brand's first part's name (b): as many as there are names, not their square."""
+    parts = table(spark, sf, "part").select("p_brand", "p_partkey", "p_name")
+    first = parts.groupBy("p_brand").agg(F.min_by("p_name", "p_partkey").alias("b"))
+    return parts.join(first, "p_brand").select(F.col("p_name").alias("a"), "b").distinct()
 
 
-_PAIRS = "(SELECT x.n AS a, y.n AS b FROM (SELECT DISTINCT p_name AS n FROM part) x JOIN (SELECT DISTINCT p_name AS n FROM part) y ON x.n < y.n AND list_has_any(string_split(x.n, ' '), string_split(y.n, ' ')))"
+_PAIRS = "(SELECT DISTINCT p_name AS a, first_value(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part)"
 
 
 def _lcs_sql(a: str, b: str) -> str:
@@ -274,12 +274,19 @@ def token_sort_ratio(spark, sf):
     return name_pairs(spark, sf).select("a", "b", fuzzy.token_sort_column(F.col("a"), F.col("b")).alias("ratio"))
 
 
-# Each pair shares one of two words, so the other words are the rests.
-@query(f"""
-WITH p AS (SELECT a, b, list_intersect(string_split(a, ' '), string_split(b, ' '))[1] AS i, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM {_PAIRS}),
-     r AS (SELECT a, b, i, list_filter(x, lambda w: w <> i)[1] AS u, list_filter(y, lambda w: w <> i)[1] AS v FROM p),
-     s AS (SELECT *, length(i) AS n, length(i) + 1 + length(u) AS m, length(i) + 1 + length(v) AS o, length(u) + length(v) - 2 * ({_lcs_sql('u', 'v')}) AS apart FROM r)
-SELECT a, b, CAST(round_even(greatest(100 * (1 - apart / (m + o)), 100 * (1 - (m - n) / (m + n)), 100 * (1 - (o - n) / (o + n))), 0) AS INT) AS ratio FROM s""")
+def _set_ratio_sql(x: str, y: str) -> str:
+    """Token set ratio of two lists of distinct words."""
+    text = lambda words: f"coalesce(array_to_string(list_sort({words}), ' '), '')"
+    rest = lambda a, b: f"list_filter({a}, lambda q: NOT list_contains({b}, q))"
+    i, u, v = text(f"list_intersect({x}, {y})"), text(rest(x, y)), text(rest(y, x))
+    head = f"CASE WHEN {i} = '' THEN 0 ELSE length({i}) + 1 END"
+    m, o, n = f"({head} + length({u}))", f"({head} + length({v}))", f"length({i})"
+    between = f"100 * (1 - (length({u}) + length({v}) - 2 * ({_lcs_sql(u, v)})) / ({m} + {o}))"
+    against = lambda size: f"CASE WHEN {i} = '' THEN 0 ELSE 100 * (1 - ({size} - {n}) / ({size} + {n})) END"
+    return f"CASE WHEN {i} <> '' AND ({u} = '' OR {v} = '') THEN 100 ELSE CAST(round_even(greatest({between}, {against(m)}, {against(o)}), 0) AS INT) END"
+
+
+@query(f"SELECT a, b, {_set_ratio_sql('x', 'y')} AS ratio FROM (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM {_PAIRS})")
 def token_set_ratio(spark, sf):
     return name_pairs(spark, sf).select("a", "b", fuzzy.token_set_column(F.col("a"), F.col("b")).alias("ratio"))
 
@@ -381,7 +388,10 @@ def _cards(spark, sf) -> DataFrame:
 
 
 def _known(spark, named: DataFrame) -> DataFrame:
-    return names.features(named, _brands(spark), _types(spark), _STOPS)
+    """Features of all names, written once as both sides of each pair read them."""
+    folder = _folder(spark, "features")
+    names.features(named, _brands(spark), _types(spark), _STOPS).write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 _SCORES = ("slot", "regex", "trie")
@@ -426,14 +436,7 @@ w AS (SELECT *, {_present("'brand_' || lower(sh)", "sa", "CASE WHEN sy THEN 'typ
 def _residual_sql(x: str, y: str) -> str:
     """0.4 of the set ratio and 0.6 of the sort ratio of two word lists."""
     text = lambda words: f"coalesce(array_to_string(list_sort({words}), ' '), '')"
-    rest = lambda a, b: f"list_filter({a}, lambda q: NOT list_contains({b}, q))"
-    i, u, v = text(f"list_intersect({x}, {y})"), text(rest(x, y)), text(rest(y, x))
-    head = f"CASE WHEN {i} = '' THEN 0 ELSE length({i}) + 1 END"
-    m, o, n = f"({head} + length({u}))", f"({head} + length({v}))", f"length({i})"
-    between = f"100 * (1 - (length({u}) + length({v}) - 2 * ({_lcs_sql(u, v)})) / ({m} + {o}))"
-    against = lambda size: f"CASE WHEN {i} = '' THEN 0 ELSE 100 * (1 - ({size} - {n}) / ({size} + {n})) END"
-    by_set = f"CASE WHEN {i} <> '' AND ({u} = '' OR {v} = '') THEN 100 ELSE round_even(greatest({between}, {against(m)}, {against(o)}), 0) END"
-    return f"(0.4::DOUBLE * ({by_set}) + 0.6::DOUBLE * {_ratio_sql(text(x), text(y))}) / 100"
+    return f"(0.4::DOUBLE * ({_set_ratio_sql(x, y)}) + 0.6::DOUBLE * {_ratio_sql(text(x), text(y))}) / 100"
 
 
 _MODEL = lambda a, y, n: f"{_present(a, f'CASE WHEN NOT {y} THEN {n} END')}"

@@ -137,6 +137,14 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("row_id")).where("row_id <> ''").distinct()
 
 
+def read_images(spark: SparkSession, folder: str, plan: DataFrame) -> DataFrame:
+    """(image_id, url, raw): the bytes of planned images (image_id, url) that were fetched to files named by their
+    ids, whatever the suffix; null for those that weren't, or are empty."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where("length > 0")
+    named = files.select(F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("image_id"), F.col("content").alias("raw"))
+    return plan.select("image_id", "url").distinct().join(named, "image_id", "left")
+
+
 def append_entries(entries: DataFrame, path: str) -> None:
     """Add match entries to the store at ``path``, without a look at those that are there: equal ones may repeat.
 
