@@ -46,7 +46,7 @@ def winners(rows: DataFrame) -> DataFrame:
 
 
 #: Digests that a bucket of a new index holds at most, and the least number of buckets.
-BUCKET_ROWS, LEAST_BUCKETS = 4_000_000, 64
+BUCKET_ROWS, LEAST_BUCKETS = 4_000_000, 8
 
 
 def buckets_for(n: int) -> int:

@@ -280,7 +280,7 @@ def components(edges: DataFrame) -> DataFrame:
     changes; each is written to the shared folder.
     """
     spark = edges.sparkSession
-    both, both_uri = materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")), "both")
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
     labels, uri = materialise(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("root")), "labels")
     while True:
         around = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", "root")
@@ -297,7 +297,6 @@ def components(edges: DataFrame) -> DataFrame:
         discard(spark, uri)
         labels, uri = after.select("node", "root"), after_uri
         if not changed:
-            discard(spark, both_uri)
             return labels
 
 
