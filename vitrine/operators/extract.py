@@ -182,6 +182,7 @@ PRODUCT = (
 def product(html: Column, url: Column, query: Column, base: str = "https://example.com/") -> Column:
     """One record of a page (PRODUCT). Missing texts are empty, missing numbers null; a page that isn't a
     product's has its reason in ``error`` and is kept."""
+    html = F.coalesce(html, F.lit(""))
     brand, category = breadcrumb(html)
     flagged, in_stock = out_of_stock_flag(html)
     text = lambda name: F.coalesce(located(html, name), F.lit(""))

@@ -863,19 +863,19 @@ def relax_validate(spark, sf):
 
 @query(SQL["brand_blocked_match"])
 def incremental_match(spark, sf):
-    """Parts as a stream of listing files, matched with the first part of their brand as they come."""
+    """Parts as a stream of listing files, a micro-batch each, matched with the first part of their brand as they come."""
     from ..streaming.incremental import match_stream, read_matches
 
     parts = table(spark, sf, "part")
     folder = f"{stores.shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
-    parts.select("p_brand", "p_partkey", "p_name").repartition(4, "p_brand").write.mode("overwrite").parquet(f"{folder}/in")
+    parts.select("p_brand", "p_partkey", "p_name").repartition(4, "p_partkey").write.mode("overwrite").parquet(f"{folder}/in")
     first = parts.groupBy("p_brand").agg(F.min_by("p_name", "p_partkey").alias("title"), F.min("p_partkey").alias("own"))
 
     def match(batch: DataFrame) -> DataFrame:
         scored = batch.join(first, "p_brand").where("p_partkey <> own").withColumn("sim", fuzzy.edit_similarity(F.col("p_name"), F.col("title"))).where(F.col("sim") > matching.GATE)
         return matching.best(scored, "sim", "p_brand", ["p_partkey"])
 
-    stream = spark.readStream.schema("p_brand string, p_partkey long, p_name string").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("p_brand string, p_partkey long, p_name string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     match_stream(stream, match, f"{folder}/out", f"{folder}/state").awaitTermination()
-    best = matching.best(read_matches(spark, f"{folder}/out").drop("batch"), "sim", "p_brand", ["p_partkey"])
+    best = matching.best(read_matches(spark, f"{folder}/out").drop("query", "batch"), "sim", "p_brand", ["p_partkey"])
     return best.select("p_brand", "title", "p_partkey", "p_name", F.round("sim", 6).alias("similarity"))
