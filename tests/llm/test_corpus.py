@@ -148,6 +148,15 @@ def test_model_scores_as_its_features_say():
         assert model.raw(text) == pytest.approx(0.3 + sum(model.weights.get(int(f), 0) for f in toxicity.document_features(text)))
 
 
+def test_features_are_chosen_alike_in_tables_and_arrays(spark):
+    draw = np.random.default_rng(4)
+    counts = np.stack([np.arange(500) * 7, draw.integers(0, 30, 500), draw.integers(0, 40, 500)])
+    frame = spark.createDataFrame([tuple(map(int, r)) for r in counts.T], "f int, p long, u long")
+    for keep in (20, 5000):
+        want = toxicity.choose_features(*counts, 30, 100, 0.15, keep)
+        assert toxicity.chosen_features(frame, 30, 100, 0.15, keep).tolist() == want.tolist() and 10 < len(want) < 500
+
+
 def test_repeated_ids_are_gathered_once(spark):
     rows = [(k, f"plain words number {k}" + (" grobian" if k % 4 == 0 else "")) for k in range(200)] + [(4, "plain grobian copy")] * 3000
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int")

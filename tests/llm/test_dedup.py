@@ -229,7 +229,9 @@ def test_places(spark, tmp_path):
     rows = spark.range(5000).selectExpr("id AS doc_id", "repeat(cast(id AS string), 50) AS text", "id AS _file", "'m' AS _metadata")
     rows.repartition(7).write.parquet(str(tmp_path / "t"))
     stored = spark.read.parquet(str(tmp_path / "t"))
-    for frame, straight in ((stored, True), (stored.where("doc_id % 2 = 0"), True), (stored.repartition(3), False), (rows, False), (stored.union(stored), False)):
+    rows.write.json(str(tmp_path / "j"))
+    lines = spark.read.schema(rows.schema).json(str(tmp_path / "j"))
+    for frame, straight in ((stored, True), (lines, False), (stored.where("doc_id % 2 = 0"), True), (stored.repartition(3), False), (rows, False), (stored.union(stored), False)):
         assert places._places_known(frame) == straight
         found = places.placed(frame)
         assert len({*found.columns, found.file, found.row}) == 6

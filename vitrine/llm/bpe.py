@@ -379,8 +379,8 @@ def trie_encoder(path: str) -> TrieEncoder:
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+def library_encoder(path: str, cache_chunks: int = CACHE_CHUNKS, cache_words: int = CACHE_WORDS) -> LibraryEncoder:
+    return LibraryEncoder(path, cache_chunks, cache_words)
 
 
 @lru_cache(maxsize=4)

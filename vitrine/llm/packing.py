@@ -23,6 +23,8 @@ from .bpe import default_vocabulary, library_encoder, text_batches
 from .shared import discard, materialise, shuffle_partitions
 
 CAPACITY = 4096
+#: Chunks and words that a worker's encoder remembers here, where stages before it have filled memory too.
+CACHE = 400_000, 250_000
 
 
 class ComplementIndex:
@@ -185,7 +187,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1
     path, end = vocabulary or default_vocabulary(), np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = library_encoder(path)
+        encoder = library_encoder(path, *CACHE)
         for batch in text_batches(batches):
             keys, piece, start, length, crc = [], [], [], [], []
             for key, raw in zip(batch.column(0).to_pylist(), encoder.encode_batch(batch.column(1).to_pylist()), strict=True):

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,10 @@ def _places_known(rows: DataFrame) -> bool:
     plan = rows._jdf.queryExecution().analyzed()
     if not _plain(plan):
         return False
+    try:
+        rows.select(rows.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:  # a file format without row numbers
+        return False
     files = rows.inputFiles()
     return bool(files) and len({xxh64_intdigest(f.encode(), 42) for f in files}) == len(set(files))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, library_encoder, library_tokenizer, text_batches
-from .shared import attempt_name, discard, hash_sample, materialise, open_input, open_output, scratch, shuffle_partitions
+from .shared import attempt_name, discard, materialise, open_input, open_output, scratch, shuffle_partitions
 
 MAGIC = b"VTOK0001"
 HEADER = struct.Struct("<8sB3x32sQ")  # magic, bytes of an id, dictionary hash, number of documents (index only)
@@ -61,18 +61,20 @@ class IdFormat:
 
 
 def train_format(docs: DataFrame, vocabulary: str, end_id: int, sample: int = SAMPLE_DOCS, pieces: int = PIECES, piece_bytes: int = PIECE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES) -> IdFormat:
-    """A dictionary from at most ``pieces`` pieces of the ids of each of about ``sample`` distinct texts, drawn by hash.
+    """A dictionary from at most ``pieces`` pieces of the ids of each of about ``sample`` texts, drawn by hash.
 
-    Texts of any length take part; equal ones count once. Too few samples to train on give a format
+    Texts of any length take part; equal ones are drawn together and count once. Too few samples to train on give a format
     without dictionary.
     """
     import zstandard
 
     size = max(library_tokenizer(vocabulary).get_vocab_size(), end_id + 1)
     width = 2 if size <= 1 << 16 else 4
-    texts = docs.where(F.length("text") > 0).select("text", F.xxhash64("text").alias("_hash"))
-    drawn = hash_sample(texts.select("_hash").distinct(), sample, "_hash", salt="dictionary")
-    chosen = texts.join(F.broadcast(drawn), "_hash").groupBy("_hash").agg(F.min("text").alias("text")).select("text")  # copies are dropped within tasks
+    texts = docs.where(F.length("text") > 0).select("text", F.xxhash64("text", F.lit("dictionary")).alias("_hash"))
+    n = docs.count()
+    if n > sample:
+        texts = texts.where(F.col("_hash") < F.lit(-(1 << 63) + int((1 << 64) * sample / n)))
+    chosen = texts.groupBy("_hash").agg(F.min("text").alias("text")).select("text")  # copies are dropped within tasks
 
     def cut(batches):
         encoder = library_encoder(vocabulary)

@@ -32,7 +32,8 @@ BITS = 24
 PREFIXES = (4, 5, 6, 7, 8)
 #: A word or beginning is a feature once for each of these numbers of times that it occurs.
 LEVELS = (1, 2, 3)
-#: Documents that a feature must be in, and how many standard errors it must stand out by.
+#: Confirmed documents that a feature must be in, and how many standard errors it must stand out by: lower bounds
+#: let in what a few documents share by chance.
 LEAST_DOCS, LEAST_Z = 3, 3.5
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 #: Words whose hashes a worker remembers.
@@ -117,6 +118,17 @@ def choose_features(names: np.ndarray, positive: np.ndarray, unlabelled: np.ndar
     return np.sort(names[order[z[order] > LEAST_Z]])
 
 
+def chosen_features(counted: DataFrame, n_positive: int, n_unlabelled: int, prior: float, keep: int = FEATURES) -> np.ndarray:
+    """``choose_features`` of a table (f, p, u): only what is chosen reaches the driver."""
+    n, m = max(1, n_positive), max(1, n_unlabelled)
+    a, b = F.col("p") / n, F.col("u") / m
+    clean = F.greatest((b - prior * a) / max(1e-6, 1 - prior), F.lit(0.0))
+    spread = F.sqrt(a * (1 - a) / n + (clean * (1 - clean) + 1 / m) / m)
+    z = (a - clean) / F.greatest(spread, F.lit(1e-9))
+    best = counted.where(F.col("p") >= LEAST_DOCS).select("f", z.alias("z")).where(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "f").limit(keep)
+    return np.sort(np.array([r.f for r in best.collect()], np.int64))
+
+
 @dataclass(frozen=True)
 class Bags:
     """Which kept features (places ``at``) which of ``n`` documents (``of``, ascending) have."""
@@ -226,15 +238,14 @@ def sampled_features(docs: DataFrame, labels: DataFrame, positives: int, unlabel
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = FEATURES) -> PuModel:
     """The model for ``docs`` from at most about so many documents, and with at most so many weights.
 
-    Features are counted by Spark; the driver gets the counts of those that LEAST_DOCS confirmed
-    documents have, and then, for each document of the sample, which kept features it has.
+    Features are counted and chosen by Spark; the driver gets the chosen ones, and then, for each document
+    of the sample, which of them it has.
     """
     sample, prior = sampled_features(docs, labels, positives, unlabelled)
     prior = bounded(prior)
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    counted = sample.select("y", F.explode("x").alias("f")).groupBy("f").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("u")).where(F.col("p") >= LEAST_DOCS).toArrow()
-    f, p, u = (counted.column(k).to_numpy() for k in range(3))
-    kept = choose_features(f, p, u, sizes.get(1, 0), sizes.get(0, 0), prior, features)
+    counted = sample.select("y", F.explode("x").alias("f")).groupBy("f").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("u"))
+    kept = chosen_features(counted, sizes.get(1, 0), sizes.get(0, 0), prior, features)
 
     def places(batches):
         for batch in batches:
