@@ -123,8 +123,7 @@ class Scorer:
         if s["tokens"] == e["tokens"]:
             return 1.0
         text = " ".join(s["tokens"])
-        near = lambda w, least: any(fuzzy.ratio(w, text[k : k + len(w)]) >= least for k in range(max(1, len(text) - len(w) + 1)))
-        lost = lambda kind, least: any(w not in text and (len(w) < names.NEAR_LENGTH or not near(w, least)) for w in e[kind])
+        lost = lambda kind, least: any(w not in text and (len(w) < names.NEAR_LENGTH or not _near(w, text, least)) for w in e[kind])
         apart = any(e[k] and not s[k] & e[k] and (s[k] or k != "types") for k in ("brands", "types", "measures", "codes"))
         if apart or lost("latin", names.LATIN_LEAST) or lost("farsi", names.FARSI_LEAST):
             return 0.0
@@ -147,6 +146,14 @@ class Scorer:
         return round(min([sum(w * x for w, x in zip(names.WEIGHTS, parts, strict=True)), *caps]), 4)
 
 
+def _near(word: str, text: str, least: int) -> bool:
+    """Whether a stretch of the text as long as the word has that ratio; its letters in common bound the ratio."""
+    size, letters = len(word), Counter(word)
+    stretches = {text[k : k + size] for k in range(max(1, len(text) - size + 1))}
+    common = {x: (letters & Counter(x)).total() for x in stretches}
+    return any(fuzzy.ratio(word, x) >= least for x, n in common.items() if 200 * n >= (least - 0.5) * (size + len(x)))
+
+
 def _residual(a: str, b: str) -> float:
     return (fuzzy.token_set_ratio(a, b) * 0.4 + fuzzy.token_sort_ratio(a, b) * 0.6) / 100.0
 
