@@ -7,6 +7,7 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -330,6 +331,18 @@ def test_salvage_of_unpacked_records():
     assert found == [0, 2] and [(g.begin, g.end) for g in gaps] == [(len(plain[0]), len(plain[0]) + len(plain[1]))]
 
 
+def test_large_records_take_linear_time():
+    """A record of 240 MB, unpacked and behind damage, is read in one pass; a damaged length beyond the bound isn't waited for."""
+    block = bytes(240 << 20)
+    raw = b"damage" + warc.record_bytes({"WARC-Type": "response", "WARC-Record-ID": "<urn:page:1>"}, block, pack=False) + warc.record_bytes({"WARC-Record-ID": "<urn:page:2>"}, b"x", pack=False)
+    began, reader = time.perf_counter(), warc.SalvageReader(io.BytesIO(raw))
+    sizes = [len(r.block) for r in reader]
+    assert sizes == [len(block), 1] and [(g.begin, g.end) for g in reader.gaps] == [(0, 6)] and time.perf_counter() - began < 20
+    false = b"WARC/1.1\r\nContent-Length: 99999999999\r\n\r\n" + warc.record_bytes({"WARC-Record-ID": "<urn:page:2>"}, b"x", pack=False)
+    reader = warc.SalvageReader(io.BytesIO(false))
+    assert [r.block for r in reader] == [b"x"] and [g.reason for g in reader.gaps] == ["record too large"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(max_size=300), max_size=6), st.data())
 def test_salvage_never_loses_whole_members_behind_damage(payloads, data):
@@ -539,6 +552,7 @@ def small(tmp_path_factory):
     pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
     pages += [{"page_id": 900 + k, "url": "u", "html": h} for k, h in enumerate([None, "", "", pages[0]["html"], pages[0]["html"]])]
     pq.write_table(pa.Table.from_pylist(pages, pq.read_schema("/root/testdata/sf0.001/pages.parquet")), f"{folder}/pages.parquet")
+    pq.write_table(pq.read_table("/root/testdata/sf0.001/labels.parquet"), f"{folder}/labels.parquet")
     return str(folder), docs + more, pages
 
 
@@ -616,3 +630,39 @@ def test_registered_queries_by_definition(spark, small):
                 root[y] = x
     for r in every["op10_simhash_pigeonring"](spark, folder).collect():
         assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", find(r.doc_id))
+
+
+def test_registered_scans_and_scores(spark, small):
+    """op4's base spans against plain search, and op1 and op7 against the models that they train, over every row."""
+    folder, docs, _ = small
+    every, texts = queries.queries(), {r["doc_id"]: r["text"] for r in docs}
+    rows = every["op4_secret_scan"](spark, folder).collect()
+    assert len(rows) == len(docs)
+    table = secrets.default_model(spark.read.parquet(f"{folder}/documents.parquet")).ratios
+    for r in rows:
+        base = base_spans(texts[r.doc_id])
+        count = collections.Counter(s[3] for s in base)
+        assert (r.n_assign, r.n_access, r.n_hex) == (count["assign"], count["access"], count["hex"])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{name}:{a}:{b}" for a, _, b, name in base).encode()).hexdigest()
+        text, added = texts[r.doc_id] or "", [x.split(":") for x in r.spans.split(",") if x.startswith("markov")]
+        taken = set()
+        for a, _, b, _ in base:
+            taken.update(range(a, b))
+        want = []
+        for m in re.finditer("[A-Za-z0-9+/_-]{16,}", text):
+            at = m.start()
+            for k in range(m.start(), m.end() + 1):
+                if k == m.end() or k in taken:
+                    word = text[at:k]
+                    if k - at >= 16 and sum(table[128 * ord(x) + ord(y)] for x, y in zip("\0" + word, word, strict=False)) / len(word) >= secrets.CLEAR:
+                        want.append([str(at), str(k)])
+                    at = k + 1
+        assert [x[1:] for x in added] == want
+    frames = [spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels")]
+    rank, pu = quality.train(*frames), toxicity.train(*frames)
+    for name, score, flag in (("op1_quality_classifier", lambda t: float(rank.score(np.array([quality.features(t)]))[0]), 0.7), ("op7_toxicity_pu", pu.score, 0.3)):
+        rows = every[name](spark, folder).collect()
+        assert sorted(r.doc_id for r in rows) == sorted(texts)
+        for r in rows:
+            assert r.score == pytest.approx(score(texts[r.doc_id]), abs=1e-9) and r.predicted == int(r.score >= flag) and 0 <= r.score <= 1
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import default_vocabulary, library_encoder, text_batches
+from .bpe import CACHE_CHUNKS, CACHE_WORDS, default_vocabulary, library_encoder, text_batches
 from .shared import discard, materialise, shuffle_partitions
 
 CAPACITY = 4096
-#: Chunks and words that a worker's encoder remembers here, where stages before it have filled memory too.
-CACHE = 400_000, 250_000
+#: Chunks and words that a worker's encoder remembers, and fewer for workers whose memory other stages have filled too.
+CACHE, SMALL_CACHE = (CACHE_CHUNKS, CACHE_WORDS), (400_000, 250_000)
 
 
 class ComplementIndex:
@@ -179,7 +179,7 @@ def plan_places(steps: list[Step]) -> dict[str, np.ndarray]:
     return {name: table[:, k].copy() for k, name in enumerate(("length", "rank", "times", "sequence", "offset"))}
 
 
-def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY, cache: tuple[int, int] = CACHE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each document's ids with ``end_id`` appended.
 
     Only documents of more than ``capacity`` ids are cut; null texts count as empty (the end id alone).
@@ -187,7 +187,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1
     path, end = vocabulary or default_vocabulary(), np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = library_encoder(path, *CACHE)
+        encoder = library_encoder(path, *cache)
         for batch in text_batches(batches):
             keys, piece, start, length, crc = [], [], [], [], []
             for key, raw in zip(batch.column(0).to_pylist(), encoder.encode_batch(batch.column(1).to_pylist()), strict=True):
@@ -258,14 +258,14 @@ def assign_places(pieces: DataFrame, capacity: int = CAPACITY, partitions: int |
     return ranked.mapInArrow(place, schema)
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY, cache: tuple[int, int] = CACHE) -> DataFrame:
     """Pieces of all documents with their sequence and place: as few sequences as the plan can make.
 
     Null texts count as empty, which is the end id alone; texts of any length are encoded whole and only
     then cut; repeated rows are packed each; a null doc_id stays null; other columns, whatever their names,
     are ignored; an empty table gives an empty result.
     """
-    pieces, written = materialise(token_pieces(docs, vocabulary, end_id, capacity), "pieces")
+    pieces, written = materialise(token_pieces(docs, vocabulary, end_id, capacity, cache), "pieces")
     packed = assign_places(pieces, capacity)
     discard(docs.sparkSession, written)
     return packed
