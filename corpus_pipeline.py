@@ -46,7 +46,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids and their places in sequences. An empty text is its end id alone; a null doc_id
     stays null; columns other than doc_id and text end here."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache=packing.SMALL_CACHE)
 
 
 STAGES = [

@@ -752,7 +752,7 @@ _STORED = "excel_product_name, search_query, website_product_name, product_url,
 
 
 @query("""
-SELECT p_name AS excel_product_name, p_brand AS search_query, NULL AS website_product_name, '/p/' || (p_partkey // 2) AS product_url, p_size / 50.0 AS avg_similarity_score, CAST(NULL AS DOUBLE) AS max_similarity_score, false AS is_scraped, NULL AS scrap_directory
+SELECT p_name AS excel_product_name, p_brand AS search_query, CAST(NULL AS VARCHAR) AS website_product_name, '/p/' || (p_partkey // 2) AS product_url, p_size / 50.0 AS avg_similarity_score, CAST(NULL AS DOUBLE) AS max_similarity_score, false AS is_scraped, CAST(NULL AS VARCHAR) AS scrap_directory
 FROM part UNION ALL SELECT p_name, p_brand, NULL, '/p/' || (p_partkey // 2), p_size / 50.0, NULL, false, NULL FROM part WHERE p_partkey % 2 = 0""")
 def append_entries(spark, sf):
     """Entries appended in two runs: those of even keys are there twice."""
