@@ -97,13 +97,17 @@ class ChunkEncoder:
     def encode_lists(self, lists: list[list[str]]) -> Iterator[bytes]:
         """Ids of each list of chunks; the lists' unknown chunks are learnt together."""
         got = [list(map(self.cache.get, chunks)) for chunks in lists]
+        lacking = [None in ids for ids in got]
         unknown: set[str] = set()
-        for chunks, ids in zip(lists, got, strict=True):
+        for chunks, ids in zip(compress(lists, lacking), compress(got, lacking), strict=True):
             unknown.update(compress(chunks, map(is_, ids, repeat(None))))
         new = self.learn(unknown) if unknown else {}
-        for chunks, ids in zip(lists, got, strict=True):
-            if new:
-                ids = [x if x is not None else new[c] for x, c in zip(ids, chunks, strict=True)]
+        for chunks, ids, some in zip(lists, got, lacking, strict=True):
+            if some:
+                at = -1
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at + 1)
+                    ids[at] = new[chunks[at]]
             yield b"".join(ids)
 
     def encode_batch(self, texts: Iterable[str | None], group_chars: int = 1 << 21) -> Iterator[bytes]:

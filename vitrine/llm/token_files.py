@@ -70,7 +70,7 @@ def train_format(docs: DataFrame, vocabulary: str, end_id: int, sample: int = SA
 
     size = max(library_tokenizer(vocabulary).get_vocab_size(), end_id + 1)
     width = 2 if size <= 1 << 16 else 4
-    texts = docs.where(F.length("text") > 0).select("text", F.xxhash64("text", F.lit("dictionary")).alias("_hash"))
+    texts = docs.where(F.col("text") != "").select("text", F.xxhash64("text", F.lit("dictionary")).alias("_hash"))
     n = docs.count()
     if n > sample:
         texts = texts.where(F.col("_hash") < F.lit(-(1 << 63) + int((1 << 64) * sample / n)))
