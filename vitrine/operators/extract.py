@@ -119,11 +119,15 @@ def challenged(html: Column, signs: tuple[str, ...] = CHALLENGE_SIGNS) -> Column
     return F.exists(F.array(*map(F.lit, signs)), lambda s: F.contains(low, s))
 
 
+def trail(html: Column) -> Column:
+    """Link texts of the page's breadcrumb, or of its navigation."""
+    inside = F.coalesce(region(html, LOCATORS["brand"][0][0]), F.get(insides(html, "nav"), 0))
+    return elements(inside, "a")
+
+
 def breadcrumb(html: Column) -> tuple[Column, Column]:
-    """First and last link text of the page's breadcrumb, or of its navigation: brand and category."""
-    container = LOCATORS["brand"][0][0]
-    inside = F.coalesce(region(html, container), F.get(insides(html, "nav"), 0))
-    found = elements(inside, "a")
+    """First and last link text of the page's breadcrumb: brand and category."""
+    found = trail(html)
     return F.try_element_at(found, F.lit(1)), F.try_element_at(found, F.lit(-1))
 
 
@@ -183,17 +187,23 @@ def product(html: Column, url: Column, query: Column, base: str = "https://examp
     """One record of a page (PRODUCT). Missing texts are empty, missing numbers null; a page that isn't a
     product's has its reason in ``error`` and is kept."""
     html = F.coalesce(html, F.lit(""))
-    brand, category = breadcrumb(html)
-    flagged, in_stock = out_of_stock_flag(html)
-    text = lambda name: F.coalesce(located(html, name), F.lit(""))
-    price, pictures = prices(located(html, "struck"), located(html, "price"), located(html, "discount")), page_images(html)
-    error = F.when(F.coalesce(F.trim(html), F.lit("")) == "", F.lit("empty page")).when(challenged(html), F.lit("challenge page"))
-    return F.struct(
-        url.alias("url"), query.alias("query_name"), state.stable_id(F.coalesce(url, F.lit(""))).alias("product_id"), text("name_fa").alias("name_fa"), text("name_en").alias("name_en"),
-        F.coalesce(brand, F.lit("")).alias("brand"), F.coalesce(category, F.lit("")).alias("category"), t.first_decimal(located(html, "rate")).alias("rate"), t.first_integer(located(html, "reviews")).alias("review_count"), t.first_integer(located(html, "wishlist")).alias("wishlist_count"),
-        flagged.alias("is_out_of_stuck"), in_stock.alias("in_stock"), price["has_discount"].alias("has_discount"), price["discount_percentage"].alias("discount_percentage"), price["real_price"].alias("real_price"), price["discounted_price"].alias("discounted_price"),
-        pictures.alias("image_urls"), F.transform(image_plan(pictures, base), lambda x: x["image_id"]).alias("image_ids"), panel_blocks(html, "intro").alias("product_intro"), panel_blocks(html, "usage").alias("usage_instructions"), error.alias("error"),
-    )
+    flagged, _ = out_of_stock_flag(html)
+    names = ("name_fa", "name_en", "rate", "reviews", "wishlist", "struck", "price", "discount")
+    error = F.when(F.trim(html) == "", F.lit("empty page")).when(challenged(html), F.lit("challenge page"))
+    found = F.struct(*(located(html, x).alias(x) for x in names), F.coalesce(trail(html), F.array().cast("array<string>")).alias("trail"), page_images(html).alias("images"), flagged.alias("flagged"), panel_blocks(html, "intro").alias("intro"), panel_blocks(html, "usage").alias("usage"), error.alias("error"))
+
+    def record(v: Column) -> Column:
+        text = lambda c: F.coalesce(c, F.lit(""))
+        price = prices(v["struck"], v["price"], v["discount"])
+        return F.struct(
+            url.alias("url"), query.alias("query_name"), state.stable_id(F.coalesce(url, F.lit(""))).alias("product_id"), text(v["name_fa"]).alias("name_fa"), text(v["name_en"]).alias("name_en"),
+            text(F.try_element_at(v["trail"], F.lit(1))).alias("brand"), text(F.try_element_at(v["trail"], F.lit(-1))).alias("category"), t.first_decimal(v["rate"]).alias("rate"), t.first_integer(v["reviews"]).alias("review_count"), t.first_integer(v["wishlist"]).alias("wishlist_count"),
+            v["flagged"].alias("is_out_of_stuck"), v["flagged"].alias("in_stock"), price["has_discount"].alias("has_discount"), price["discount_percentage"].alias("discount_percentage"), price["real_price"].alias("real_price"), price["discounted_price"].alias("discounted_price"),
+            v["images"].alias("image_urls"), F.transform(image_plan(v["images"], base), lambda x: x["image_id"]).alias("image_ids"), v["intro"].alias("product_intro"), v["usage"].alias("usage_instructions"), v["error"].alias("error"),
+        )
+
+    # A function of one item, so that what was found on the page is worked out once and not for each field that uses it.
+    return F.get(F.transform(F.array(found), record), 0)
 
 
 def failure(url: Column, query: Column, reason: Column) -> Column:
