@@ -82,6 +82,48 @@ def test_ranking_against_plain_ascent():
     assert abs((model.score(x) < quality.ACCEPT).mean() - (y == 0).mean()) < 0.02
 
 
+def test_ranking_counts_every_pair():
+    """By default the loss has no slope left over all pairs, and the quantile is where the sorted scores say, ties included."""
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(300, len(quality.NAMES)))
+    x[:60] = x[60:120]
+    y = (x[:, 0] - x[:, 5] + draw.normal(size=300) > 0.5).astype(int)
+    model = quality.fit(x, y)
+    z = quality.expand((x - model.centre) / model.scale)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    assert np.abs((1 / (1 + np.exp(d @ model.weights))) @ d / len(d) - 1e-3 * model.weights).max() < 1e-7
+    scores, counts = model.raw(x), np.bincount(y)
+    assert model.unit == pytest.approx(np.subtract(*np.percentile(scores, [90, 10])) / 8, rel=1e-12)
+    order = np.lexsort((y, scores))
+    for share in (counts[0] / 300, 0.1, 0.37, 0.9):
+        passed = np.cumsum(np.where(y == 0, share / counts[0], (1 - share) / counts[1])[order])
+        k = int(np.searchsorted(passed, share - 1e-9))
+        got = quality.quantile_and_unit(quality.over_arrays(x, y), model.raw, counts, share)[0]
+        assert got == (scores[order[k]] + scores[order[k + 1]]) / 2
+    tied = np.repeat([[0.5], [-2.0], [3.0]], 50, axis=0) * np.eye(1, len(quality.NAMES))
+    got = quality.quantile_and_unit(quality.over_arrays(tied, np.arange(150) % 2), lambda x: x[:, 0], np.array([75, 75]), 0.5)
+    assert got == (0.5, 5 / 8)
+
+
+def test_ranking_learns_from_every_label(spark, monkeypatch):
+    """More labels of a class than were once drawn: means and quantile are those of all, gathered or passed over in a table."""
+    draw = random.Random(8)
+    rows = [(k, prose(draw, 6) + " #%$ XX" * draw.randint(0, 2) * (k % 2), k % 2) for k in range(18_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    docs, labels = table.select("doc_id", "text"), table.select("doc_id", "quality")
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    x, y = np.array([quality.features(r[1]) for r in known]), np.array([r[2] for r in known])
+    model = quality.train(docs, labels)
+    assert min(np.bincount(y)) > 6_000 and np.abs(model.centre - x.mean(0)).max() < 1e-9 and np.abs(model.scale - x.std(0) - 1e-6).max() < 1e-9
+    scores = np.sort(model.raw(x))
+    k = int((y == 0).sum())
+    assert model.quantile == pytest.approx((scores[k - 1] + scores[k]) / 2, abs=1e-9)
+    monkeypatch.setattr(quality, "GATHER", 0)
+    passed = quality.train(docs, labels)
+    for name in ("centre", "scale", "weights", "quantile", "unit"):
+        assert np.abs(getattr(passed, name) - getattr(model, name)).max() < 1e-8, name
+
+
 def test_toxicity_learns_from_positives(spark):
     draw = random.Random(9)
     rows, labels = [], []
