@@ -6,6 +6,7 @@ Java's \\d, \\w and \\s are ASCII by default; patterns that must see Persian let
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,11 @@ MEASURE = r"(?i)^\p{Nd}+(?:ml|g)$"
 FARSI = "[آ-یپچجگژ]{3,}"
 
 
+def once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(c)``, with c worked out once for all its uses: inside functions of items nothing else shares them."""
+    return F.get(F.transform(F.array(c), then), 0)
+
+
 def is_blank(c: Column) -> Column:
     """Null, empty, or the text nan in any case."""
     return F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("", "nan")
@@ -143,17 +149,22 @@ def joined_url(c: Column, base: str) -> Column:
     the path, and others stand beside the base's last part. Dot segments are resolved."""
     scheme, host, path, asked = re.match(r"([a-z][a-z0-9+.-]*:)//([^/?#]*)([^?#]*)([?][^#]*)?", base, re.I).groups(default="")
     folder = path[: path.rfind("/") + 1] or "/"
-    mark = F.regexp_instr(c, F.lit("[?#]"))
-    own = F.when(mark > 0, F.substring(c, F.lit(1), mark - 1)).otherwise(c)
-    rest = F.when(mark > 0, F.substring(c, mark, F.length(c))).otherwise(F.lit(""))
-    whole = F.when(own.startswith("/"), own).otherwise(F.concat(F.lit(folder), own))
-    parts = F.split(F.substring(whole, F.lit(2), F.length(whole)), "/")
     up = lambda done: F.slice(done, F.lit(1), F.greatest(F.lit(0), F.size(done) - 1))
     step = lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x)))
-    flat = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
-    closed = F.when(F.try_element_at(parts, F.lit(-1)).isin(".", "..") & (flat != ""), F.concat(flat, F.lit("/"))).otherwise(flat)
-    local = F.concat(F.lit(f"{scheme}//{host}/"), closed, rest)
-    return F.when(c.rlike("(?i)^[a-z][a-z0-9+.-]*:"), c).when(c.startswith("//"), F.concat(F.lit(scheme), c)).when(c == "", F.lit(base)).when(own == "", F.concat(F.lit(f"{scheme}//{host}{path}"), F.when(rest.startswith("#"), F.lit(asked)).otherwise(F.lit("")), rest)).otherwise(local)
+
+    def closed(parts: Column) -> Column:
+        flat = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+        return once(flat, lambda x: F.when(F.try_element_at(parts, F.lit(-1)).isin(".", "..") & (x != ""), F.concat(x, F.lit("/"))).otherwise(x))
+
+    def resolved(v: Column) -> Column:
+        own, rest = v["own"], v["rest"]
+        whole = F.when(own.startswith("/"), own).otherwise(F.concat(F.lit(folder), own))
+        local = F.concat(F.lit(f"{scheme}//{host}/"), once(F.split(F.substr(whole, F.lit(2)), "/"), closed), rest)
+        return F.when(own == "", F.concat(F.lit(f"{scheme}//{host}{path}"), F.when(rest.startswith("#"), F.lit(asked)).otherwise(F.lit("")), rest)).otherwise(local)
+
+    own = F.regexp_extract(c, "^[^?#]*", 0)
+    cut = F.struct(own.alias("own"), F.substr(c, F.length(own) + 1).alias("rest"))
+    return F.when(c.rlike("(?i)^[a-z][a-z0-9+.-]*:"), c).when(c.startswith("//"), F.concat(F.lit(scheme), c)).when(c == "", F.lit(base)).otherwise(once(cut, resolved))
 
 
 def url_slug(c: Column) -> Column:

@@ -650,10 +650,10 @@ def _shop_pages(spark, sf) -> DataFrame:
         F.when(key % 4 == 1, F.concat(usage[0], usage[1])).when(key % 4 == 2, F.concat(usage[0], usage[2], usage[1])).otherwise(""),
         F.when(key % 13 == 0, '<div data-sentry-component="Foot">Just a moment...</div>').otherwise(""), F.lit("</div></body></html>"),
     ]
-    made = table(spark, sf, "part").select(key, F.concat(F.lit("https://shop.example/p/"), key.cast("string")).alias("url"), F.concat(*parts).alias("html"))
-    folder = _folder(spark, "pages")  # pages are captured once; put together anew for each field they would cost more than they give
-    made.repartition(32, "p_partkey").write.parquet(folder)
-    return spark.read.parquet(folder)
+    # Parts are spread, not the pages made of them; both extractions take a page once, so none is stored.
+    rows = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    spread = rows.repartition(max(32, 4 * spark.sparkContext.defaultParallelism), "p_partkey")
+    return spread.select(key, F.concat(F.lit("https://shop.example/p/"), key.cast("string")).alias("url"), F.concat(*parts).alias("html"))
 
 
 _SHOP = "https://shop.example/c/list"
