@@ -2,6 +2,7 @@
 
 import os
 import time
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +59,9 @@ def test_odd_places(spark):
 
 def test_a_null_page_has_no_images(spark):
     assert spark.range(1).select(extract.page_images(F.lit(None).cast("string"))).first()[0] is None
+
+
+@pytest.mark.parametrize("base", ["https://shop.example/c/list", "http://h:80/a/b?c#d", "https://shop.example", ""])
+def test_plain_references_are_joined_like_others(base):
+    found = ["/i/1.jpg?w=800", "https://cdn.example/1.png", "http://cdn.example/a?b=1", "/a/../b", "//cdn.example/z", "/a?", "/a#", "/a;p", "/.", "b.jpg", "", "/a\n", "https://h", "HTTPS://h/a"]
+    assert [sql.joined(base, x) for x in found] == [urljoin(base, x) for x in found]
